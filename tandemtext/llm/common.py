@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    """The first 8 bytes of each word's MD5 as uint64; every word is hashed once per worker."""
+    """Each word's XXH3 hash as uint64; a word is hashed once per worker, until the cache is full."""
     if len(_hashes) > _CACHE_LIMIT:
         _hashes.clear()
     get, out = _hashes.get, []
     for w in words:
         h = get(w)
         if h is None:
-            h = _hashes[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:8], "little")
+            h = _hashes[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
     return np.array(out, dtype=np.uint64)
 
@@ -45,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, text: int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of `batch` in slices of about `chars` bytes of text, at least one row each; rows are never cut."""
     col = batch.column(text)
-    sizes = np.asarray(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     ends = np.cumsum(sizes)
     while at < batch.num_rows:
@@ -54,11 +55,3 @@ def chunks(batch: pa.RecordBatch, text: int, chars: int = 2_000_000) -> Iterator
         yield batch.slice(at, to - at)
         at = to
 
-
-def row_key(text: str = "text") -> F.Column:
-    """Tells apart rows of one doc_id that have different texts."""
-    return F.xxhash64(F.col(text))
-
-
-#: A row key that is never read from a user's table.
-RK = "__row_key"

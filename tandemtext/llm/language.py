@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tandemtext.functions.durable import written
 from tandemtext.llm.common import chunks, table
 
 #: Bound of the labelled sample: characters of text per language that the automata hold, and the documents read for it.
@@ -19,12 +19,6 @@ SAMPLE_DOCS = 120
 #: Phrases that a document may need beyond its language's rate before it is rejected; keeps very short texts.
 SLACK = 4.0
 UNKNOWN = "und"
-_SIZE = 128
-
-
-def _code(text: str) -> bytes:
-    """Lower-cased text as bytes below 128: code points beyond ASCII fold to 96 others; white space is one blank."""
-    return bytes(c if c < 128 else 128 + (c * 0x9E3779B1 >> 7) % 96 for c in map(ord, " ".join(text.lower().split())))
 
 
 class _Fold(dict):
@@ -123,14 +117,12 @@ def accepted(model: dict, lang: str | None, n: int, chars: int) -> bool:
 def train(spark: SparkSession, docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = REFERENCE_CHARS) -> dict:
     """Automata of a bounded sample of labelled rows: the `per_lang` texts of each `lang` with the least hash of their text.
 
+    Bounds: about 4 * `per_lang` rows a language are read, of each at most 4 * `chars` / `per_lang` + 400 characters.
     Of each language three quarters of the sample make its automaton, up to `chars` characters; the rest is held
     out for the rejection rate: halfway, geometrically, between what own and foreign held-out text needs.
     Rows without text or label are no examples. Without any labelled text there are no languages and all is rejected.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 200)).select(F.col("lang").cast("string").alias("lang"), F.col("text"), F.xxhash64("text").alias("h"))
-    # the least hashes of each language, found map-side first: no shuffle of all texts
-    best = labelled.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_set(h)), 1, {per_lang})").alias("hs")) if False else None
-    del best
     cut = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rates = {r["lang"]: min(1.0, 4.0 * per_lang / r["n"]) for r in cut.collect()}
     if not rates:
@@ -173,7 +165,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     fields = docs.schema.names
-    schema = docs.schema.add("__lang", "string").add("__phrases", "long").add("__chars", "long").add("__accepted", "boolean")
+    added = [T.StructField("__lang", T.StringType()), T.StructField("__phrases", T.LongType()), T.StructField("__chars", T.LongType()), T.StructField("__accepted", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *added])
     at = fields.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,5 +200,3 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(docs.select("doc_id", "text"), train(spark, docs)).where("__accepted")
     return found.select("doc_id", F.col("__lang").alias("language"), F.col("__phrases").alias("n_phrases"), F.col("__chars").alias("n_symbols"), F.round(F.col("__phrases") / F.col("__chars"), 6).alias("phrase_rate"))
 
-
-__all__ = ["keep_known_languages", "identify", "train", "fit", "classify", "op5_language_id", "written"]
