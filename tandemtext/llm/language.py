@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -17,8 +18,8 @@ from tandemtext.llm.common import chunks, table
 REFERENCE_CHARS = 40_000
 SAMPLE_DOCS = 120
 #: Phrases that a document may need beyond its language's rate before it is rejected; keeps very short texts.
-SLACK = 4.0
-UNKNOWN = "und"
+SLACK = 6.0
+_DIGIT = re.compile(r"\d")
 
 
 class _Fold(dict):
@@ -31,8 +32,14 @@ _fold = _Fold()
 
 
 def encode(text: str) -> bytes:
-    """The characters the automata are read with: lower case, runs of white space as one blank, other letters folded."""
-    return " ".join(text.lower().split()).translate(_fold).encode("latin-1")
+    """The characters the automata are read with: lower case, other letters folded, white space as one blank.
+
+    A word with a digit is read as 0, since numbers, addresses and keys belong to no language.
+    """
+    words = text.lower().split()
+    if _DIGIT.search(text):
+        words = ["0" if _DIGIT.search(w) else w for w in words]
+    return " ".join(words).translate(_fold).encode("latin-1")
 
 
 def suffix_automaton(data: bytes) -> tuple[array, bytes, int]:

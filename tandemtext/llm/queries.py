@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandemtext.llm import language, mixing
+from tandemtext.llm import chunking, language, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_neardup": simhash.op1_simhash_neardup,
     "op5_language_id": language.op5_language_id,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_substring_dedup": chunking.op7_substring_dedup,
+    "op9_quality_resample": quality.op9_quality_resample,
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE}
