@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,13 @@ from tandemtext.llm.common import WORDS, chunks, mix, table, word_hashes
 #: Buckets that word unigrams and bigrams are hashed to, and what is added to each count of the raw model.
 BUCKETS, SMOOTHING = 1 << 16, 10.0
 SEED = "resample-1"
+_TOKENS = re.compile(r"\w+|[^\w\s]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ngram_buckets(text: str) -> np.ndarray:
-    """The buckets of all lower-case word unigrams and bigrams of a whole text, marks between words included as words."""
-    words = text.lower().split()
+    """The buckets of all unigrams and bigrams of a whole lower-case text, cut into words and runs of marks."""
+    words = _TOKENS.findall(text.lower())
     if not words:
         return np.zeros(0, np.int64)
     h = word_hashes(words)
