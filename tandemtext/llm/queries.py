@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandemtext.llm import chunking, language, mixing, quality, simhash
+from tandemtext.llm import bpe, chunking, language, lempel_ziv, mixing, quality, secrets_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
+    "op3_lz_fingerprint": lempel_ziv.op3_lz_fingerprint,
     "op5_language_id": language.op5_language_id,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_substring_dedup": chunking.op7_substring_dedup,
+    "op8_bpe_tokens": bpe.op8_bpe_tokens,
     "op9_quality_resample": quality.op9_quality_resample,
+    "op10_secret_scan": secrets_crf.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE}

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tandemtext.llm.common import chunks, table
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-TOKENS = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]")
+TOKENS = re.compile(r"[\w+/\-]+(?:\.[\w+/\-]+)*|[^\w\s+/\-]")
 REDACTED = "[SECRET]"
 #: Training sentences, passes over them and seed; the model is trained on made-up lines and needs no corpus.
 SENTENCES, STEPS, SEED = 900, 160, 11
@@ -102,7 +102,7 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
             w = w.capitalize() if rnd.random() < 0.15 else w.upper() if rnd.random() < 0.05 else w
             out.append(w)
             if rnd.random() < 0.15:
-                out.append(rnd.choice(",.;:!?()#$%&*|\"'"))
+                out.append(rnd.choice(",,....;:!?()#$%&*|\"'"))
         return out
 
     def value() -> list[str]:
@@ -164,13 +164,13 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
         elif k == 6:
             v = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(8, 14)))]
         elif k == 7:
-            v = [rnd.choice(sorted(_NAMES)), rnd.choice("=:"), rnd.choice(("none", "true", "null", "yes", "..."))]
+            v = [rnd.choice(sorted(_NAMES)), rnd.choice("=:"), rnd.choice(("none", "true", "null", "yes", "x"))]
         elif k == 8:
             v = ["the", rnd.choice(("secret", "key", "password", "token")), "of", *words(2)]
         elif k == 9:
             v = ["isbn", f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}"]
         elif k == 10:
-            v = ["version", f"{num(1)}.{num(2)}.{num(1)}", "CC", "BY-NC", "4.0."]
+            v = ["version", f"{num(1)}.{num(2)}.{num(1)}", "CC", "BY-NC", "4.0", "."]
         elif k == 11:
             v = ["id", "=", '"', num(rnd.choice((6, 9, 12))), '"']
         else:
@@ -294,7 +294,11 @@ class Tagger:
         self.flags = np.zeros((0, 2), bool)
         self._rows, self._flag_rows = [], []
         self.edge = self._class(("edge",), (), ("edge",), False, False)
-        self.margin = 2 * (model.moves.max() - model.moves.min()) + 2 * np.abs(model.start).max()
+        self.plain = self.class_of("word")
+        m, start = model.moves, model.start
+        #: What a stretch of secret tokens gains by transitions over outside tokens: at most `inner` a token, and `ends` once.
+        self.inner = m[1:, 1:].max() - m[0, 0]
+        self.ends = max(m[0, 1:].max() - m[0, 0], start[1:].max() - start[0]) + max(m[1:, 0].max() - m[0, 0], 0.0) - self.inner
 
     def _class(self, key: tuple, own: tuple, near: tuple, name: bool, code: bool) -> int:
         c = self.classes.get(key)
@@ -317,10 +321,10 @@ class Tagger:
         """Scores of all tokens of several texts, and where each text begins; texts are set apart by edges."""
         gap = [self.edge] * max(BEFORE, AFTER)
         codes, begin = list(gap), []
-        get, of = self.words.get, self.class_of
+        plain, of = self.plain, self.class_of
         for ws in words:
             begin.append(len(codes))
-            codes += [c if (c := get(w)) is not None else of(w) for w in ws]
+            codes += [plain if w.isalpha() and len(w) < 16 and w.lower() not in _NAMES else of(w) for w in ws]
             codes += gap
         if len(self._rows) > len(self.tables):
             self.tables, self.flags = np.array(self._rows), np.array(self._flag_rows)
@@ -339,14 +343,22 @@ class Tagger:
     def tag(self, words: list[list[str]]) -> list[list[tuple[int, int]]]:
         """For each text the (first, last) tokens of its secrets, as the best path has them.
 
-        A token whose score for outside leads by more than any transitions could make up for is outside on the best
-        path, whatever its neighbours are. The path is thus found exactly by decoding only the stretches between such tokens.
+        A stretch of tokens that the best path has inside secrets must beat the same stretch outside. The most that
+        any stretch around a token can gain follows from running sums; where that is negative, the token is outside on the
+        best path. So the path is found exactly by decoding only what lies between such tokens.
         """
         if not words:
             return []
         e, starts = self.scores(words)
-        lead = e[:, OUTSIDE] - np.maximum(e[:, BEGIN], e[:, INSIDE])
-        unsure = lead <= self.margin
+        gain = self.inner + np.maximum(e[:, BEGIN], e[:, INSIDE]) - e[:, OUTSIDE]
+        outside = np.ones(len(e), bool)
+        for s, ws in zip(starts, words, strict=True):
+            outside[s : s + len(ws)] = False
+        gain[outside] = -1e6  # no stretch goes from one text to the next
+        p = np.cumsum(gain)
+        before = np.minimum.accumulate(np.r_[0.0, p[:-1]])
+        after = np.maximum.accumulate(p[::-1])[::-1]
+        unsure = after - before + self.ends >= -1e-3
         moves, start, out = self.model.moves, self.model.start, []
         none = np.zeros(3)
         for s, ws in zip(starts, words, strict=True):
