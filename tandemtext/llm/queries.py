@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandemtext.llm import bpe, chunking, language, lempel_ziv, mixing, quality, secrets_crf, simhash
+from tandemtext.llm import bpe, chunking, html_blocks, language, lempel_ziv, mixing, quality, secrets_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
     "op3_lz_fingerprint": lempel_ziv.op3_lz_fingerprint,
+    "op4_html_text": html_blocks.op4_html_text,
     "op5_language_id": language.op5_language_id,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_substring_dedup": chunking.op7_substring_dedup,
