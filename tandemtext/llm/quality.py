@@ -17,6 +17,8 @@ from tandemtext.llm.common import WORDS, chunks, mix, table, word_hashes
 
 #: Buckets that word unigrams and bigrams are hashed to, and what is added to each count of the raw model.
 BUCKETS, SMOOTHING = 1 << 16, 10.0
+#: Bound of the labelled sample: the target model is fitted on at most this many good documents, those of least hash of doc_id.
+TARGET_DOCS = 100_000
 SEED = "resample-1"
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -98,11 +100,11 @@ def gumbel(seed: str = SEED) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: str = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: str = SEED, target_docs: int = TARGET_DOCS) -> DataFrame:
     """(doc_id, th, log_weight, sample_key): the documents sampled without replacement with weights p_target / p_raw.
 
-    The target model is counted over all texts that `labels` calls good (quality 1 and not toxic), the raw model over all
-    texts. The sample holds the k largest sums of log weight and Gumbel noise; k is `share` of the rows, by default
+    The target model is counted over whole texts that `labels` calls good (quality 1 and not toxic), at most
+    `target_docs` of them; their ids are the one thing broadcast, so no text is shuffled. The raw model is counted over all texts. The sample holds the k largest sums of log weight and Gumbel noise; k is `share` of the rows, by default
     the share of the labelled documents that have quality 1. Ties of the key are broken by doc_id, then text; rows alike in
     both stay or go together, within k.
 
@@ -113,8 +115,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     if share is None:
         got = good.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
         share = 1.0 if got is None else float(got)
-    target = good.where("good").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__good"))
-    flagged = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("__id"), "left")
+    target = good.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).select(F.col("doc_id").alias("__id"), F.lit(True).alias("__good"))
+    target = written(target, "target")
+    flagged = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("__id"), "left")
     found = scored(flagged, "__good", gathered(bucket_counts(flagged, "__good"))).withColumn("key", F.col("log_weight") + gumbel(seed))
     keyed = written(found.groupBy("doc_id", "th").agg(F.max("log_weight").alias("log_weight"), F.max("key").alias("key"), F.count(F.lit(1)).alias("rows")), "keys")
     k = keyed.agg(F.floor(F.coalesce(F.sum("rows"), F.lit(0)) * F.lit(share)).cast("long").alias("k"))
