@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandemtext.llm import bpe, chunking, html_blocks, language, lempel_ziv, mixing, quality, secrets_crf, simhash
+from tandemtext.llm import bpe, chunking, hilbert, html_blocks, language, lempel_ziv, mixing, quality, secrets_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
+    "op2_hilbert_ann": hilbert.op2_hilbert_ann,
     "op3_lz_fingerprint": lempel_ziv.op3_lz_fingerprint,
     "op4_html_text": html_blocks.op4_html_text,
     "op5_language_id": language.op5_language_id,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_resample": quality.op9_quality_resample,
     "op10_secret_scan": secrets_crf.op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_hilbert_ann": hilbert.ORACLE, "op6_mix_sources": mixing.ORACLE}
