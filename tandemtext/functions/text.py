@@ -207,12 +207,16 @@ def heading_kind(c: Column) -> Column:
 def marked_heading(c: Column, config: dict[str, str] | None = None) -> Column:
     """Struct (text, heading): the stripped line after all heading rules in their order, each seeing what the one before left."""
     config = config or HEADING_CONFIG
-    line, found = strip(c), F.lit(False)
     tests = [("type_1", lambda x: x.rlike(HEADING_1)), ("type_2", lambda x: x.rlike(HEADING_2)), ("roman", lambda x: (x != "") & x.rlike(ROMAN)), ("arabic", lambda x: x.rlike(ARABIC)), ("date", lambda x: x.rlike(INLINE_NUMBER) & is_date(x)), ("misc", lambda x: x.rlike(MISC))]
+    # one-element arrays bind what a rule left to a name; nested CASEs would double the expression with every rule
+    state = F.array(F.struct(strip(c).alias("text"), F.lit(False).alias("heading")))
+
+    def rule(kind: str, test):
+        return lambda s: F.struct(F.when(test(s["text"]), _acted(s["text"], config[kind])).otherwise(s["text"]).alias("text"), (s["heading"] | test(s["text"])).alias("heading"))
+
     for kind, test in tests:
-        hit = test(line)
-        found, line = found | hit, F.when(hit, _acted(line, config[kind])).otherwise(line)
-    return F.struct(line.alias("text"), found.alias("heading"))
+        state = F.transform(state, rule(kind, test))
+    return F.element_at(state, 1)
 
 
 def cleaned_artifacts(c: Column, config: dict[str, str] | None = None) -> Column:

@@ -54,7 +54,8 @@ def align(batches: DataFrame, vectors: DataFrame, window: int) -> DataFrame:
     two sides of a batch meet by its key and no pair of lines ever becomes a row.
     """
     f = _side(batches, vectors, "from", "f0", "f1").select("doc_id", "batch_id", "pos", "line_id", "embedding")
-    t = _side(batches, vectors, "to", "t0", "t1").select("doc_id", "batch_id", "pos", "line_id", "embedding")
+    t = _side(batches, vectors, "to", "t0", "t1")
+    t = t.select(*[F.col(c).alias(c) for c in ("doc_id", "batch_id", "pos", "line_id", "embedding")])  # columns of its own: both sides come from one table
     ids = T.ArrayType(T.LongType())
     schema = T.StructType([batches.schema["doc_id"], T.StructField("batch_id", T.LongType()), T.StructField("sub_id", T.LongType()), T.StructField("from_ids", ids), T.StructField("to_ids", ids), T.StructField("sim", T.DoubleType())])
 
