@@ -96,9 +96,9 @@ ma AS (SELECT doc_id, (line_id - 1) // 25 AS batch_id, (line_id - 1) % 25 AS sub
 
 
 def both_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of both sides with a paragraph counter: the to-side is the from-side in capitals, paragraphs have four lines."""
+    """Lines of both sides with a paragraph counter: the to-side is the from-side in brackets, paragraphs have four lines."""
     own = lines(spark, sf_dir).withColumn("paragraph", F.floor((F.col("line_id") - 1) / 4).cast("long"))
-    return own.unionByName(own.withColumns({"side": F.lit("to"), "text": F.upper("text")}))
+    return own.unionByName(own.withColumns({"side": F.lit("to"), "text": F.concat(F.lit("["), "text", F.lit("]"))}))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

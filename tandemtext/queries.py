@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandemtext.plans import queries_text, queries_vectors
+from tandemtext.plans import queries_books, queries_text, queries_vectors
 
-_PARTS = (queries_vectors, queries_text)
+_PARTS = (queries_vectors, queries_text, queries_books)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for p in _PARTS for k, s in p.ORACLES.items()}
