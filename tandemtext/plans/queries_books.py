@@ -359,7 +359,7 @@ def alignment_points(spark: SparkSession, d: str) -> DataFrame:
 
 def ols_fit(spark: SparkSession, d: str) -> DataFrame:
     r = store.regression(store.alignment_points(I.match_rows(spark, d), 10))
-    return r.select("doc_id", "bucket", *[F.round(c, 5).alias(c) for c in ("slope", "intercept", "mse")])
+    return r.select("doc_id", "bucket", *[(F.round(c, 5) + 0.0).alias(c) for c in ("slope", "intercept", "mse")])
 
 
 def robust_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -410,5 +410,5 @@ ORACLES = {
     "page_join": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, 8 - pos AS rank, text_from, text_to FROM tx WHERE pos <= 7",
     "replaced_batches": f"WITH {I.MATCH}, x AS (SELECT batch_id, to_ids FROM ma WHERE batch_id <> 1 OR NOT EXISTS (SELECT 1 FROM ma b WHERE b.doc_id = ma.doc_id AND b.batch_id = 1 AND b.sub_id < 5) UNION ALL SELECT batch_id, [1] FROM ma WHERE batch_id = 1 AND sub_id < 5) SELECT batch_id, count(*) AS n, sum(list_sum(to_ids))::BIGINT AS total FROM x GROUP BY batch_id",
     "alignment_points": f"WITH {I.MATCH} SELECT doc_id, (from_ids[1] - 1) // 10 AS bucket, from_ids[1] AS x, unnest(to_ids) AS y FROM ma",
-    "ols_fit": f"WITH {I.MATCH}, p AS (SELECT doc_id, (from_ids[1] - 1) // 10 AS bucket, from_ids[1]::DOUBLE AS x, unnest(to_ids)::DOUBLE AS y FROM ma), f AS (SELECT doc_id, bucket, CASE WHEN count(DISTINCT x) > 1 THEN regr_slope(y, x) END AS slope, CASE WHEN count(DISTINCT x) > 1 THEN regr_intercept(y, x) END AS intercept FROM p GROUP BY ALL) SELECT doc_id, bucket, round(any_value(slope), 5) AS slope, round(any_value(intercept), 5) AS intercept, round(avg(CASE WHEN slope IS NOT NULL THEN (y - slope * x - intercept) * (y - slope * x - intercept) END), 5) AS mse FROM p JOIN f USING (doc_id, bucket) GROUP BY doc_id, bucket",
+    "ols_fit": f"WITH {I.MATCH}, p AS (SELECT doc_id, (from_ids[1] - 1) // 10 AS bucket, from_ids[1]::DOUBLE AS x, unnest(to_ids)::DOUBLE AS y FROM ma), f AS (SELECT doc_id, bucket, CASE WHEN count(DISTINCT x) > 1 THEN regr_slope(y, x) END AS slope, CASE WHEN count(DISTINCT x) > 1 THEN regr_intercept(y, x) END AS intercept FROM p GROUP BY ALL) SELECT doc_id, bucket, round(any_value(slope), 5) + 0.0 AS slope, round(any_value(intercept), 5) + 0.0 AS intercept, round(avg(CASE WHEN slope IS NOT NULL THEN (y - slope * x - intercept) * (y - slope * x - intercept) END), 5) AS mse FROM p JOIN f USING (doc_id, bucket) GROUP BY doc_id, bucket",
 }
