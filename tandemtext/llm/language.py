@@ -19,7 +19,9 @@ REFERENCE_CHARS = 40_000
 SAMPLE_DOCS = 120
 #: Phrases that a document may need beyond its language's rate before it is rejected; keeps very short texts.
 SLACK = 6.0
-_DIGIT = re.compile(r"\d")
+#: Least rate of phrases per symbol at which a language rejects text, however repetitive its sample is.
+LEAST_RATE = 0.2
+_WORDS = re.compile(r"\b[^\W\d_]+\b")
 
 
 class _Fold(dict):
@@ -32,14 +34,11 @@ _fold = _Fold()
 
 
 def encode(text: str) -> bytes:
-    """The characters the automata are read with: lower case, other letters folded, white space as one blank.
+    """The characters the automata are read with: the lower-case words, a blank between them, letters beyond ASCII folded.
 
-    A word with a digit is read as 0, since numbers, addresses and keys belong to no language.
+    Marks, numbers and words with a digit belong to no language and are left out.
     """
-    words = text.lower().split()
-    if _DIGIT.search(text):
-        words = ["0" if _DIGIT.search(w) else w for w in words]
-    return " ".join(words).translate(_fold).encode("latin-1")
+    return " ".join(_WORDS.findall(text.lower())).translate(_fold).encode("latin-1")
 
 
 def suffix_automaton(data: bytes) -> tuple[array, bytes, int]:
@@ -92,18 +91,20 @@ def phrases(automaton: tuple[array, bytes, int], data: bytes, stop: int = 1 << 6
     for c in data.translate(symbols):
         t = table_[cur + c]
         if t < 0:
-            n += 1
-            if n > stop:
-                return n
+            if cur:
+                n += 1
             t = table_[c]
             if t < 0:  # a symbol that the language never shows is a phrase by itself
+                n += 1
                 t = 0
+            if n > stop:
+                return n
         cur = t
-    return n + 1 if data else 0
+    return n + 1 if cur else n
 
 
 def classify(model: dict, data: bytes) -> tuple[str | None, int]:
-    """(language, phrases) of the language that needs fewest phrases; ties go to the first name. None for no characters."""
+    """(language, phrases) of the language that needs fewest phrases; ties go to the first name. None for no words."""
     if not data:
         return None, 0
     langs = model["automata"]
@@ -157,16 +158,16 @@ def fit(texts: dict[str, list[str]], chars: int = REFERENCE_CHARS) -> dict:
         own = [phrases(automata[k], d) / len(d) for d in held[k] if len(d) >= 100]
         foreign = [phrases(automata[k], d) / len(d) for j in held if j != k for d in held[j] if len(d) >= 100]
         if own and foreign:
-            rates[k] = float(np.sqrt(np.quantile(own, 0.9) * np.quantile(foreign, 0.5)))
+            rates[k] = max(LEAST_RATE, float(np.sqrt(np.quantile(own, 0.9) * np.quantile(foreign, 0.5))))
         else:
-            rates[k] = float(2.0 * max(own, default=0.25))
+            rates[k] = max(LEAST_RATE, float(2.0 * max(own, default=0.25)))
     return {"automata": automata, "rates": rates}
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """Adds __lang (language or null), __phrases, __chars and __accepted to each row of `docs`; whole texts are parsed.
 
-    Null, empty and blank texts have no language and are rejected. Very short texts pass by the slack. Equal counts
+    Null and empty texts and those without a word have no language and are rejected. Very short texts pass by the slack. Equal counts
     go to the alphabetically first language. Repeated rows get equal results; other columns are left alone.
     """
     spark = docs.sparkSession

@@ -15,6 +15,8 @@ DEFAULT_WEIGHT = 1.0
 #: Share of all tokens that the mixture holds.
 BUDGET_SHARE = 0.5
 SEED = "mix-1"
+#: Sources up to which the last kept key of each is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def _shuffle_key(seed: str) -> F.Column:
@@ -52,16 +54,19 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default:
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT, share: float = BUDGET_SHARE, seed: str = SEED) -> DataFrame:
     """The documents of the mixture, all columns kept, globally range-sorted by virtual finish time.
 
-    What `schedule` keeps of a source is a prefix of its shuffled order, so a document stays if its key is at most
-    the last kept key of its source: a map-side filter with one row per source. The finish times are then
-    joined for the final sort. Null, tied, repeated and empty cases are those of `schedule`.
+    What `schedule` keeps of a source is a prefix of its shuffled order. Where there are at most BROADCAST_SOURCES sources, the
+    last kept keys, one row a source, are broadcast, so documents beyond them are dropped before any shuffle. Beyond
+    that number the next step does all by itself: finish times are joined by source and key, which
+    spreads a source that holds most rows, and the documents are range-sorted. Null, tied, repeated and
+    empty cases are those of `schedule`.
     """
     queue = schedule(docs, weights, default, share, seed).select(F.col("source").alias("__qs"), F.col("key").alias("__qk"), F.col("finish").alias("__finish"))
-    lasts = queue.groupBy("__qs").agg(F.max("__qk").alias("__last")).withColumnRenamed("__qs", "__ls")
     own = docs.columns
     keyed = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__key", _shuffle_key(seed))
-    kept = keyed.join(lasts, (F.col("__source") == F.col("__ls")) & (F.col("__key") <= F.col("__last")))
-    timed = kept.join(queue, (F.col("__source") == F.col("__qs")) & (F.col("__key") == F.col("__qk")))
+    lasts = written(queue.groupBy(F.col("__qs").alias("__ls")).agg(F.max("__qk").alias("__last")), "mix-lasts")
+    if lasts.count() <= BROADCAST_SOURCES:
+        keyed = keyed.join(F.broadcast(lasts), (F.col("__source") == F.col("__ls")) & (F.col("__key") <= F.col("__last")))
+    timed = keyed.join(queue, (F.col("__source") == F.col("__qs")) & (F.col("__key") == F.col("__qk")))
     return timed.repartitionByRange(F.col("__finish"), F.col("__key"), F.col("__source")).sortWithinPartitions("__finish", "__key", "__source").select(*own)
 
 
