@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemtext.functions.durable import written
+from tandemtext.functions.durable import drop_written, written_at
 
 MAX_ROUNDS = 60
 
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Nodes may be of any type that Spark can compare.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = written(e.where("u != v").distinct(), "edges")
+    e, path = written_at(e.where("u != v").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
         # large star: larger neighbours of u are tied to the least of u and its neighbours
@@ -28,7 +28,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: smaller neighbours of u, and u itself, are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        e = written(small, "edges")
+        new, new_path = written_at(small, "edges")
+        drop_written(e.sparkSession, path)
+        e, path = new, new_path
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,20 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset and all runs on one machine, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        root = "file://" + tempfile.mkdtemp(prefix="tandemtext-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="tandemtext-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir("file://" + own)
+    return "file://" + own
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark).rstrip('/')}/tandemtext/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """`df`, computed once and read back from Parquet in the shared folder: lineage ends here, and a lost executor loses nothing."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """As `written`, with the path, so that the table can be dropped when nothing reads it any more."""
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/tandemtext/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written_at` has made."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
