@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tandemtext.llm.common import chunks, table
+from tandemtext.llm.common import chunks, packed, table, unpacked
 
 #: Ranks of a public vocabulary; the file is read on the driver only and sent to the workers.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -92,10 +92,11 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int] | None = None, leaf: int =
     else is encoded whole, special tokens' names as ordinary text. Repeated rows get equal tokens.
     """
     new = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    docs = docs.select(*[c for c in docs.columns if c not in {f.name for f in new}])
+    docs = docs.drop(*[f.name for f in new])
+    rows = packed(docs, ("text",))
     shared = docs.sparkSession.sparkContext.broadcast(ranks if ranks is not None else read_ranks())
-    names, at, key = docs.columns, docs.columns.index("text"), uuid.uuid4().hex
-    schema = T.StructType([*docs.schema.fields, *new])
+    names, at, key = rows.columns, 0, uuid.uuid4().hex
+    schema = T.StructType([*rows.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codecs.get(key) or _codecs.setdefault(key, Codec(shared.value, leaf))
@@ -111,7 +112,8 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int] | None = None, leaf: int =
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(null)) if null.any() else pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes, mask=null), pa.array(ok, pa.bool_())], names=[*names, "tokens", "n_tokens", "round_trip"])
 
-    return docs.mapInArrow(run, schema)
+    added = tuple(f.name for f in new)
+    return unpacked(rows.mapInArrow(run, schema), [*docs.columns, *added], ("text", *added))
 
 
 def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

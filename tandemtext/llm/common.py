@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """The `used` columns of `docs`, and all others in one struct __rest: no name of theirs can then clash with one of ours."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("__rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], used: tuple[str, ...]) -> DataFrame:
+    """The columns that `packed` was given, in their order."""
+    return df.select(*[F.col(c) if c in used else F.col("__rest").getField(c).alias(c) for c in columns])
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """Each word's XXH3 hash as uint64; a word is hashed once per worker, until the cache is full."""
     if len(_hashes) > _CACHE_LIMIT:

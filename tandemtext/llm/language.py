@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandemtext.llm.common import chunks, table
+from tandemtext.llm.common import chunks, packed, table, unpacked
 
 #: Bound of the labelled sample: characters of text per language that the automata hold, and the documents read for it.
 REFERENCE_CHARS = 40_000
@@ -197,9 +197,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 def keep_known_languages(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The documents that are text of some known language, all columns kept, `lang` set to the language found."""
     model = train(docs.sparkSession, labelled if labelled is not None else docs)
-    own = docs.columns
-    found = identify(docs, model).where("__accepted")
-    return found.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(c) for c in own])
+    used = ("text", "lang") if "lang" in docs.columns else ("text",)
+    found = identify(packed(docs, used), model).where("__accepted")
+    return unpacked(found.withColumn("lang", F.col("__lang")), docs.columns, used)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions.durable import written
 from tandemtext.functions.ranking import running_total
-from tandemtext.llm.common import table
+from tandemtext.llm.common import packed, table, unpacked
 
 #: Weight of each named source; all others have DEFAULT_WEIGHT.
 WEIGHTS: dict[str, float] = {"src0": 2.0}
@@ -61,13 +61,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     empty cases are those of `schedule`.
     """
     queue = schedule(docs, weights, default, share, seed).select(F.col("source").alias("__qs"), F.col("key").alias("__qk"), F.col("finish").alias("__finish"))
-    own = docs.columns
-    keyed = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__key", _shuffle_key(seed))
+    used = ("doc_id", "text", "source")
+    keyed = packed(docs, used).withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__key", _shuffle_key(seed))
     lasts = written(queue.groupBy(F.col("__qs").alias("__ls")).agg(F.max("__qk").alias("__last")), "mix-lasts")
     if lasts.count() <= BROADCAST_SOURCES:
         keyed = keyed.join(F.broadcast(lasts), (F.col("__source") == F.col("__ls")) & (F.col("__key") <= F.col("__last")))
     timed = keyed.join(queue, (F.col("__source") == F.col("__qs")) & (F.col("__key") == F.col("__qk")))
-    return timed.repartitionByRange(F.col("__finish"), F.col("__key"), F.col("__source")).sortWithinPartitions("__finish", "__key", "__source").select(*own)
+    return unpacked(timed.repartitionByRange(F.col("__finish"), F.col("__key"), F.col("__source")).sortWithinPartitions("__finish", "__key", "__source"), docs.columns, used)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandemtext.llm.common import chunks, table
+from tandemtext.llm.common import chunks, packed, table, unpacked
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TOKENS = re.compile(r"[\w+/\-]+(?:\.[\w+/\-]+)*|[^\w\s+/\-]")
@@ -425,7 +425,10 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Null and empty texts, all other columns and the number of rows stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
-    names, at = docs.columns, docs.columns.index("text")
+    used = ("text", "n_chars") if "n_chars" in docs.columns else ("text",)
+    rows = packed(docs, used)
+    names, at = rows.columns, 0
+    sized = 1 if "n_chars" in used else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(shared.value)
@@ -439,13 +442,12 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     clean.append(t)
                 columns = list(b.columns)
                 columns[at] = pa.array(clean, pa.string())
+                if sized is not None:
+                    was = columns[sized]
+                    columns[sized] = pc.coalesce(pa.array([None if t is None else len(t) for t in clean], pa.int64()).cast(was.type), was)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        was = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(was), F.col("n_chars"))).select(*names)
-    return out
+    return unpacked(rows.mapInArrow(run, rows.schema), docs.columns, used)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

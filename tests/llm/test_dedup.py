@@ -95,7 +95,7 @@ ODD = [(1, None), (2, ""), (3, "  \n "), (None, "one two three four five"), (5,
 
 
 def test_keep_one_odd_rows(spark):
-    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(ODD)], "doc_id long, text string, root string, th long")
+    docs = spark.createDataFrame([(i, t, "x", k, k, "y") for k, (i, t) in enumerate(ODD)], "doc_id long, text string, root string, th long, __id long, `a.b` string")
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     kept = [(r.doc_id, r.text) for r in got.collect()]

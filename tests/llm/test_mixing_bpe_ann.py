@@ -49,7 +49,7 @@ def test_mix_matches_brute_force(spark, weights, share):
     rnd = random.Random(3)
     rows = [(i, " ".join("w" for _ in range(rnd.randint(0, 30))), rnd.choice(["a", "a", "b", None])) for i in range(80)]
     rows += [(None, "x y", "a"), (5, None, "b"), (7, rows[7][1], rows[7][2]), (90, "w " * 3000, "b")]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, key long")
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, __key long")
     out = mixing.mix_sources(docs, weights, share=share)
     assert out.columns == docs.columns
     assert sorted([tuple(r)[:3] for r in out.collect()], key=str) == brute_mix(rows, weights, share)
@@ -199,6 +199,7 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 def test_stages_keep_columns(spark):
     import corpus_pipeline as P
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("root", F.lit(1))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({"root": F.lit(1), "__lang": F.lit("x"), "a.b": F.lit(2)})
     for _, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, DATA).columns == docs.columns
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.first()["__lang"] == "x"

@@ -60,12 +60,12 @@ def test_odd_rows(spark):
     base = [(i, f"the and of that with {i} for this is the of and", "en") for i in range(30)] + [(100 + i, f"der und die das nicht {i} mit von ist der die", "de") for i in range(30)]
     base = [(i, (t + " ") * 8, k) for i, t, k in base]
     odd = [(200, None, "en"), (201, "", "de"), (202, "   ", None), (None, "the and of that", None), (203, "the and " * 40_000, None), (204, "the and of", "en"), (204, "the and of", "en")]
-    docs = spark.createDataFrame(base + odd, SCHEMA).withColumn("__x", F.lit(1))
+    docs = spark.createDataFrame(base + odd, SCHEMA).withColumns({"__lang": F.lit("kept"), "__chars": F.lit(1)})
     got = language.keep_known_languages(docs)
     assert got.columns == docs.columns
     ids = [r.doc_id for r in got.collect()]
     assert not {200, 201, 202} & set(ids) and ids.count(204) == 2 and None in ids and 203 in ids
-    assert {r.lang for r in got.where("doc_id < 200").collect()} == {"en", "de"}
+    assert {r.lang for r in got.where("doc_id < 200").collect()} == {"en", "de"} and got.first()["__lang"] == "kept"
     assert language.keep_known_languages(docs.limit(0)).count() == 0
     assert language.keep_known_languages(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
