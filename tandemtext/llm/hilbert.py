@@ -18,7 +18,7 @@ from tandemtext.llm.common import table
 #: Neighbours of each vector that are looked for.
 NEIGHBOURS = 10
 #: Orders, projected dimensions and bits of each in a Hilbert key, rows of a window, and rows of a block of the completion.
-CURVES, DIMS, LEVELS, WINDOW, BLOCK = 4, 7, 8, 64, 1024
+CURVES, DIMS, LEVELS, WINDOW, BLOCK = 4, 7, 8, 64, 2048
 _SLACK = 1e-5
 
 
