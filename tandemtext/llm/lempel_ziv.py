@@ -15,7 +15,7 @@ from tandemtext.functions.runs import whole_keys
 from tandemtext.llm.common import WORDS, chunks, mix, table, word_hashes
 
 #: Minima of a signature; they are cut into BANDS bands of ROWS minima each, and documents that agree in a band are compared.
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 12, 4
 MINIMA = BANDS * ROWS
 #: Least share of equal minima, the estimated Jaccard similarity of the phrase sets, of a reported partner. Near copies with
 #: a tenth of their words changed have about 0.8, other texts of one language below 0.3.
