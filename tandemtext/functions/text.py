@@ -12,13 +12,16 @@ LANGUAGES: dict[str, str] = {
     "ru": "Russian", "bu": "Belarusian", "zh": "Chinese", "de": "German", "en": "English", "fr": "French", "it": "Italian", "tr": "Turkish", "es": "Spanish", "pl": "Polish", "pt": "Portuguese",
     "hu": "Hungarian", "cz": "Czech", "jp": "Japanese", "ba": "Bashkir", "ko": "Korean", "sw": "Swedish", "nl": "Dutch", "uk": "Ukrainian", "cv": "Chuvash", "hy": "Armenian", "xx": "Unknown",
 }
-CULTURES = {"en": "en-US", "ru": "ru-RU", "de": "de-DE", "fr": "fr-FR", "it": "it-IT", "es": "es-ES", "zh": "zh-CN", "jp": "ja-JP", "pl": "pl-PL", "pt": "pt-PT", "tr": "tr-TR", "hu": "hu-HU", "cz": "cs-CZ", "ko": "ko-KR", "nl": "nl-NL", "sw": "sv-SE", "uk": "uk-UA", "bu": "be-BY", "hy": "hy-AM"}
+#: Cultures whose country isn't the language's code in capitals.
+_COUNTRIES = dict(p.split(" ") for p in "bu be-BY,cz cs-CZ,en en-US,hy hy-AM,jp ja-JP,ko ko-KR,sw sv-SE,uk uk-UA,zh zh-CN".split(","))
+CULTURES = {c: _COUNTRIES.get(c, f"{c}-{c.upper()}") for c in ("de", "es", "fr", "hu", "it", "nl", "pl", "pt", "ru", "tr", *_COUNTRIES)}
 CONTENTS = {"ru": "Содержание", "en": "Contents", "de": "Inhalt", "fr": "Sommaire", "es": "Índice", "it": "Indice", "zh": "目录", "jp": "目次", "pl": "Spis treści", "pt": "Índice", "tr": "İçindekiler"}
 
 PARAGRAPH_MARK = "%%%%%"
-LINE_ENDINGS = (".", "!", "?", ";", ":", "。", "？", "！", '"', "'")
-MARKS = ("h1", "h2", "h3", "h4", "h5", "divider", "title", "author", "qtext", "qname", "image", "translator")
-COUNTED_MARKS = ("h1", "h2", "h3", "h4", "h5", "divider", "qtext", "qname", "image")
+LINE_ENDINGS = tuple(""".!?;:。？！"'""")
+LEVELS = tuple(f"h{i}" for i in range(1, 6))
+MARKS = (*LEVELS, "divider", "title", "author", "qtext", "qname", "image", "translator")
+COUNTED_MARKS = (*LEVELS, "divider", "qtext", "qname", "image")
 DELETE, SPLIT, PASS = "delete", "split", "pass"
 
 ENDING_CLASS = r"""[.!?;:。？！"']"""
@@ -27,15 +30,18 @@ META_END = "%%%%%(" + "|".join(MARKS) + r")\.$"
 #: Brackets, quotes and list signs that carry no words.
 SYMBOLS = r"""[()\[\]{}<>«»“”„‟"'`*•#$%&@^~|_=+\\/]"""
 SENTENCE_MARKS = "[^!?。！？.]+[!?。！？.]?"
-GERMAN_MONTHS = "Januar|Jänner|Janner|Februar|März|Marz|April|Mai|Juni|Juli|August|September|Oktober|October|November|Dezember"
+GERMAN_MONTHS = "April|August|Dezember|Februar|J[aä]nner|Januar|Ju[ln]i|M[aä]rz|Mai|November|O[ck]tober|September"
 _HIDDEN = "%@%"
 _SPACES, _COMMAS, _DASHES = (r"(?U)\s{2,}", " "), (r",{2,}", ","), (r"[-—]{2,}", "—")
 DEFAULT_RULES = (_SPACES, _COMMAS, _DASHES)
-_CJK_NOISE = r"(?U)[」「“”„‟\x1A⓪①-⑩⑴-⑽*а-яА-Я()\[\]\s/\-:•＂＃＄％＆＇＊＋－／＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》【】〔〕〖〗〘〙〜〟〰〾〿–—‘’‛‧﹏〉]+"
-_JP_NOISE = r"(?U)[“”„‟\x1A⓪①-⑩⑴-⑽*a-zA-Zа-яА-Я()\[\]\s/\-:•＂＃＄％＆＇（）＊＋－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》【】〔〕〖〗〘〙〜〟〰〾〿–—‘’‛‧﹏〉]+"
+#: Signs and letters foreign to Chinese and Japanese prose, by ranges of code points: ASCII and list signs, Cyrillic, dashes and
+#: quotes, CJK brackets and waves, full-width signs. Japanese also loses Latin letters and more full-width signs, Chinese corner brackets.
+_FOREIGN = r"\s\x1A\x28-\x2A\x2D\x2F\x3A\x5B\x5D\u0410-\u044F\u2013\u2014\u2018\u2019\u201B-\u201F\u2022\u2027\u24EA\u2460-\u2469\u2474-\u247D\u3001\u3003\u3009\u300B\u3010\u3011\u3014-\u301C\u301F\u3030\u303E\u303F\uFE4F\uFF02-\uFF07\uFF0A\uFF0B\uFF0D\uFF0F\uFF1C-\uFF1E\uFF20\uFF3B-\uFF40\uFF5B-\uFF60\uFF62-\uFF64"
+_CJK_NOISE = rf"(?U)[{_FOREIGN}\u300C\u300D]+"
+_JP_NOISE = rf"(?U)[{_FOREIGN}A-Za-z\uFF08\uFF09\uFF1A\uFF1B]+"
 RULES: dict[str, tuple[tuple[str, str], ...]] = {
     "ru": ((r"[/<>•'\n]+", ""), *DEFAULT_RULES),
-    "de": (("[»«“„]+", '"'), (rf"(?U)(\s)(\d{{1,2}})\.(\s+)({GERMAN_MONTHS})", rf"$1$2{_HIDDEN}$3$4"), *DEFAULT_RULES),
+    "de": (("[»«“„]+", '"'), (rf"(?U)(?<=\s)(\d\d?)\.(?=\s+(?:{GERMAN_MONTHS}))", f"$1{_HIDDEN}"), *DEFAULT_RULES),
     "zh": ((_CJK_NOISE, ""),),
     "jp": ((r"\.+", "。"), (_JP_NOISE, "")),
 }
@@ -102,13 +108,13 @@ def after_fr(parts: Column) -> Column:
 
 def split_hy(c: Column) -> Column:
     """Armenian sentences; three or more full stops are one sign."""
-    found = F.regexp_extract_all(F.regexp_replace(c, r"\.{3,}", "…"), F.lit("[^։:…]+[։:…]?"), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(c, r"\.{3,}", "…"), F.lit("[^:։…]+[:։…]?"), F.lit(0))
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
 def after_de(parts: Column) -> Column:
     """The full stops of dates, hidden while splitting, are put back."""
-    return F.transform(parts, lambda x: F.regexp_replace(x, rf"(?U)(\s)(\d{{1,2}}){_HIDDEN}(\s+)({GERMAN_MONTHS})", "$1$2.$3$4"))
+    return F.transform(parts, lambda x: F.regexp_replace(x, rf"(?U)(?<=\s)(\d\d?){_HIDDEN}(?=\s+(?:{GERMAN_MONTHS}))", "$1."))
 
 
 def split_default(c: Column) -> Column:
@@ -178,9 +184,9 @@ def is_date(c: Column) -> Column:
     return F.lower(strip(c)).rlike(_DATE)
 
 
-HEADING_1 = r"(?iu)^часть .*$|^.* band$|^part .*$|^díl .*$|^capitolo .*$"
+HEADING_1 = r"(?iu)^(?:capitolo|díl|part|часть) .*$|^.* band$"
 HEADING_2 = r"(?iu)^глава .*$|^.* teil$"
-ROMAN = r"^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+ROMAN = r"^M{0,4}(?:D?C{0,3}|C[DM])(?:L?X{0,3}|X[CL])(?:V?I{0,3}|I[VX])$"
 ARABIC = r"^[0-9]+$"
 PAGE_NUMBER = r"^-[0-9]+-$"
 INLINE_NUMBER = r"^[0-9]+\s+.*$|^[0-9]+´.*$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandemtext.functions.text import COUNTED_MARKS, LEVELS
 from tandemtext.operators import chains as C
 
 
@@ -96,7 +97,7 @@ def polybook_paragraphs(ends: DataFrame) -> DataFrame:
     return common_ends(ends.withColumnRenamed("par_id", "end"), ["doc_id"]).withColumnRenamed("end", "par_id")
 
 
-_MARK_RANK = {m: i for i, m in enumerate(("title", "author", "translator", "h1", "h2", "h3", "h4", "h5", "divider", "qtext", "qname", "image"))}
+_MARK_RANK = {m: i for i, m in enumerate(("title", "author", "translator", *COUNTED_MARKS))}
 
 
 def mark_rank(c: Column) -> Column:
@@ -122,7 +123,7 @@ def book_items(pars: DataFrame, meta: DataFrame) -> DataFrame:
 def sections(items: DataFrame) -> DataFrame:
     """`items` with the section they lie in: one begins at each heading h1 to h5; what comes before the first is section 0."""
     w = Window.partitionBy("doc_id").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("section", F.sum(F.coalesce(F.col("mark").isin("h1", "h2", "h3", "h4", "h5").cast("int"), F.lit(0))).over(w).cast("long"))
+    return items.withColumn("section", F.sum(F.coalesce(F.col("mark").isin(*LEVELS).cast("int"), F.lit(0))).over(w).cast("long"))
 
 
 def meta_value(meta: DataFrame, mark: str, side: str, occurrence: int = 0) -> DataFrame:

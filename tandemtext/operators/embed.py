@@ -85,7 +85,7 @@ def fill_vectors(lines: DataFrame, vectors: DataFrame, load: Callable[[], Encode
 def endpoint(url: F.Column) -> F.Column:
     """The path of an embedding or completion service after its version or deployment; null where there is none."""
     found = F.regexp_extract(url, r"^https://[^/]+/v\d+/(.+)$", 1)
-    hosted = F.regexp_extract(url, r"^https://[^/]+/openai/deployments/[^/]+/(.+?)(?:\?|$)", 1)
+    hosted = F.regexp_extract(url, r"^https://[^/]+/(?:\w+/)?deployments/[^/]+/([^?]+)", 1)
     return F.when(found != "", found).when(hosted != "", hosted)
 
 

@@ -74,7 +74,7 @@ def _flagged(lines: DataFrame) -> DataFrame:
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
     here = _order().rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("paragraph", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("long"))
-    return own.withColumns({m: F.sum(F.coalesce((F.col("mark") == m).cast("int"), F.lit(0))).over(here).cast("long") for m in ("h1", "h2", "h3", "h4", "h5", "divider")})
+    return own.withColumns({m: F.sum(F.coalesce((F.col("mark") == m).cast("int"), F.lit(0))).over(here).cast("long") for m in (*X.LEVELS, "divider")})
 
 
 def handle_marks(lines: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def handle_marks(lines: DataFrame) -> DataFrame:
     """
     own = _flagged(lines).where("mark is null")
     new_id = F.row_number().over(_order()).cast("long")
-    return own.select(*KEY, new_id.alias("line_id"), F.col("line").alias("text"), "paragraph", "h1", "h2", "h3", "h4", "h5", "divider")
+    return own.select(*KEY, new_id.alias("line_id"), F.col("line").alias("text"), "paragraph", *X.LEVELS, "divider")
 
 
 def meta_lines(lines: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandemtext.functions.text import LEVELS
+
 VERSION = "7.0"
 _ID, _IDS = T.LongType(), T.ArrayType(T.LongType())
-_counters = [T.StructField(c, _ID) for c in ("paragraph", "h1", "h2", "h3", "h4", "h5", "divider")]
+_counters = [T.StructField(c, _ID) for c in ("paragraph", *LEVELS, "divider")]
 _key = [T.StructField("doc_id", T.StringType()), T.StructField("side", T.StringType())]
 SCHEMAS: dict[str, T.StructType] = {
     "line": T.StructType([*_key, T.StructField("line_id", _ID), T.StructField("text", T.StringType()), T.StructField("proxy_text", T.StringType()), T.StructField("exclude", T.BooleanType()), *_counters]),

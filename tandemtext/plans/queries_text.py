@@ -128,7 +128,7 @@ _FLAGS = f"""{I.MARKED}, f1 AS (SELECT doc_id, line_id, {_ST("text")} AS s FROM
 f2 AS (SELECT doc_id, line_id, regexp_matches(s, '{_ENDS}') AS nx, regexp_replace(s, '{_ENDS}', '\\1') AS s FROM f1),
 f3 AS (SELECT *, nullif(regexp_extract(s, '{_META}', 1), '') AS mark FROM f2),
 fl AS (SELECT *, coalesce(sum((mark IS NOT NULL OR nx)::INT) OVER (PARTITION BY doc_id ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS paragraph,
-  {", ".join(f"(count(*) FILTER (mark = '{m}') OVER (PARTITION BY doc_id ORDER BY line_id))::BIGINT AS {m}" for m in ("h1", "h2", "h3", "h4", "h5", "divider"))} FROM f3)"""
+  {", ".join(f"(count(*) FILTER (mark = '{m}') OVER (PARTITION BY doc_id ORDER BY line_id))::BIGINT AS {m}" for m in (*X.LEVELS, "divider"))} FROM f3)"""
 _SEG = f"""{_FLAGS}, sg AS (SELECT DISTINCT doc_id, paragraph AS par_id FROM fl WHERE mark IN ('h2', 'h4')),
 sn AS (SELECT doc_id, count(*) AS n FROM fl WHERE mark IS NULL GROUP BY doc_id),
 ss AS (SELECT doc_id, row_number() OVER w AS segment, par_id AS p0, coalesce(lead(par_id) OVER w, n)::BIGINT AS p1 FROM sg JOIN sn USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY par_id))"""
@@ -178,7 +178,7 @@ _DE_RULES = (("[»«“„]+", '"'), (rf"({_S})([0-9]{{1,2}})\.({_S}+)({_MONTHS}
 _CONTENTS = "CASE lang WHEN 'de' THEN 'Inhalt' WHEN 'fr' THEN 'Sommaire' WHEN 'es' THEN 'Índice' ELSE 'Contents' END"
 ORACLES = {
     "split_zh": _split_sql(_MARKS_SQL % "text"), "split_jp": _split_sql(_PULL(_MARKS_SQL % "text", "」", "」")),
-    "split_hy": _split_sql(f"list_filter(list_transform(regexp_extract_all({_rx('text', (r'\.{3,}', '…'))}, '[^։:…]+[։:…]?'), lambda x: {_ST('x')}), lambda x: x <> '')"),
+    "split_hy": _split_sql(f"list_filter(list_transform(regexp_extract_all({_rx('text', (r'\.{3,}', '…'))}, '[^:։…]+[:։…]?'), lambda x: {_ST('x')}), lambda x: x <> '')"),
     "split_default": _split_sql(_SPLIT_DEFAULT("text")),
     "split_fr": f"WITH {I.DIRTY}, s0 AS (SELECT doc_id, line_id, {_SPLIT_DEFAULT(_rx('text', *_DEFAULT))} AS a FROM di), s1 AS (SELECT doc_id, line_id, {_PULL('a', '»', ' »')} AS a FROM s0), s2 AS (SELECT doc_id, line_id, {_DROP_BLANK('a')} AS a FROM s1) SELECT doc_id, line_id, (generate_subscripts(a, 1) - 1)::BIGINT AS p, unnest(a) AS part FROM s2",
     "split_de": f"WITH {I.DIRTY}, s0 AS (SELECT doc_id, line_id, list_transform({_SPLIT_DEFAULT(_rx('text', *_DE_RULES))}, lambda x: {_rx('x', (rf'({_S})([0-9]{{1,2}})%@%({_S}+)({_MONTHS})', r'\1\2.\3\4'))}) AS a FROM di), s2 AS (SELECT doc_id, line_id, {_DROP_BLANK('a')} AS a FROM s0) SELECT doc_id, line_id, (generate_subscripts(a, 1) - 1)::BIGINT AS p, unnest(a) AS part FROM s2",

@@ -30,7 +30,7 @@ def wrapped(rows: DataFrame, head: Column, foot: Column, keys: tuple[str, ...] =
 
 
 def tmx_documents(items: DataFrame, lang_from: str, lang_to: str) -> DataFrame:
-    head = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>\n<tmx version="1.4">\n<header srclang="'), culture(F.lit(lang_from)), F.lit('" datatype="plaintext" segtype="sentence"/>\n<body>'))
+    head = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<tmx version='1.4'>\n<header srclang=\""), culture(F.lit(lang_from)), F.lit('" datatype="plaintext" segtype="sentence"/>\n<body>'))
     return wrapped(tmx_units(items, lang_from, lang_to), head, F.lit("</body>\n</tmx>"))
 
 
@@ -99,8 +99,8 @@ def html_rows(items: DataFrame, styles: int = 1) -> DataFrame:
 def html_books(items: DataFrame, lang: str, styles: list[dict[str, str]] | None = None, amount: int = 0) -> DataFrame:
     """(doc_id, value): a two-column page for each document; `amount` keeps the first so many items for a preview."""
     own = items.where(F.col("item") <= amount) if amount else items
-    head = F.concat(F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><style>\n{css(styles or [])}\n</style></head><body><h1>'), contents_name(F.lit(lang)), F.lit("</h1><table>"))
-    return wrapped(html_rows(own, len(styles or [1])), head, F.lit("</table></body></html>"))
+    head = F.concat(F.lit(f'<!doctype html><html lang="{lang}"><meta charset=utf-8><style>\n{css(styles or [])}\n</style><h1>'), contents_name(F.lit(lang)), F.lit("</h1><table>"))
+    return wrapped(html_rows(own, len(styles or [1])), head, F.lit("</table></html>"))
 
 
 def polybook_html(blocks: DataFrame, langs: list[str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -108,7 +108,7 @@ def polybook_html(blocks: DataFrame, langs: list[str], keys: tuple[str, ...] = (
     cells = F.map_from_entries(F.collect_list(F.struct("lang", "text")))
     row = F.concat(F.lit("<tr>"), *[F.concat(F.lit('<td class="col">'), xml_escape(F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(""))), F.lit("</td>")) for c in langs], F.lit("</tr>"))
     rows = blocks.groupBy(*keys, "end").agg(cells.alias("m")).select(*keys, F.col("end").alias("pos"), row.alias("value"))
-    return wrapped(rows, F.lit(f"<html><head><style>\n{css([], len(langs))}\n</style></head><body><table>"), F.lit("</table></body></html>"), keys)
+    return wrapped(rows, F.lit(f"<html><style>\n{css([], len(langs))}\n</style><table>"), F.lit("</table></html>"), keys)
 
 
 def write_lines(rows: DataFrame, path: str, order: tuple[str, ...] = ("doc_id", "pos")) -> None:

@@ -61,8 +61,8 @@ def test_mark_headings_ends_the_line_before(spark):
 
 
 def test_merge_example(spark):
-    a = [[6, 7], [8], [9, 10, 11, 12], [13, 14, 15], [16]]
-    b = [[6], [7], [8], [9], [10, 11, 12, 13], [14, 15, 16]]
+    runs = lambda *sizes: [list(range(6 + sum(sizes[:k]), 6 + sum(sizes[: k + 1]))) for k in range(len(sizes))]
+    a, b = runs(2, 1, 4, 3, 1), runs(1, 1, 1, 1, 4, 3)
     data = [("d", lang, x[-1], x, [x[0]]) for lang, bs in (("a", a), ("b", b)) for x in bs]
     df = spark.createDataFrame(data, "doc_id string, lang string, end long, main_ids array<long>, target_ids array<long>")
     got = books.polybook_blocks(df, ["doc_id"]).where("lang = 'a'").orderBy("end").collect()
