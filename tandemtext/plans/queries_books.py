@@ -290,7 +290,7 @@ def tmx_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
-    return exports.plain_text(_items(spark, d), "to", [0, 2])
+    return exports.plain_text(_items(spark, d), "to")
 
 
 def paragraph_text(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +343,7 @@ def meta_soft_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def page_join(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    wanted = items.where("pos <= 7").select("doc_id", (8 - F.col("pos")).alias("rank"), "pos")
+    wanted = items.select("doc_id", (-F.col("pos")).alias("rank"), "pos")  # every item, the last one first
     return store.page(items, wanted).select("doc_id", "rank", "text_from", "text_to")
 
 
@@ -399,7 +399,7 @@ ORACLES = {
     "book_items": f"WITH {_items_sql()} SELECT * FROM bi", "book_sections": f"WITH {_items_sql()}, {_SECT} SELECT doc_id, section, count(*) AS items, count(*) FILTER (kind = 'paragraph') AS paragraphs FROM se GROUP BY ALL",
     "xml_sections": f"WITH {_items_sql()}, {_SECT} SELECT doc_id, section, '<section>' || chr(10) || string_agg('<' || {_TAG} || '><su lang=\"from\">' || {_ESC('value_from')} || '</su><su lang=\"to\">' || {_ESC('value_to')} || '</su></' || {_TAG} || '>', chr(10) ORDER BY item) || chr(10) || '</section>' AS value FROM se GROUP BY ALL HAVING count(*) FILTER (kind = 'paragraph') > 0",
     "tmx_rows": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, '<tu><tuv xml:lang=\"en-US\"><seg>' || {_ESC('text_from')} || '</seg></tuv><tuv xml:lang=\"de-DE\"><seg>' || {_ESC('text_to')} || '</seg></tuv></tu>' AS value FROM tx",
-    "plain_text": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, text_to AS value FROM tx WHERE batch_id IN (0, 2)",
+    "plain_text": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, text_to AS value FROM tx",
     "paragraph_text": f"WITH {_PARS} SELECT doc_id, par_id + 1 AS pos, array_to_string(tt, ' ') AS value FROM pa",
     "json_body": f"WITH {_items_sql()} SELECT doc_id, item, CASE kind WHEN 'heading' THEN 'h' ELSE 'p' END AS t, mark AS c, value_to AS p FROM bi",
     "html_rows": f"WITH {_items_sql()}, h AS (SELECT *, CASE kind WHEN 'heading' THEN 'h2' ELSE 'p' END AS g, (item % 3)::VARCHAR AS y FROM bi) SELECT doc_id, item AS pos, '<tr>' || {' || '.join(f'''{chr(39)}<td class=\"col\"><{chr(39)} || g || {chr(39)} class=\"s{chr(39)} || y || {chr(39)}\">{chr(39)} || {_ESC('value_' + s)} || {chr(39)}</{chr(39)} || g || {chr(39)}></td>{chr(39)}''' for s in ('from', 'to'))} || '</tr>' AS value FROM h",
@@ -407,7 +407,7 @@ ORACLES = {
     "insert_lines": f"WITH {I.LINES}, x AS (SELECT *, doc_id % 9 + 1 AS a, ((line_id - 1) // 4)::BIGINT AS paragraph FROM ln) SELECT doc_id, CASE WHEN line_id > a THEN line_id + 1 ELSE line_id END AS line_id, text, paragraph FROM x UNION ALL SELECT doc_id, line_id + 1, '', paragraph FROM x WHERE line_id = a",
     "meta_insert": f"WITH {_items_sql()}, u AS (SELECT doc_id, mark, val, par_id, 0 AS late, occ FROM m1 UNION ALL SELECT DISTINCT doc_id, 'h1', 'new', 1, 1, NULL FROM m1) SELECT doc_id, mark, val, (row_number() OVER (PARTITION BY doc_id, mark ORDER BY par_id, late, occ) - 1)::BIGINT AS occurrence, par_id::BIGINT AS par_id FROM u",
     "meta_soft_delete": f"WITH {_items_sql()} SELECT mark, count(*) FILTER (occ = 0 AND mark IN ('h1', 'h2')) AS gone, count(*) AS n FROM m1 GROUP BY mark",
-    "page_join": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, 8 - pos AS rank, text_from, text_to FROM tx WHERE pos <= 7",
+    "page_join": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, -pos AS rank, text_from, text_to FROM tx",
     "replaced_batches": f"WITH {I.MATCH}, x AS (SELECT batch_id, to_ids FROM ma WHERE batch_id <> 1 OR NOT EXISTS (SELECT 1 FROM ma b WHERE b.doc_id = ma.doc_id AND b.batch_id = 1 AND b.sub_id < 5) UNION ALL SELECT batch_id, [1] FROM ma WHERE batch_id = 1 AND sub_id < 5) SELECT batch_id, count(*) AS n, sum(list_sum(to_ids))::BIGINT AS total FROM x GROUP BY batch_id",
     "alignment_points": f"WITH {I.MATCH} SELECT doc_id, (from_ids[1] - 1) // 10 AS bucket, from_ids[1] AS x, unnest(to_ids) AS y FROM ma",
     "ols_fit": f"WITH {I.MATCH}, p AS (SELECT doc_id, (from_ids[1] - 1) // 10 AS bucket, from_ids[1]::DOUBLE AS x, unnest(to_ids)::DOUBLE AS y FROM ma), f AS (SELECT doc_id, bucket, CASE WHEN count(DISTINCT x) > 1 THEN regr_slope(y, x) END AS slope, CASE WHEN count(DISTINCT x) > 1 THEN regr_intercept(y, x) END AS intercept FROM p GROUP BY ALL) SELECT doc_id, bucket, round(any_value(slope), 5) + 0.0 AS slope, round(any_value(intercept), 5) + 0.0 AS intercept, round(avg(CASE WHEN slope IS NOT NULL THEN (y - slope * x - intercept) * (y - slope * x - intercept) END), 5) AS mse FROM p JOIN f USING (doc_id, bucket) GROUP BY doc_id, bucket",
