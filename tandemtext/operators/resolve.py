@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tandemtext.functions.durable import written
 from tandemtext.functions.vectors import aggregate_vectors, cosine
 from tandemtext.operators import chains as C
 
-#: A conflict with n lines on its longer side has C(n - 1, groups - 1) variants; the loops leave longer ones alone.
+#: Conflicts with this many lines on a side are left alone; what is scored grows with the cube of the lines.
 MAX_SIDE = 26
 
 
@@ -78,12 +80,64 @@ def best_variants(found: DataFrame, sims: DataFrame) -> DataFrame:
     return best.select("doc_id", "conflict", (-F.col("b.v")).alias("variant"), F.col("b.score").alias("score"))
 
 
+def grouping_pairs(conflicts: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
+    """(doc_id, conflict, k, a, b, from_ids, to_ids): every pair that some variant of a conflict has as its k-th: a line of
+    the shorter side and the lines a to b, counted from 1, of the longer. There are at most g * (n - g + 1)^2 of them, however
+    many variants they make up."""
+    ids = lambda side: F.sequence(F.col(f"start.{side}_id"), F.col(f"end.{side}_id"))
+    own = conflicts.where((F.col("len_from") >= 0) & (F.col("len_to") >= 0) & (F.greatest("len_from", "len_to") < max_side))
+    own = own.select("doc_id", "conflict", ids("from").alias("f"), ids("to").alias("t")).withColumn("wide_to", F.size("f") < F.size("t"))
+    own = own.withColumn("n", F.greatest(F.size("f"), F.size("t"))).withColumn("g", F.least(F.size("f"), F.size("t")))
+    k, a, b, room = F.col("k"), F.col("a"), F.col("b"), F.col("n") - F.col("g") + F.col("k")
+    rows = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("g"))))
+    rows = rows.withColumn("a", F.explode(F.when(k == 1, F.array(F.lit(1))).otherwise(F.sequence(k, room))))
+    rows = rows.withColumn("b", F.explode(F.when(k == F.col("g"), F.array("n")).otherwise(F.sequence(a, room))))
+    group = lambda side: F.slice(side, a, b - a + 1)
+    one = lambda side: F.array(F.element_at(side, k))
+    return rows.select("doc_id", "conflict", "k", "a", "b", F.when(F.col("wide_to"), one("f")).otherwise(group("f")).alias("from_ids"), F.when(F.col("wide_to"), group("t")).otherwise(one("t")).alias("to_ids"))
+
+
+def best_groups(k: np.ndarray, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> list[tuple[int, int]]:
+    """The (a, b) of each group, in order, of the grouping with the largest sum of similarities; of equals, and where no sum is
+    above 0, the first in the order of cuts. `best[k, a]` is the most that groups k and later can have from line a on."""
+    g, n = int(k.max()), int(b.max())
+    s = np.full((g + 1, n + 2, n + 2), -np.inf)
+    s[k, a, b] = sim
+    best = np.full((g + 2, n + 2), -np.inf)
+    best[g + 1, n + 1] = 0
+    for i in range(g, 0, -1):
+        best[i, :-1] = (s[i, :-1, :-1] + best[i + 1, 1:]).max(axis=1)
+    if round(best[1, 1], 12) <= 0:
+        return [(i, i) for i in range(1, g)] + [(g, n)]
+    out, at = [], 1
+    for i in range(1, g + 1):
+        to = int(np.flatnonzero(s[i, at, :-1] + best[i + 1, 1:] >= best[i, at] - 1e-12)[0])
+        out.append((at, to))
+        at = to + 1
+    return out
+
+
 def solutions(conflicts: DataFrame, vectors: DataFrame, method: str = "weighted_average", embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(doc_id, conflict, pair, from_ids, to_ids, sim): the best grouping of each conflict; all conflicts at once."""
-    found = variants(conflicts)
-    sims = pair_similarities(found, vectors, method, embed)
-    best = best_variants(found, sims)
-    return found.join(best.select("doc_id", "conflict", "variant"), ["doc_id", "conflict", "variant"], "left_semi").join(sims, ["doc_id", "from_ids", "to_ids"]).select("doc_id", "conflict", "pair", "from_ids", "to_ids", "sim")
+    """(doc_id, conflict, pair, from_ids, to_ids, sim): the best grouping of each conflict; all conflicts at once.
+
+    What `variants` and `best_variants` would find among all C(n - 1, g - 1) groupings is found by dynamic programming over
+    the few pairs that these share.
+    """
+    pairs = grouping_pairs(conflicts)
+    scored = written(pairs.join(pair_similarities(pairs, vectors, method, embed), ["doc_id", "from_ids", "to_ids"]), "pairs")
+    each = scored.groupBy("doc_id", "conflict").agg(F.collect_list(F.struct("k", "a", "b", "sim")).alias("l")).select("doc_id", "conflict", *[F.col(f"l.{c}").alias(c) for c in ("k", "a", "b", "sim")])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            rows = []
+            for doc, conflict, *columns in df.itertuples(index=False):
+                for i, (x, y) in enumerate(best_groups(*map(np.asarray, columns)), 1):
+                    rows.append((doc, conflict, i, x, y))
+            yield pd.DataFrame(rows, columns=["doc_id", "conflict", "k", "a", "b"])
+
+    kind = conflicts.schema["doc_id"].dataType.simpleString()
+    chosen = each.mapInPandas(run, f"doc_id {kind}, conflict long, k int, a int, b int")
+    return scored.join(chosen, ["doc_id", "conflict", "k", "a", "b"]).select("doc_id", "conflict", F.col("k").cast("long").alias("pair"), "from_ids", "to_ids", "sim")
 
 
 def splice(match: DataFrame, conflicts: DataFrame, solved: DataFrame) -> DataFrame:

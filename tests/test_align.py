@@ -84,6 +84,22 @@ def test_round_keeps_every_line_once(spark):
     assert [r.sub_id for r in got] == list(range(len(got)))
 
 
+def test_best_groups_are_the_best_variant(spark):
+    lines = line_table(spark, 30, 30, 9)
+    point = "struct<from_id:long,to_id:long,batch_id:long,sub_id:long>"
+    shapes = [(1, 1), (2, 6), (6, 2), (5, 5), (1, 4), (7, 3), (4, 8)]
+    found = spark.createDataFrame([(1, k, (3, 4, 0, 2), (2 + f, 3 + t, 0, 9), f - 1, t - 1) for k, (f, t) in enumerate(shapes)], f"doc_id long, conflict long, start {point}, end {point}, len_from long, len_to long")
+    every = resolve.variants(found)
+    sims = resolve.pair_similarities(every, lines)
+    best = resolve.best_variants(every, sims).select("doc_id", "conflict", "variant")
+    want = every.join(best, ["doc_id", "conflict", "variant"]).collect()
+    got = resolve.solutions(found, lines).collect()
+    key = lambda rows: sorted((r.conflict, r.pair, r.from_ids, r.to_ids) for r in rows)
+    assert key(got) == key(want)
+    pairs = {(r.conflict, tuple(r.from_ids), tuple(r.to_ids)) for r in resolve.grouping_pairs(found).collect()}
+    assert pairs == {(r.conflict, tuple(r.from_ids), tuple(r.to_ids)) for r in every.collect()}
+
+
 def test_correct_conflicts_never_worse(spark):
     m = matches(spark, [[1], [2], [3], [4], [4], [1], [2], [7], [8]])
     before = resolve.all_conflicts(m, 2, 26)[1].count()
