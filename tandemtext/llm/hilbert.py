@@ -17,8 +17,9 @@ from tandemtext.llm.common import table
 
 #: Neighbours of each vector that are looked for.
 NEIGHBOURS = 10
-#: Orders, projected dimensions and bits of each in a Hilbert key, rows of a window, and rows of a block of the completion.
-CURVES, DIMS, LEVELS, WINDOW, BLOCK = 4, 7, 8, 64, 2048
+#: Orders, projected dimensions and bits of each in a Hilbert key, rows of a window; rows of a block of the completion, and
+#: blocks that travel together: of n vectors, each is sent about n / (BLOCK * TILE) times.
+CURVES, DIMS, LEVELS, WINDOW, BLOCK, TILE = 4, 7, 8, 64, 2048, 8
 _SLACK = 1e-5
 
 
@@ -191,30 +192,37 @@ def completed(base: DataFrame, known: DataFrame, k: int, block: int = BLOCK) ->
     right = b.select(F.col("block").alias("cb"), F.col("centre").alias("cc"), F.col("radius").alias("cr"))
     dot = F.aggregate(F.zip_with("qc", "cc", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.greatest(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("qr") - F.col("cr"), F.lit(0.0))
-    pairs = left.crossJoin(right).where(F.cos(apart) + _SLACK >= F.col("lowest")).select("qb", "cb")
-    full = pairs.join(b.select(F.col("block").alias("cb"), F.col("ids").alias("cids"), F.col("vecs").alias("cvecs")), "cb").join(b.select(F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.col("least").alias("qleast")), "qb")
+    pairs = left.crossJoin(right).where(F.cos(apart) + _SLACK >= F.col("lowest"))
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    tiles = pairs.groupBy(tile("qb").alias("qt"), tile("cb").alias("ct")).agg(F.collect_list(F.struct("qb", "cb")).alias("todo"))
+    packs = written(b.groupBy(tile("block").alias("t")).agg(F.collect_list(F.struct("block", "ids", "vecs", "least")).alias("blocks")), "tiles")
+    full = tiles.join(packs.select(F.col("t").alias("ct"), F.col("blocks").alias("cs")), "ct").join(packs.select(F.col("t").alias("qt"), F.col("blocks").alias("qs")), "qt").select("todo", "qs", "cs")
     kind = base.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("other", kind), T.StructField("sim", T.DoubleType())])
 
+    def opened(blocks: pa.StructArray) -> dict[int, tuple[pa.Array, np.ndarray, np.ndarray]]:
+        out = {}
+        for x in range(len(blocks)):
+            ids = blocks.field("ids")[x].values
+            vecs = np.frombuffer(blocks.field("vecs")[x].as_py(), np.float32).reshape(len(ids), -1)
+            out[blocks.field("block")[x].as_py()] = ids, vecs, np.frombuffer(blocks.field("least")[x].as_py(), np.float64).copy()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                b = batch.slice(r, 1)
-                cids, qids = b.column("cids").flatten(), b.column("qids").flatten()
-                c = np.frombuffer(b.column("cvecs")[0].as_py(), np.float32).reshape(len(cids), -1)
-                q = np.frombuffer(b.column("qvecs")[0].as_py(), np.float32).reshape(len(qids), -1)
-                least = np.frombuffer(b.column("qleast")[0].as_py(), np.float64)
-                same = b.column("qb")[0].as_py() == b.column("cb")[0].as_py()
-                sims = q @ c.T
-                if same:
-                    np.fill_diagonal(sims, -9)
-                # no more than k of one block can be among the k nearest, ties aside
-                if sims.shape[1] > k:
-                    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-                    least = np.maximum(least, kth)
-                i, j = np.nonzero(sims >= least[:, None] - _SLACK)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), cids.take(pa.array(j)), pa.array(_exact(q[i], c[j]))], names=schema.names)
+                qs, cs = opened(batch.column(1)[r].values), opened(batch.column(2)[r].values)
+                for todo in batch.column(0)[r].as_py():
+                    (qids, q, least), (cids, c, _) = qs[todo["qb"]], cs[todo["cb"]]
+                    sims = q @ c.T
+                    if todo["qb"] == todo["cb"]:
+                        np.fill_diagonal(sims, -9)
+                    # no more than k of one block can be among the k nearest, ties aside; the next blocks must beat them too
+                    if sims.shape[1] > k:
+                        np.maximum(least, -np.partition(-sims, k - 1, axis=1)[:, k - 1], out=least)
+                    i, j = np.nonzero(sims >= least[:, None] - _SLACK)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), cids.take(pa.array(j)), pa.array(_exact(q[i], c[j]))], names=schema.names)
 
     return full.mapInArrow(run, schema)
 
