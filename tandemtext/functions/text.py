@@ -228,19 +228,29 @@ def marked_heading(c: Column, config: dict[str, str] | None = None) -> Column:
 def cleaned_artifacts(c: Column, config: dict[str, str] | None = None) -> Column:
     """Array of the lines that a line becomes: page numbers, leading numbers, bare numbers and x x x removed or split off."""
     config = config or ARTIFACT_CONFIG
-    line = strip(c)
+
+    def page(s: Column) -> Column:
+        return F.struct(s["num"].alias("num"), F.when(s["line"].rlike(PAGE_NUMBER), "").otherwise(s["line"]).alias("line"))
+
+    def inline(s: Column) -> Column:
+        hit = s["line"].rlike(INLINE_NUMBER) & ~s["line"].rlike(YEARS)
+        if config["date"] == PASS:
+            hit = hit & ~is_date(s["line"])
+        if config["inline"] == DELETE:
+            return F.struct(s["num"].alias("num"), F.when(hit, "").otherwise(s["line"]).alias("line"))
+        return F.struct(F.when(hit, F.regexp_extract(s["line"], "[0-9]+", 0)).alias("num"), F.when(hit, F.regexp_replace(s["line"], "^[0-9]+", "")).otherwise(s["line"]).alias("line"))
+
+    def rest(s: Column) -> Column:
+        gone = F.lit(False)
+        for kind, pattern in (("arabic", ARABIC), ("misc", MISC)):
+            if config[kind] == DELETE:
+                gone = gone | s["line"].rlike(pattern)
+        return F.array(s["num"], F.when(gone, "").otherwise(strip(s["line"])))
+
+    # one-element arrays bind what a rule left to a name, as for headings
+    state = F.array(F.struct(F.lit(None).cast("string").alias("num"), strip(c).alias("line")))
     if config["page_num"] == DELETE:
-        line = F.when(line.rlike(PAGE_NUMBER), "").otherwise(line)
-    inline = line.rlike(INLINE_NUMBER) & ~line.rlike(YEARS)
-    if config["date"] == PASS:
-        inline = inline & ~is_date(line)
-    number = F.when(inline, F.regexp_extract(line, "[0-9]+", 0)) if config["inline"] == SPLIT else F.lit(None).cast("string")
-    if config["inline"] == DELETE:
-        line = F.when(inline, "").otherwise(line)
-    elif config["inline"] == SPLIT:
-        line = F.when(inline, F.regexp_replace(line, "^[0-9]+", "")).otherwise(line)
-    if config["arabic"] == DELETE:
-        line = F.when(line.rlike(ARABIC), "").otherwise(line)
-    if config["misc"] == DELETE:
-        line = F.when(line.rlike(MISC), "").otherwise(line)
-    return F.filter(F.array(number, strip(line)), lambda x: x.isNotNull() & (x != ""))
+        state = F.transform(state, page)
+    if config["inline"] in (DELETE, SPLIT):
+        state = F.transform(state, inline)
+    return F.filter(F.flatten(F.transform(state, rest)), lambda x: x.isNotNull() & (x != ""))
