@@ -260,3 +260,35 @@ def test_near_copies_find_each_other(spark):
         rows += [(2 * k, base), (2 * k + 1, edited(rnd, base, 0.06))]
     got = {r.doc_id: r.partner_id for r in lempel_ziv.fingerprint_partners(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert sum(got[i] == i ^ 1 for i in got) / len(got) >= 0.9
+
+
+def brute_groups(sigs):
+    """The least signature of each signature's group, over all pairs that agree in a band and are similar enough."""
+    v = {s: np.frombuffer(s, np.uint8) for s in sigs}
+    root = {s: s for s in sigs}
+    for a, b in itertools.combinations(sorted(v), 2):
+        same = v[a] == v[b]
+        if same.mean() >= lempel_ziv.SIMILARITY and same.reshape(-1, lempel_ziv.ROWS).all(1).any() and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {s: low if r == high else r for s, r in root.items()}
+    return root
+
+
+def test_fingerprint_groups_hold_all_partners(spark, monkeypatch):
+    monkeypatch.setattr(lempel_ziv, "_PAIRS", 5)
+    rnd = random.Random(31)
+    one = prose(rnd, 300)
+    other = edited(rnd, one, 0.04)
+    # two sets of exact copies near each other: every row has an equal one as its partner
+    rows = [(0, one), (1, one), (2, other), (3, other), (None, one), (4, None), (5, "..."), (6, prose(rnd, 80))]
+    base = prose(rnd, 250)
+    rows += [(10 + k, edited(rnd, base, rnd.choice((0.02, 0.08)))) for k in range(25)]
+    got = lempel_ziv.fingerprint_partners(spark.createDataFrame(rows, SCHEMA)).collect()
+    of = {r.doc_id: r.group_id for r in got}
+    assert {r.doc_id: r.partner_id for r in got if r.doc_id in (0, 1, 2, 3)} == {0: 1, 1: 0, 2: 3, 3: 2}
+    assert len({of[i] for i in (0, 1, 2, 3, None)}) == 1
+    assert of[4] is None and of[5] is None and of[6] == next(r.fingerprint for r in got if r.doc_id == 6)
+    sig = {i: lempel_ziv.signature(t)[1] for i, t in rows}
+    root = brute_groups({s for s in sig.values() if s})
+    for a, b in itertools.combinations([i for i in sig if sig[i]], 2):
+        assert (of[a] == of[b]) == (root[sig[a]] == root[sig[b]])
