@@ -292,3 +292,16 @@ def test_fingerprint_groups_hold_all_partners(spark, monkeypatch):
     root = brute_groups({s for s in sig.values() if s})
     for a, b in itertools.combinations([i for i in sig if sig[i]], 2):
         assert (of[a] == of[b]) == (root[sig[a]] == root[sig[b]])
+
+
+def test_recall_at_the_reported_similarity(spark):
+    rng = np.random.default_rng(41)
+    n, least = 1500, int(np.ceil(lempel_ziv.SIMILARITY * lempel_ziv.MINIMA))
+    a = rng.integers(0, 256, (n, lempel_ziv.MINIMA), np.uint8)
+    changed = rng.permuted(np.tile(np.arange(lempel_ziv.MINIMA) >= least, (n, 1)), axis=1)
+    b = a + changed * rng.integers(1, 256, a.shape, np.uint8)
+    assert ((a == b).sum(axis=1) == least).all()
+    rows = [(bytearray(x.tobytes()),) for x in np.concatenate([a, b])]
+    got = {(bytes(r.sig), bytes(r.other)) for r in lempel_ziv.partners(spark.createDataFrame(rows, "sig binary")).collect()}
+    # every pair of a row of a and its copy is similar enough, whether or not they agree in a band
+    assert sum((x.tobytes(), y.tobytes()) in got for x, y in zip(a, b, strict=True)) / n >= 0.95
