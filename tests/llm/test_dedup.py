@@ -41,6 +41,18 @@ def test_masks_cover_every_radius():
         assert any(all(not m >> b & 1 for b in bits) for m in masks)
 
 
+def test_all_bits_are_searched(spark):
+    rnd = random.Random(51)
+    pairs = []
+    for _ in range(100):
+        a = rnd.getrandbits(simhash.BITS)
+        # 31 bits differ, all in one half
+        flipped = sum(1 << b for b in rnd.sample(range(simhash.BITS // 2, simhash.BITS), 31))
+        pairs.append(tuple(sorted(x.to_bytes(simhash.BITS // 8, "big") for x in (a, a ^ flipped))))
+    got = simhash.near_pairs(spark.createDataFrame([(bytearray(f),) for p in pairs for f in p], "fp binary")).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == set(pairs)
+
+
 def test_groups_match_truth(spark):
     rows, truth = corpus()
     got = {r.doc_id: r.keeper_id for r in simhash.duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
