@@ -46,8 +46,9 @@ def test_all_bits_are_searched(spark):
     pairs = []
     for _ in range(100):
         a = rnd.getrandbits(simhash.BITS)
-        # 31 bits differ, all in one half
-        flipped = sum(1 << b for b in rnd.sample(range(simhash.BITS // 2, simhash.BITS), 31))
+        # as many bits differ as is guaranteed to be found, all in one half
+        half = rnd.choice((0, simhash.BITS // 2))
+        flipped = sum(1 << b for b in rnd.sample(range(half, half + simhash.BITS // 2), simhash.RADIUS))
         pairs.append(tuple(sorted(x.to_bytes(simhash.BITS // 8, "big") for x in (a, a ^ flipped))))
     got = simhash.near_pairs(spark.createDataFrame([(bytearray(f),) for p in pairs for f in p], "fp binary")).collect()
     assert {(bytes(r.a), bytes(r.b)) for r in got} == set(pairs)
@@ -117,6 +118,41 @@ def test_keep_one_odd_rows(spark):
     assert simhash.duplicates(docs.limit(0)).count() == 0
 
 
+def test_query_names_all_copies(spark, tmp_path):
+    # a copy under a null id, one under the keeper's own id with another text, rows alike
+    text = prose(random.Random(61), 120)
+    rows = [(4, text), (None, text + " end"), (4, text + " more"), (4, text), (9, text), (10, "something else entirely here"), (11, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.op1_simhash_neardup(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.keeper_id) for r in got), key=str) == [(4, 4), (9, 4), (None, 4)]
+
+
+def test_groups_of_a_table_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.keeper_id for r in simhash.duplicates(docs).collect()}
+    fp = {r.doc_id: simhash.fingerprint(set(WORDS.findall(r.text.lower()))) for r in docs.collect()}
+    fp = {i: np.frombuffer(f, np.uint64) for i, f in fp.items() if f}
+    ids, v = np.array(list(fp)), np.array(list(fp.values()))
+    root = {int(i): int(i) for i in ids}
+    for a in range(len(ids)):
+        for b in np.flatnonzero(np.bitwise_count(v[a] ^ v[a + 1 :]).sum(1) <= simhash.MOST_DIFFERENT * simhash.BITS) + a + 1:
+            x, y = sorted((root[int(ids[a])], root[int(ids[b])]))
+            root = {i: x if r == y else r for i, r in root.items()} if x != y else root
+    split = sum(got.get(i, i) != r for i, r in root.items())
+    assert split <= 0.02 * sum(i != r for i, r in root.items()) and all(root[i] == root[k] for i, k in got.items())
+
+
+def test_large_keys_are_searched_as_small_ones(spark, monkeypatch):
+    rows, _ = corpus(17, 30)
+    fps = [(bytearray(f),) for f in sorted({simhash.fingerprint(set(WORDS.findall(t.lower()))) for _, t in rows})]
+    groups = []
+    for at_once in (64, 1):
+        monkeypatch.setattr(simhash, "_AT_ONCE", at_once)
+        found = simhash.connected_components(simhash.near_pairs(spark.createDataFrame(fps, "fp binary"))).collect()
+        groups.append({(bytes(r.node), bytes(r.root)) for r in found})
+    assert groups[0] == groups[1] and groups[0]
+
+
 def test_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "a" * 300_000)], SCHEMA)
