@@ -153,6 +153,27 @@ def test_large_keys_are_searched_as_small_ones(spark, monkeypatch):
     assert groups[0] == groups[1] and groups[0]
 
 
+def test_crowded_keys_keep_the_guarantee(monkeypatch):
+    # one key holds random rows, among them pairs that differ in as many bits as is guaranteed
+    monkeypatch.setattr(simhash, "CROWDED", 100)
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    masks = simhash.covering_masks()
+    rows, pairs = [], []
+    for k in range(400):
+        a = int.from_bytes(rng.bytes(32), "big") & ~(masks[2] << (simhash.BITS - 3 * simhash.BLOCK_BITS))  # block 2 has key 0 under this mask
+        rows.append(a)
+        if k % 4 == 0:
+            free = [i for i in range(simhash.BITS) if not (masks[2] << (simhash.BITS - 3 * simhash.BLOCK_BITS)) >> i & 1]
+            third = [i for i in free if simhash.BITS - 3 * simhash.BLOCK_BITS <= i < simhash.BITS - 2 * simhash.BLOCK_BITS]
+            flip = rnd.sample(third, 3) + rnd.sample([i for i in free if i not in third], simhash.RADIUS - 3)
+            rows.append(a ^ sum(1 << i for i in flip))
+            pairs.append((len(rows) - 2, len(rows) - 1))
+    v = np.frombuffer(b"".join(x.to_bytes(32, "big") for x in rows), np.uint64).reshape(-1, 4)
+    keys = np.full(len(rows), (2 * len(masks) + 2) << simhash.BLOCK_BITS)
+    i, j = simhash._edges_of(keys, v, int(simhash.MOST_DIFFERENT * simhash.BITS))
+    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} >= set(pairs)
+
+
 def test_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "a" * 300_000)], SCHEMA)
