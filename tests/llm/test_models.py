@@ -45,6 +45,65 @@ def test_least_phrases_win():
     assert language.classify(model, b"zz")[0] == "x"  # equal counts: the first name
 
 
+def test_texts_in_step_are_parsed_like_one_by_one(monkeypatch):
+    rnd = random.Random(4)
+    some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n)).encode()
+    model = language.fit({"x": [some("abcd ", 400).decode() for _ in range(4)], "y": [some("cdefé ", 300).decode() for _ in range(4)], "z": ["ab"]})
+    texts = [some("abcdefghé ", rnd.choice((0, 1, 3, 30, 200, 1500))).decode() for _ in range(150)]
+    codes = [language.encode(t) for t in texts] + [b"", b"a" * 5000]
+    want = [language.classify(model, c) for c in codes]
+    for lanes in (1, 48, 1000):
+        monkeypatch.setattr(language, "LANES", lanes)
+        assert language.Parser(model["automata"]).best(codes + codes[:20]) == want + want[:20]
+
+
+def test_words_of_other_scripts():
+    n = lambda t: len(language.encode(t).split())
+    assert language.encode("It's 3 o'clock, x1 y_z no2 NO") == b"it s o clock no"
+    assert n("हिन्दी में लिखा") == 3 and n("Привет, мир") == 2 and n("naïve cafe\u0301") == 2 and n("你好，世界") == 2
+    assert language.encode("éa") != language.encode("ea") and language.encode("") == b""
+
+
+SCRIPTS = {
+    "ru": "море дом лес река ветер говорить утро снег город земля человек время другой большой",
+    "el": "θάλασσα σπίτι δάσος ποτάμι άνεμος μιλάω πρωί χιόνι πόλη γη άνθρωπος χρόνος άλλος μεγάλος",
+    "zh": "大海 房子 森林 河流 风声 说话 早晨 下雪 城市 土地 人们 时间 其他 巨大",
+    "hi": "समुद्र घर जंगल नदी हवा बोलना सुबह बर्फ शहर भूमि मनुष्य समय दूसरा बड़ा",
+}
+
+
+def test_other_scripts_and_short_texts_have_languages(spark):
+    # texts of about 40 letters only, and one language with long texts: none is lost
+    rnd = random.Random(6)
+    text = lambda k, n: " ".join(rnd.choice(SCRIPTS[k].split()) for _ in range(n))
+    rows = [(i, text(k, 7), k) for k in SCRIPTS for i in range(40)] + [(100 + i, "the quick brown fox jumps over some lazy dog and runs away from here to there " * 8 + str(i), "en") for i in range(30)]
+    docs = spark.createDataFrame([(n, t, k) for n, (_, t, k) in enumerate(rows)], SCHEMA)
+    kept = language.keep_known_languages(docs).collect()
+    true = {n: k for n, (_, _, k) in enumerate(rows)}
+    assert len(kept) >= 0.98 * len(rows) and sum(r.lang == true[r.doc_id] for r in kept) >= 0.98 * len(kept)
+
+
+def test_query_matches_one_by_one(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = spark.createDataFrame([(900_001, "qzx", "en"), (900_002, "qzx vvk", None), (900_003, "zxq vkp jjw qqx zzk wvx kqj pzx vvq jkx qwz xxv kzj wqp", "de"), (900_004, None, "fr"), (900_005, "123", "fr")], SCHEMA)
+    docs.unionByName(extra, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.language, r.n_phrases, r.n_symbols) for r in language.op5_language_id(spark, str(tmp_path)).collect()}
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language.train(spark, table)
+    refs = {k: a for k, a in model["automata"].items()}
+    want = {}
+    for r in table.collect():
+        data = language.encode(r.text) if r.text else b""
+        # parsed by the definition, one language after the other
+        n = {k: language.phrases(a, data) for k, a in refs.items()}
+        best = min(n, key=lambda k: (n[k], k))
+        if data and n[best] <= model["rates"][best] * len(data) + language.SLACK:
+            want[r.doc_id] = (best, n[best], len(data))
+    assert got == want
+    # one or two words are no evidence; more junk is
+    assert {900_001, 900_002} <= set(got) and not {900_003, 900_004, 900_005} & set(got)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_languages_of_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
