@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ NEIGHBOURS = 10
 #: Orders, projected dimensions and bits of each in a Hilbert key, rows of a window; rows of a block of the completion, and
 #: blocks that travel together: of n vectors, each is sent about n / (BLOCK * TILE) times.
 CURVES, DIMS, LEVELS, WINDOW, BLOCK, TILE = 4, 7, 8, 64, 2048, 8
+#: Different dimensions that one table may hold; each is a search of its own.
+MOST_DIMENSIONS = 16
 _SLACK = 1e-5
 
 
@@ -70,18 +73,17 @@ def curve_keys(v: np.ndarray, curves: int = CURVES) -> np.ndarray:
     return out
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec, keys): unit vectors packed as float32 bytes, with their curve keys; one row for each id.
-
-    Left out are null ids, null, empty and zero vectors and those with nulls or other than finite numbers. Of rows with one
-    id the least vector stays. All vectors must have one dimension; others than that of the most rows are left out.
-    """
+def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v): one row for each id. Left out are null ids, null, empty and zero vectors and those with nulls or other than
+    finite numbers. Of rows with one id the least vector stays."""
     ok = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     ok = ok.where("size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = float('inf')) and exists(v, x -> x <> 0)")
-    sizes = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = sizes["d"] if sizes else 1
-    one = ok.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
-    schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("vec", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    return ok.groupBy("id").agg(F.min("v").alias("v"))
+
+
+def unit_vectors(one: DataFrame) -> DataFrame:
+    """(id, vec, keys): unit vectors packed as float32 bytes, with their curve keys. `one` is (id, v), all of one dimension."""
+    schema = T.StructType([T.StructField("id", one.schema["id"].dataType), T.StructField("vec", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,13 +233,24 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """(id, other, sim, rank): the k vectors of largest cosine similarity for each vector, itself left out.
 
     With `exact`, what the curves miss is completed; otherwise the result is that of the curve windows alone. Fewer than
-    k other vectors: all of them. Ties go to the least id. What rows are left out is said in `unit_vectors`. Empty input: no rows.
+    k other vectors: all of them. Ties go to the least id. What rows are left out is said in `usable_vectors`. A vector is
+    compared with those of its own dimension, since there is no cosine with others; each dimension is searched by itself.
+    Dimensions may be long: a block holds BLOCK vectors. Other columns are ignored. Empty input: no rows.
     """
-    base = written(unit_vectors(vectors, id_col, vec_col), "vectors")
-    known = written(window_candidates(base, k), "windows")
-    if not exact:
-        return nearest(known, k)
-    return nearest(known.unionByName(completed(base, known, k)), k)
+    spark = vectors.sparkSession
+    one = usable_vectors(vectors, id_col, vec_col)
+    dimensions = sorted(r["d"] for r in one.select(F.size("v").alias("d")).distinct().limit(MOST_DIMENSIONS + 1).collect())
+    if len(dimensions) > MOST_DIMENSIONS:
+        raise ValueError(f"vectors have more than {MOST_DIMENSIONS} different dimensions")
+
+    def of(d: int) -> DataFrame:
+        base = written(unit_vectors(one.where(F.size("v") == d)), "vectors")
+        known = written(window_candidates(base, k), "windows")
+        return nearest(known.unionByName(completed(base, known, k)) if exact else known, k)
+
+    kind = one.schema["id"].dataType.simpleString()
+    found = [of(d) for d in dimensions] or [spark.createDataFrame([], f"id {kind}, other {kind}, sim double, rank int")]
+    return reduce(DataFrame.unionByName, found)
 
 
 def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,13 +134,26 @@ def test_completion_in_small_blocks(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(t) for t in v]) for i, v in enumerate(rng.standard_normal((150, 8)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    base = hilbert.written(hilbert.unit_vectors(df, "vec_id", "embedding"), "t")
+    base = hilbert.written(hilbert.unit_vectors(hilbert.usable_vectors(df, "vec_id", "embedding")), "t")
     known = hilbert.written(hilbert.window_candidates(base, 4, 8), "t")
     got = hilbert.nearest(known.unionByName(hilbert.completed(base, known, 4, 16)), 4).toPandas()
     want = brute_neighbours(rows, 4)
     assert all(set(p.other) == {j for _, j in want[i]} for i, p in got.groupby("id"))
 
 
+def test_each_dimension_by_itself_and_clashing_names(spark):
+    rng = np.random.default_rng(8)
+    rows = {d: [(1000 * d + i, [float(t) for t in v]) for i, v in enumerate(rng.standard_normal((n, d)))] for d, n in ((4, 30), (600, 12))}
+    data = [(*r, "a", [1], 2, 3) for own in rows.values() for r in own] + [(9, [1.0], "a", [1], 2, 3)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, id string, keys array<long>, place int, vec int")
+    got = hilbert.neighbours(df, k=3).toPandas()
+    for own in rows.values():
+        want = brute_neighbours(own, 3)
+        for i, _ in own:
+            assert set(got[got.id == i].other) == {j for _, j in want[i]}
+    assert len(got) == 3 * 42
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.id, r.other) for r in hilbert.neighbours(df).collect()) == [(1, 2), (2, 1)]
