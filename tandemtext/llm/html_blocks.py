@@ -21,7 +21,9 @@ FEATURES = ("words before", "link density before", "words", "link density", "wor
 #: Word count of the neighbour that the first and last block don't have.
 EDGE = -1.0
 
-_TAG = re.compile(r"<!--|<[!?/]?[a-zA-Z][^<>]*>|<[!?][^<>]*>")
+#: A value in quotes after = may hold < and >; a quote that isn't closed is a character like others.
+_ATTRIBUTES = r"""(?:[^<>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+_TAG = re.compile(rf"<!--|<[!?/]?[a-zA-Z]{_ATTRIBUTES}>|<[!?]{_ATTRIBUTES}>")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _SKIPPED = frozenset("script style noscript template title textarea select svg iframe object".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -32,7 +34,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words inside links) of each flat text block, in order.
 
     A block ends at every tag that isn't inline. Comments, scripts, styles, titles and the like are left out; one that
-    is never closed reaches to the end. A < that begins no tag is text.
+    is never closed reaches to the end. A < that begins no tag is text. Values of attributes in quotes may hold < and >.
     """
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
@@ -141,8 +143,9 @@ def content(tree: tuple | float, x: np.ndarray) -> np.ndarray:
 def extract(pages: DataFrame, tree: tuple | float | None = None) -> DataFrame:
     """(page_id, n_blocks, n_content, text) of each row of `pages`: its blocks, those kept, and their text, one block a line.
 
-    Whole pages are read. A null page has null text and no blocks; an empty one, or one without content, empty text.
-    Repeated rows are repeated; other columns are ignored. Empty input: no rows.
+    Whole pages are read, very long ones too. A null page has null text and no blocks; an empty one, one without content and
+    one of broken markup without text, empty text. A null page_id is a value as others. Repeated rows are repeated; other
+    columns are ignored. A table without rows gives none. A leaf with as many examples of either kind counts as content.
     """
     tree = trained_tree() if tree is None else tree
     schema = T.StructType([pages.schema["page_id"], T.StructField("n_blocks", T.LongType()), T.StructField("n_content", T.LongType()), T.StructField("text", T.StringType())])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -273,6 +274,82 @@ def test_blocks():
     assert html_blocks.blocks("<a" * 50_000)[0][1] == 1
 
 
+class Reader(HTMLParser):
+    """Blocks by the standard parser, word by word."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.text, self.skip, self.link, self.words, self.linked = [], "", None, False, 0, 0
+
+    def handle_data(self, data):
+        if self.skip is None:
+            self.text += data
+            self.words += len(data.split())
+            self.linked += len(data.split()) if self.link else 0
+
+    def flush(self):
+        if self.words:
+            self.found.append((" ".join(self.text.split()), self.words, min(self.linked, self.words)))
+        self.text, self.words, self.linked = "", 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip is None and tag in html_blocks._SKIPPED:
+            self.skip = tag
+        elif self.skip is None and tag == "a":
+            self.link = True
+        elif self.skip is None and tag not in html_blocks._INLINE:
+            self.flush()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in html_blocks._SKIPPED:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.skip is not None:
+            self.skip = None if tag == self.skip else self.skip
+        elif tag == "a":
+            self.link = False
+        elif tag not in html_blocks._INLINE:
+            self.flush()
+            self.link = False
+
+
+def brute_blocks(page):
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.flush()
+    return r.found
+
+
+def brute_content(found, k):
+    words = lambda i: found[i][1] if 0 <= i < len(found) else html_blocks.EDGE
+    links = lambda i: found[i][2] / found[i][1] if 0 <= i < len(found) else 0.0
+    x, node = [f(i) for i in (k - 1, k, k + 1) for f in (words, links)], html_blocks.trained_tree()
+    while isinstance(node, tuple):
+        node = node[2] if x[node[0]] <= node[1] else node[3]
+    return node >= 0.5
+
+
+def test_attributes_with_brackets():
+    blocks = html_blocks.blocks
+    assert blocks('<a title="a > b" href=x>Link</a>') == [("Link", 1, 1)]
+    assert blocks('<p data-x="1<2">next') == [("next", 1, 0)] and blocks("<p a = '<p>' b=\">\">one</p>two") == [("one", 1, 0), ("two", 1, 0)]
+    assert blocks('<p a="open>text</p>more') == [("text", 1, 0), ("more", 1, 0)] and blocks("<p it's>a</p><p>b's</p>") == [("a", 1, 0), ("b's", 1, 0)]
+    assert blocks('<a b="' * 30_000) and blocks("<a b='x' " * 30_000)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_matches_the_standard_parser(spark, sf):
+    got = {r.page_id: r for r in html_blocks.op4_html_text(spark, f"/root/testdata/{sf}").collect()}
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        found = brute_blocks(r.html)
+        keep = [brute_content(found, k) for k in range(len(found))]
+        assert (got[r.page_id].n_blocks, got[r.page_id].n_content, got[r.page_id].text) == (len(found), sum(keep), "\n".join(t for (t, _, _), yes in zip(found, keep, strict=True) if yes))
+
+
 def test_tree_splits_like_brute_force():
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, 9, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
@@ -301,5 +378,6 @@ def test_extract_odd_rows(spark):
     got = html_blocks.extract(spark.createDataFrame([(*r, "y") for r in rows], "page_id long, html string, text string")).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
+    assert html_blocks.extract(spark.createDataFrame([(9, "<p <<< >"), (10, "<<>><!-- x")], "page_id long, html string")).count() == 2
     assert by[1].text is None and by[1].n_blocks == 0 and by[2].text == "" and by[3].n_content == 1 and len(by[4].text.split()) == 60_000
     assert html_blocks.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
