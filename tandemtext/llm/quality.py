@@ -109,7 +109,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     both stay or go together, within k.
 
     Nulls: no text weighs log 1 = 0; a null label is not good, a null doc_id has no label. Documents labelled
-    twice are good if any row says so. No labels: nothing is good, the share is 1 and all rows stay.
+    twice are good if any row says so. No labels: nothing is good, the share is 1 and all rows stay. Texts of any length are
+    counted whole. Other columns, whatever their names, are ignored. Empty input: no rows.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), F.max(F.coalesce("quality", F.lit(0))).alias("quality"))
     if share is None:

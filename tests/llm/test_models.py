@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tandemtext.llm import html_blocks, language, quality, secrets_crf
@@ -151,6 +155,54 @@ def test_log_weight_matches_counts():
     assert quality.log_weight(None, True, n) == 0.0 == quality.log_weight("", False, n)
 
 
+def brute_resample(docs, good):
+    """Log weights by dictionaries of n-grams: a bucket is what its n-grams' hashes leave over."""
+    m64 = (1 << 64) - 1
+
+    def finish(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    def grams(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+        h = [xxhash.xxh3_64_intdigest(w) for w in tokens]
+        return [x % quality.BUCKETS for x in h] + [finish((a * 0x9E3779B97F4A7C15 + b) & m64) % quality.BUCKETS for a, b in zip(h, h[1:], strict=False)]
+
+    raw, target = Counter(), Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    out = {}
+    for i, t in docs:
+        own, lw = Counter(grams(t)), 0.0
+        size = sum(own.values())
+        n0, n1 = sum(target.values()) - size * (i in good), sum(raw.values()) - size
+        for x, c in own.items():
+            if n0 > 0 and n1 > 0:
+                p0 = (target[x] - c * (i in good)) / n0 + quality.SMOOTHING / n1
+                p1 = (raw[x] - c) / n1 + quality.SMOOTHING / n1
+                lw += c * (math.log(p0) - math.log(p1))
+        out[i] = lw
+    return out
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    marks = labels.collect()
+    good = {r.doc_id for r in marks if r.quality == 1 and not r.toxic}
+    want = brute_resample(rows, good)
+    share = len({r.doc_id for r in marks if r.quality == 1}) / len({r.doc_id for r in marks})
+    noise = {r.doc_id: r.u for r in docs.select("doc_id", F.expr(f"(pmod(xxhash64('{quality.SEED}', doc_id, xxhash64(text)), 4503599627370496) + 0.5) / 4503599627370496D").alias("u")).collect()}
+    key = {i: w - math.log(-math.log(noise[i])) for i, w in want.items()}
+    kept = sorted(key, key=lambda i: -key[i])[: int(share * len(rows))]
+    got = {r.doc_id: r for r in quality.op9_quality_resample(spark, DATA).collect()}
+    assert set(got) == set(kept)
+    assert all(got[i].log_weight == pytest.approx(want[i], abs=2e-6) and got[i].sample_key == pytest.approx(key[i], abs=2e-6) for i in kept)
+
+
 def test_top_k_is_exact(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality.resample(docs, labels, share=0.3).toPandas()
