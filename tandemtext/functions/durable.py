@@ -76,8 +76,17 @@ def consumed(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFra
             drop_written(spark, path)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
 def drop_written(spark: SparkSession, path: str) -> None:
     """Deletes a table that `written_at` has made."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _at(spark, path)
+    fs.delete(at, True)

@@ -12,10 +12,13 @@ LANGUAGES: dict[str, str] = {
     "ru": "Russian", "bu": "Belarusian", "zh": "Chinese", "de": "German", "en": "English", "fr": "French", "it": "Italian", "tr": "Turkish", "es": "Spanish", "pl": "Polish", "pt": "Portuguese",
     "hu": "Hungarian", "cz": "Czech", "jp": "Japanese", "ba": "Bashkir", "ko": "Korean", "sw": "Swedish", "nl": "Dutch", "uk": "Ukrainian", "cv": "Chuvash", "hy": "Armenian", "xx": "Unknown",
 }
-#: Cultures whose country isn't the language's code in capitals.
-_COUNTRIES = dict(p.split(" ") for p in "bu be-BY,cz cs-CZ,en en-US,hy hy-AM,jp ja-JP,ko ko-KR,sw sv-SE,uk uk-UA,zh zh-CN".split(","))
-CULTURES = {c: _COUNTRIES.get(c, f"{c}-{c.upper()}") for c in ("de", "es", "fr", "hu", "it", "nl", "pl", "pt", "ru", "tr", *_COUNTRIES)}
-CONTENTS = {"ru": "Содержание", "en": "Contents", "de": "Inhalt", "fr": "Sommaire", "es": "Índice", "it": "Indice", "zh": "目录", "jp": "目次", "pl": "Spis treści", "pt": "Índice", "tr": "İçindekiler"}
+#: Languages that have a culture of their own in exports; all others have that of English.
+CULTURES = {lang: f"{lang}-{country}" for lang, country in (("de", "DE"), ("en", "US"), ("ru", "RU"), ("zh", "CN"))}
+#: What a list of contents is called; other languages have the English phrase of `contents_name`.
+CONTENTS = {
+    "ba": "Йөкмәткеһе", "cv": "Содержани", "cz": "Obsah", "de": "Inhalt", "en": "Contents", "es": "Tabla de contenido", "fr": "Table des matières", "hu": "Tartalom", "it": "Sommario", "jp": "目次",
+    "ko": "목차", "nl": "Inhoudsopgave", "pl": "Spis treści", "pt": "Conteúdo", "ru": "Содержание", "sw": "Innehållsförteckning", "tr": "İçindekiler", "uk": "Зміст", "zh": "目录",
+}
 
 PARAGRAPH_MARK = "%%%%%"
 LINE_ENDINGS = tuple(""".!?;:。？！"'""")
@@ -27,8 +30,9 @@ DELETE, SPLIT, PASS = "delete", "split", "pass"
 ENDING_CLASS = r"""[.!?;:。？！"']"""
 _PAR_END = rf"%%%%%({ENDING_CLASS})$"
 META_END = "%%%%%(" + "|".join(MARKS) + r")\.$"
-#: Brackets, quotes and list signs that carry no words.
-SYMBOLS = r"""[()\[\]{}<>«»“”„‟"'`*•#$%&@^~|_=+\\/]"""
+#: Signs that carry no words, by ranges of code points: ASCII brackets, quotes and list signs, circled and bracketed numbers, dashes
+#: and quotes, CJK brackets and waves, full-width signs. Apostrophes and signs of code stay.
+SYMBOLS = r"[\n\x1A\x22-\x26\x28-\x2A\x2D\x2F\x3A\x40\x5B\x5D\x5E\u00AB\u00BB\u2013\u2014\u2018\u2019\u201B-\u201F\u2022\u2027\u2460-\u2469\u2474-\u247D\u24EA\u3001\u3003\u3009\u300B-\u300D\u3010\u3011\u3014-\u3019\u301C\u301F\u3030\u303E\u303F\uFE4F\uFF02-\uFF0B\uFF0D\uFF0F\uFF1A-\uFF1E\uFF20\uFF3B-\uFF40\uFF5B-\uFF60\uFF62-\uFF64]+"
 SENTENCE_MARKS = "[^!?。！？.]+[!?。！？.]?"
 GERMAN_MONTHS = "April|August|Dezember|Februar|J[aä]nner|Januar|Ju[ln]i|M[aä]rz|Mai|November|O[ck]tober|September"
 _HIDDEN = "%@%"
@@ -68,7 +72,7 @@ def culture(c: Column) -> Column:
 
 
 def contents_name(c: Column) -> Column:
-    return _from_map(c, CONTENTS, "Contents")
+    return _from_map(c, CONTENTS, "Table of contents")
 
 
 def clean_symbols(c: Column) -> Column:
@@ -191,7 +195,8 @@ ARABIC = r"^[0-9]+$"
 PAGE_NUMBER = r"^-[0-9]+-$"
 INLINE_NUMBER = r"^[0-9]+\s+.*$|^[0-9]+´.*$"
 MISC = r"^x x x*$"
-YEARS = r"^(15|16|17|18|19|20)[0-9][0-9]"
+#: Lines that begin with a year up to 1999, or are one from 2000 on.
+YEARS = r"^(?:1[5-9][0-9][0-9]|20[0-9][0-9]$)"
 
 #: For each kind of heading: the mark that it gets, or DELETE or PASS.
 HEADING_CONFIG = {"type_1": "h1", "type_2": "h2", "roman": "h2", "arabic": "h2", "date": "h3", "misc": "divider"}
@@ -210,19 +215,20 @@ def heading_kind(c: Column) -> Column:
     )
 
 
-def marked_heading(c: Column, config: dict[str, str] | None = None) -> Column:
-    """Struct (text, heading): the stripped line after all heading rules in their order, each seeing what the one before left."""
-    config = config or HEADING_CONFIG
-    tests = [("type_1", lambda x: x.rlike(HEADING_1)), ("type_2", lambda x: x.rlike(HEADING_2)), ("roman", lambda x: (x != "") & x.rlike(ROMAN)), ("arabic", lambda x: x.rlike(ARABIC)), ("date", lambda x: x.rlike(INLINE_NUMBER) & is_date(x)), ("misc", lambda x: x.rlike(MISC))]
-    # one-element arrays bind what a rule left to a name; nested CASEs would double the expression with every rule
-    state = F.array(F.struct(strip(c).alias("text"), F.lit(False).alias("heading")))
-
-    def rule(kind: str, test):
-        return lambda s: F.struct(F.when(test(s["text"]), _acted(s["text"], config[kind])).otherwise(s["text"]).alias("text"), (s["heading"] | test(s["text"])).alias("heading"))
+def marked_heading(c: Column, kind: Column, config: dict[str, str] | None = None) -> Column:
+    """The stripped line `c` after all heading rules in their order, `kind` being its `heading_kind`.
 
-    for kind, test in tests:
-        state = F.transform(state, rule(kind, test))
-    return F.element_at(state, 1)
+    A rule sees what the one before left. Marks and deletions leave nothing that another rule fits, but for a line of type 1 that
+    also begins as one of type 2: it gets both marks.
+    """
+    config = config or HEADING_CONFIG
+    out = c
+    for k, action in config.items():
+        text = _acted(c, action)
+        if k == "type_1" and action != DELETE:
+            text = F.when(text.rlike(HEADING_2), _acted(text, config["type_2"])).otherwise(text)
+        out = F.when(kind == k, text).otherwise(out)
+    return out
 
 
 def cleaned_artifacts(c: Column, config: dict[str, str] | None = None) -> Column:

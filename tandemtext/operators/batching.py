@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandemtext.operators.books import next_boundary
+
 
 def plain_batches(counts: DataFrame, size: int, window: int, shift: int = 0, batch_ids: list[int] | None = None) -> DataFrame:
     """(doc_id, batch_id, f0, f1, t0, t1): the batches of each document as half-open ranges of 0-based line places.
@@ -28,7 +30,14 @@ def segment_batches(segments: DataFrame, lines: DataFrame, size: int, window: in
     `lines` has the paragraph of each line. Segments that lack lines on either side have no batches.
     """
     place = lines.select("doc_id", "side", "paragraph", (F.col("line_id") - 1).alias("place"))
-    side = lambda s, n, first: segments.join(place.where(F.col("side") == s), "doc_id").where((F.col("paragraph") > F.col(f"par_start_{s}")) & (F.col("paragraph") <= F.col(f"par_end_{s}"))).groupBy("doc_id", "segment").agg(F.count(F.lit(1)).alias(n), F.min("place").alias(first))
+
+    def side(s: str, n: str, first: str) -> DataFrame:
+        # segments don't overlap: that of a line is the one with the least end not before its paragraph, if it has begun there
+        some = segments.where(F.col(f"par_start_{s}") < F.col(f"par_end_{s}"))
+        own = next_boundary(place.where(F.col("side") == s), some, ["doc_id"], "paragraph", f"par_end_{s}", "__end")
+        ends = some.select("doc_id", "segment", F.col(f"par_end_{s}").alias("__end"), F.col(f"par_start_{s}").alias("__start"))
+        return own.join(ends, ["doc_id", "__end"]).where(F.col("paragraph") > F.col("__start")).groupBy("doc_id", "segment").agg(F.count(F.lit(1)).alias(n), F.min("place").alias(first))
+
     both = side("from", "l1", "a").join(side("to", "l2", "b"), ["doc_id", "segment"])
     own = both.withColumn("seg", F.struct("doc_id", "segment"))
     cut = plain_batches(own.select(F.col("seg").alias("doc_id"), "l1", "l2"), size, window, shift).withColumnRenamed("doc_id", "seg")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandemtext.functions.intervals import within
 from tandemtext.functions.text import COUNTED_MARKS, LEVELS
 from tandemtext.operators import chains as C
 
@@ -28,9 +29,7 @@ def aligned_items(match: DataFrame, lines: DataFrame) -> DataFrame:
 def aligned_pair_chains(match: DataFrame, lines: DataFrame, min_len: int = 2) -> DataFrame:
     """(doc_id, batch_id, sub_id, text_from, text_to): the pairs that lie on chains of at least `min_len`, each row once."""
     chains = C.good_chains(match, min_len).select("doc_id", F.struct("start.batch_id", "start.sub_id").alias("a"), F.struct("end.batch_id", "end.sub_id").alias("b"))
-    here = F.struct("batch_id", "sub_id")
-    on = match.join(chains, "doc_id").where((here >= F.col("a")) & (here <= F.col("b"))).select("doc_id", "batch_id", "sub_id").distinct()
-    own = match.join(on, ["doc_id", "batch_id", "sub_id"], "left_semi").where("size(from_ids) > 0 and size(to_ids) > 0")
+    own = within(match.withColumn("__p", F.struct("batch_id", "sub_id")), chains, ["doc_id"], "__p", "a", "b").drop("__p").where("size(from_ids) > 0 and size(to_ids) > 0")
     return aligned_items(own, lines).select("doc_id", "batch_id", "sub_id", "text_from", "text_to")
 
 

@@ -60,10 +60,14 @@ def find_headings(lines: DataFrame) -> DataFrame:
 
 def mark_headings(lines: DataFrame, config: dict[str, str] | None = None) -> DataFrame:
     """Headings get their marks, and the line before a heading a full stop if it has no ending. Emptied lines go."""
-    own = lines.withColumn("h", X.marked_heading(F.col("text"), config)).where("h.text != ''")
-    before_heading = F.coalesce(F.lead("h.heading").over(_order()), F.lit(False))
-    text = F.col("h.text")
-    return own.select(*KEY, "line_id", F.when(before_heading & ~text.rlike(X.ENDING_CLASS + "$"), F.concat(text, F.lit("."))).otherwise(text).alias("text"))
+    config = config or X.HEADING_CONFIG
+    own = lines.withColumn("text", X.strip(F.col("text"))).withColumn("kind", X.heading_kind(F.col("text")))
+    # what empties a line is told without making the marked text, so that the filter costs no second pass over the rules
+    emptied = [k for k, action in config.items() if action == X.DELETE]
+    left = (F.col("text") != "") & (~F.coalesce(F.col("kind").isin(emptied), F.lit(False)) if emptied else F.lit(True))
+    own = own.where(left).withColumn("next", F.lead("kind").over(_order()))
+    text = X.marked_heading(F.col("text"), F.col("kind"), config)
+    return own.select(*KEY, "line_id", text.alias("text"), "next").select(*KEY, "line_id", F.when(F.col("next").isNotNull() & ~F.col("text").rlike(X.ENDING_CLASS + "$"), F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
 
 
 def _flagged(lines: DataFrame) -> DataFrame:

@@ -9,21 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemtext.functions.durable import written
+from tandemtext.functions.durable import consumed, written
+from tandemtext.functions.intervals import within
 from tandemtext.functions.vectors import aggregate_vectors, cosine
 from tandemtext.operators import chains as C
 
-#: Conflicts with this many lines on a side are left alone; what is scored grows with the cube of the lines.
-MAX_SIDE = 26
+#: Size of the conflicts that the last round of `resolve_all` and `correct_conflicts` take.
+LARGE = 26
 
 
-def variants(conflicts: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
+def variants(conflicts: DataFrame, max_side: int = LARGE) -> DataFrame:
     """(doc_id, conflict, variant, pair, from_ids, to_ids): every order-preserving grouping of a conflict's lines.
 
     The side with more lines is cut into as many contiguous groups as the other side has lines; the groups are paired with
     these in order. A grouping is the set of its cuts. The cuts are chosen one after the other by explode, so exactly
     the C(n - 1, g - 1) groupings arise and no others. Variants are numbered from 0 in the order of their cuts.
-    Conflicts with more than `max_side` lines on a side have none.
+    Conflicts with a length of `max_side` or more on a side have none: the groupings grow exponentially. To solve conflicts of
+    any length, see `solutions`.
     """
     ids = lambda side: F.sequence(F.col(f"start.{side}_id"), F.col(f"end.{side}_id"))
     own = conflicts.where((F.col("len_from") >= 0) & (F.col("len_to") >= 0) & (F.greatest("len_from", "len_to") < max_side))
@@ -80,12 +82,12 @@ def best_variants(found: DataFrame, sims: DataFrame) -> DataFrame:
     return best.select("doc_id", "conflict", (-F.col("b.v")).alias("variant"), F.col("b.score").alias("score"))
 
 
-def grouping_pairs(conflicts: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
+def grouping_pairs(conflicts: DataFrame) -> DataFrame:
     """(doc_id, conflict, k, a, b, from_ids, to_ids): every pair that some variant of a conflict has as its k-th: a line of
     the shorter side and the lines a to b, counted from 1, of the longer. There are at most g * (n - g + 1)^2 of them, however
-    many variants they make up."""
+    many variants they make up, for conflicts of any length."""
     ids = lambda side: F.sequence(F.col(f"start.{side}_id"), F.col(f"end.{side}_id"))
-    own = conflicts.where((F.col("len_from") >= 0) & (F.col("len_to") >= 0) & (F.greatest("len_from", "len_to") < max_side))
+    own = conflicts.where((F.col("len_from") >= 0) & (F.col("len_to") >= 0))
     own = own.select("doc_id", "conflict", ids("from").alias("f"), ids("to").alias("t")).withColumn("wide_to", F.size("f") < F.size("t"))
     own = own.withColumn("n", F.greatest(F.size("f"), F.size("t"))).withColumn("g", F.least(F.size("f"), F.size("t")))
     k, a, b, room = F.col("k"), F.col("a"), F.col("b"), F.col("n") - F.col("g") + F.col("k")
@@ -101,17 +103,22 @@ def best_groups(k: np.ndarray, a: np.ndarray, b: np.ndarray, sim: np.ndarray) ->
     """The (a, b) of each group, in order, of the grouping with the largest sum of similarities; of equals, and where no sum is
     above 0, the first in the order of cuts. `best[k, a]` is the most that groups k and later can have from line a on."""
     g, n = int(k.max()), int(b.max())
-    s = np.full((g + 1, n + 2, n + 2), -np.inf)
-    s[k, a, b] = sim
     best = np.full((g + 2, n + 2), -np.inf)
     best[g + 1, n + 1] = 0
+    order = np.lexsort((b, a, k))
+    k, a, b, sim = k[order], a[order], b[order], sim[order]
+    cut = np.searchsorted(k, np.arange(1, g + 2))
+    total = np.empty(len(k))
     for i in range(g, 0, -1):
-        best[i, :-1] = (s[i, :-1, :-1] + best[i + 1, 1:]).max(axis=1)
+        own = slice(cut[i - 1], cut[i])
+        total[own] = sim[own] + best[i + 1, b[own] + 1]
+        np.maximum.at(best[i], a[own], total[own])
     if round(best[1, 1], 12) <= 0:
         return [(i, i) for i in range(1, g)] + [(g, n)]
     out, at = [], 1
     for i in range(1, g + 1):
-        to = int(np.flatnonzero(s[i, at, :-1] + best[i + 1, 1:] >= best[i, at] - 1e-12)[0])
+        own = slice(cut[i - 1], cut[i])
+        to = int(b[own][(a[own] == at) & (total[own] >= best[i, at] - 1e-12)][0])
         out.append((at, to))
         at = to + 1
     return out
@@ -121,7 +128,7 @@ def solutions(conflicts: DataFrame, vectors: DataFrame, method: str = "weighted_
     """(doc_id, conflict, pair, from_ids, to_ids, sim): the best grouping of each conflict; all conflicts at once.
 
     What `variants` and `best_variants` would find among all C(n - 1, g - 1) groupings is found by dynamic programming over
-    the few pairs that these share.
+    the few pairs that these share. Conflicts may have any length; what is scored grows with the cube of their lines.
     """
     pairs = grouping_pairs(conflicts)
     scored = written(pairs.join(pair_similarities(pairs, vectors, method, embed), ["doc_id", "from_ids", "to_ids"]), "pairs")
@@ -148,7 +155,7 @@ def splice(match: DataFrame, conflicts: DataFrame, solved: DataFrame) -> DataFra
     """
     ends = conflicts.join(solved.select("doc_id", "conflict").distinct(), ["doc_id", "conflict"], "left_semi").select("doc_id", F.struct(F.col("start.batch_id").alias("b"), F.col("start.sub_id").alias("s")).alias("lo"), F.struct(F.col("end.batch_id").alias("b"), F.col("end.sub_id").alias("s")).alias("hi"), "conflict")
     place = F.struct(F.col("batch_id").alias("b"), F.col("sub_id").alias("s"))
-    inside = match.withColumn("p", place).join(ends, "doc_id").where((F.col("p") >= F.col("lo")) & (F.col("p") <= F.col("hi"))).select("doc_id", "batch_id", "sub_id").distinct()
+    inside = within(match.withColumn("p", place), ends, ["doc_id"], "p", "lo", "hi").select("doc_id", "batch_id", "sub_id")
     kept = match.join(inside, ["doc_id", "batch_id", "sub_id"], "left_anti").select("doc_id", "batch_id", "sub_id", F.lit(0).cast("long").alias("pair"), "from_ids", "to_ids", "sim")
     new = solved.join(ends, ["doc_id", "conflict"]).select("doc_id", F.col("lo.b").alias("batch_id"), F.col("lo.s").alias("sub_id"), "pair", "from_ids", "to_ids", "sim")
     # a chain of one row ends one conflict and starts the next: its ids must not occur twice
@@ -177,7 +184,7 @@ def resolve_all(match: DataFrame, vectors: DataFrame, rounds: int = 3, method: s
     """Rounds with growing chain length and conflict size, then a last one with short chains and large conflicts."""
     for i in range(rounds):
         match = resolve_round(match, vectors, 2 + i, 6 * (i + 1), method=method, embed=embed)
-    return resolve_round(match, vectors, 2, MAX_SIDE, method=method, embed=embed)
+    return resolve_round(match, vectors, 2, LARGE, method=method, embed=embed)
 
 
 def fix_start(match: DataFrame, vectors: DataFrame, max_len: int = 6) -> DataFrame:
@@ -185,7 +192,7 @@ def fix_start(match: DataFrame, vectors: DataFrame, max_len: int = 6) -> DataFra
     return resolve_round(match, vectors, 2, max_len, handle_start=True)
 
 
-def correct_conflicts(match: DataFrame, min_chain: int = 2, max_len: int = 26) -> DataFrame:
+def correct_conflicts(match: DataFrame, min_chain: int = 2, max_len: int = LARGE) -> DataFrame:
     """The match table with one to-id raised by 1 wherever that leaves its document fewer unsolvable conflicts.
 
     Tried are the start and then the end row of each conflict that steps back by at least 2 on the to-side. All trials
@@ -207,6 +214,18 @@ def correct_conflicts(match: DataFrame, min_chain: int = 2, max_len: int = 26) -
     return match.join(chosen, "doc_id", "left").withColumn("to_ids", F.when(F.coalesce(hit, F.lit(False)), raised).otherwise(F.col("to_ids"))).drop("tb", "ts")
 
 
+def correct_all(match: DataFrame, min_chain: int = 2, max_len: int = LARGE) -> DataFrame:
+    """`correct_conflicts` again and again until no document gets fewer unsolvable conflicts. Each call that changes something
+    leaves a document at least one such conflict less, so there are no more calls than a document has conflicts."""
+    match = written(match, "match")
+    while True:
+        with consumed(match.sparkSession) as keep:
+            new = keep(correct_conflicts(match, min_chain, max_len), "match")
+        if new.select(F.sum(F.xxhash64(*new.columns).cast("decimal(38,0)"))).first() == match.select(F.sum(F.xxhash64(*new.columns).cast("decimal(38,0)"))).first():
+            return new
+        match = new
+
+
 def conflict_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
     """The lines of each conflict on either side."""
     side = lambda s: found.select("doc_id", "conflict", F.lit(s).alias("side"), F.col(f"start.{s}_id").alias("a"), F.col(f"end.{s}_id").alias("b"))

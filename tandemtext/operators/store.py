@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandemtext.functions.durable import consumed, exists, written
 from tandemtext.functions.text import LEVELS
 
 VERSION = "7.0"
@@ -17,22 +18,54 @@ SCHEMAS: dict[str, T.StructType] = {
     "vector": T.StructType([*_key, T.StructField("line_id", _ID), T.StructField("is_proxy", T.BooleanType()), T.StructField("model", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]),
     "meta": T.StructType([*_key, *[T.StructField(n, T.StringType()) for n in ("mark", "val")], T.StructField("occurrence", _ID), T.StructField("par_id", _ID), T.StructField("deleted", T.BooleanType()), T.StructField("comment", T.StringType())]),
     "batch": T.StructType([_key[0], *[T.StructField(n, _ID) for n in ("batch_id", "f0", "f1", "t0", "t1", "shift", "window")], T.StructField("insert_ts", T.TimestampType())]),
-    "match": T.StructType([_key[0], T.StructField("batch_id", _ID), T.StructField("sub_id", _ID), T.StructField("from_ids", _IDS), T.StructField("to_ids", _IDS), T.StructField("sim", T.DoubleType())]),
+    "match": T.StructType([_key[0], T.StructField("batch_id", _ID), T.StructField("sub_id", _ID), T.StructField("from_ids", _IDS), T.StructField("to_ids", _IDS), T.StructField("sim", T.DoubleType()), T.StructField("version", _ID)]),
     "history": T.StructType([_key[0], T.StructField("operation", T.StringType()), T.StructField("batch_id", _ID), T.StructField("parameters", T.MapType(T.StringType(), T.StringType())), T.StructField("insert_ts", T.TimestampType())]),
     "document": T.StructType([_key[0], *[T.StructField(n, T.StringType()) for n in ("name", "lang_from", "lang_to", "file_from", "file_to", "guid_from", "guid_to", "version")]]),
 }
-#: What tables are partitioned by on disk, so that a write replaces the touched documents only.
-PARTITIONS = {name: ["doc_id"] for name in SCHEMAS}
+#: Folders of a table on disk: documents are spread over them by a hash, so their number doesn't grow with the documents.
+BUCKETS = 256
 
 
-def save(df: DataFrame, path: str, table: str) -> None:
-    """Writes a table; partitions of documents in `df` are replaced, others stay."""
-    own = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
-    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS[table]).parquet(f"{path}/{table}")
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def typed(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a table out of `df`, those it lacks null."""
+    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+
+
+def save(df: DataFrame, path: str, table: str, buckets: int = BUCKETS) -> None:
+    """Writes a table; the rows of documents in `df` are replaced, those of other documents stay.
+
+    Only the folders that hold these documents are rewritten; a table keeps the number of folders it was made with. What is merged
+    is written aside first, since a folder can't be read and overwritten in one job.
+    """
+    spark = df.sparkSession
+    with consumed(spark):
+        own = written(typed(df, table).withColumn("bucket", _bucket(buckets)), "save")
+        if exists(spark, f"{path}/{table}"):
+            touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            old = spark.read.schema(own.schema).parquet(f"{path}/{table}").where(F.col("bucket").isin(*touched)) if touched else own.limit(0)
+            kept = old.join(own.select("doc_id").distinct(), "doc_id", "left_anti").select(*own.columns)
+            own = written(own.unionByName(kept), "merged")
+        own.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}")
 
 
 def load(spark, path: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}")
+    """A saved table; one that was never saved has no rows."""
+    if not exists(spark, f"{path}/{table}"):
+        return spark.createDataFrame([], SCHEMAS[table])
+    return spark.read.schema(T.StructType([*SCHEMAS[table].fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/{table}").drop("bucket")
+
+
+def loaded_documents(spark, path: str, table: str, docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of the documents in `docs`; only the folders that hold them are read."""
+    touched = [r[0] for r in docs.select(_bucket(buckets)).distinct().collect()]
+    if not touched or not exists(spark, f"{path}/{table}"):
+        return spark.createDataFrame([], SCHEMAS[table])
+    own = spark.read.schema(T.StructType([*SCHEMAS[table].fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/{table}")
+    return own.where(F.col("bucket").isin(*touched)).drop("bucket").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def replace_batches(match: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,24 +95,39 @@ def set_text(lines: DataFrame, new: DataFrame, column: str = "text") -> DataFram
     return lines.join(new.select(*key, F.col("value").alias("__v")), key, "left").withColumn(column, F.coalesce("__v", column)).select(*lines.columns)
 
 
+def _points(after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __at): the places of inserts, in order; a place named twice counts twice."""
+    return after.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("line_id").cast("long"))).alias("__at"))
+
+
+def _moved(x, at: str = "__at"):
+    """An id after the inserts: it moves up by one for each place below it."""
+    return x + F.coalesce(F.size(F.filter(at, lambda a: a < x)), F.lit(0)).cast("long")
+
+
 def shift_ids(match: DataFrame, side: str, after: DataFrame) -> DataFrame:
-    """`match` with all ids above `after` (doc_id, line_id: one row a document) on `side` raised by 1."""
+    """`match` with all ids on `side` moved up by the number of `after` (doc_id, line_id) below them: lines were inserted there."""
     c = f"{side}_ids"
-    own = match.join(after.select("doc_id", F.col("line_id").alias("__a")), "doc_id", "left")
-    return own.withColumn(c, F.transform(c, lambda x: F.when(F.col("__a").isNotNull() & (x > F.col("__a")), x + 1).otherwise(x))).select(*match.columns)
+    own = match.join(_points(after, ["doc_id"]), "doc_id", "left").withColumn("__at", F.coalesce("__at", F.array().cast("array<long>")))
+    return own.withColumn(c, F.transform(c, lambda x: _moved(x))).select(*match.columns)
 
 
 def insert_lines(lines: DataFrame, side: str, after: DataFrame) -> DataFrame:
-    """`lines` with an empty line after each (doc_id, line_id) of `after`; it inherits the counters. Ids above move up by 1."""
-    here = after.select("doc_id", F.lit(side).alias("side"), F.col("line_id").alias("__a"))
-    own = lines.join(here, ["doc_id", "side"], "left")
-    moved = own.withColumn("line_id", F.col("line_id") + F.coalesce((F.col("line_id") > F.col("__a")).cast("long"), F.lit(0)))
-    new = own.where("line_id = __a").withColumns({"line_id": F.col("line_id") + 1, "text": F.lit("")})
+    """`lines` with an empty line after each (doc_id, line_id) of `after`; it inherits the counters. Ids above move up.
+
+    A document may have any number of inserts; a line named twice gets two. Places that name no line add nothing but move
+    what is above them.
+    """
+    points = _points(after, ["doc_id"]).withColumn("side", F.lit(side))
+    own = lines.join(points, ["doc_id", "side"], "left").withColumn("__at", F.coalesce("__at", F.array().cast("array<long>")))
+    here = F.size(F.filter("__at", lambda a: a == F.col("line_id")))
+    own = own.withColumn("__new", here).withColumn("line_id", _moved(F.col("line_id")))
+    new = own.where("__new > 0").withColumn("line_id", F.explode(F.sequence(F.col("line_id") + 1, F.col("line_id") + F.col("__new")))).withColumn("text", F.lit(""))
     if "proxy_text" in lines.columns:
         new = new.withColumn("proxy_text", F.lit(""))
     if "embedding" in lines.columns:
         new = new.withColumn("embedding", F.lit(None).cast(lines.schema["embedding"].dataType))
-    return moved.unionByName(new).select(*lines.columns)
+    return own.unionByName(new).select(*lines.columns)
 
 
 def _renumbered(meta: DataFrame) -> DataFrame:
@@ -133,25 +181,51 @@ def regression(points: DataFrame) -> DataFrame:
     return points.join(fit, ["doc_id", "bucket"]).groupBy("doc_id", "bucket").agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.avg(off * off).alias("mse"))
 
 
-def robust_regression(points: DataFrame, epsilon: float = 1.0, rounds: int = 20) -> DataFrame:
-    """(doc_id, bucket, slope, intercept): a Huber line of each bucket by reweighted least squares; points off by more than
-    `epsilon` mean absolute errors count less. Points of a bucket are in one group, buckets are independent."""
+def robust_regression(points: DataFrame, epsilon: float = 1.0, rounds: int = 500) -> DataFrame:
+    """(doc_id, bucket, slope, intercept): the Huber line of each bucket, with the scale of the errors found together with it.
+
+    Both axes are standardised. The line and the scale s minimise n s + s * sum h(error / s), h being the square up to `epsilon`
+    and linear beyond; points off by more than `epsilon` s count less. Line and scale are improved in turns, by weighted
+    least squares and by the root of the scale's equation, until they settle. Points of a bucket are in one group, buckets
+    are independent. Null without two different x; where all y are equal the line is flat.
+    """
     import numpy as np
     import pandas as pd
 
+    def scale_of(r: np.ndarray) -> float:
+        # the root of n = sum of (r / s)^2 over the small errors, less epsilon^2 for each large one
+        large = np.sort(r)[::-1]
+        squares = np.r_[np.cumsum((large**2)[::-1])[::-1], 0.0]
+        for k in range(len(r) + 1):
+            below = len(r) - k * epsilon**2
+            if below <= 0:
+                break
+            s = np.sqrt(squares[k] / below)
+            if (k == 0 or large[k - 1] > epsilon * s) and (k == len(r) or large[k] <= epsilon * s + 1e-15):
+                return max(float(s), 1e-10)
+        return 1e-10
+
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         x, y = df["x"].to_numpy(float), df["y"].to_numpy(float)
-        w, a, b = np.ones(len(x)), np.nan, np.nan
-        for _ in range(rounds):
-            mx, my = np.average(x, weights=w), np.average(y, weights=w)
-            v = np.average((x - mx) ** 2, weights=w)
-            if v == 0:
-                break
-            a = np.average((x - mx) * (y - my), weights=w) / v
-            b = my - a * mx
-            r = np.abs(y - a * x - b)
-            scale = max(float(r.mean()), 1e-9)
-            w = np.minimum(1.0, epsilon * scale / np.maximum(r, 1e-12))
+        a = b = np.nan
+        if x.std() > 0:
+            sx, sy = x.std(), y.std() or 1.0
+            u, v = (x - x.mean()) / sx, (y - y.mean()) / sy
+            w, last = np.ones(len(u)), None
+            for _ in range(rounds):
+                mu, mv = np.average(u, weights=w), np.average(v, weights=w)
+                var = np.average((u - mu) ** 2, weights=w)
+                if var <= 1e-12:
+                    break
+                p = np.average((u - mu) * (v - mv), weights=w) / var
+                q = mv - p * mu
+                r = np.abs(v - p * u - q)
+                w = np.minimum(1.0, epsilon * scale_of(r) / np.maximum(r, 1e-12))
+                if last is not None and abs(p - last[0]) + abs(q - last[1]) < 1e-10:
+                    break
+                last = p, q
+            a = p * sy / sx
+            b = y.mean() + q * sy - a * x.mean()
         return pd.DataFrame({"doc_id": [df["doc_id"].iloc[0]], "bucket": [df["bucket"].iloc[0]], "slope": [a], "intercept": [b]})
 
     kind = points.schema["doc_id"].dataType.simpleString()

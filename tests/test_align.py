@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandemtext.operators import align, batching, chains, correct, resolve, store
 
@@ -100,6 +101,34 @@ def test_best_groups_are_the_best_variant(spark):
     assert pairs == {(r.conflict, tuple(r.from_ids), tuple(r.to_ids)) for r in every.collect()}
 
 
+def test_long_conflicts_are_solved(spark):
+    lines = line_table(spark, 60, 60, 4)
+    lines = lines.withColumn("embedding", F.transform("embedding", lambda x: F.abs(x)))
+    point = "struct<from_id:long,to_id:long,batch_id:long,sub_id:long>"
+    found = spark.createDataFrame([(1, 1, (2, 3, 0, 2), (29, 30, 0, 9), 27, 27), (1, 2, (31, 31, 1, 0), (33, 58, 1, 9), 2, 27)], f"doc_id long, conflict long, start {point}, end {point}, len_from long, len_to long")
+    got = resolve.solutions(found, lines).orderBy("conflict", "pair").collect()
+    assert [r.from_ids for r in got if r.conflict == 1] == [[i] for i in range(2, 30)] and [r.to_ids for r in got if r.conflict == 1] == [[i] for i in range(3, 31)]
+    two = [r for r in got if r.conflict == 2]
+    assert [r.from_ids for r in two] == [[31], [32], [33]] and [x for r in two for x in r.to_ids] == list(range(31, 59))
+    # of all 351 ways to cut 28 lines into three, none has a larger sum
+    v = {(r.side, r.line_id): (len(r.text), np.array(r.embedding)) for r in lines.collect()}
+
+    def joined(side, ids):
+        x = sum(n * e for n, e in (v[side, i] for i in ids))
+        return x / np.linalg.norm(x)
+
+    score = lambda a, b: sum(float(joined("from", [f]) @ joined("to", t)) for f, t in zip((31, 32, 33), (range(31, a), range(a, b), range(b, 59)), strict=True))
+    best = max(score(a, b) for a in range(32, 58) for b in range(a + 1, 59))
+    assert sum(r.sim for r in two) == pytest.approx(best, abs=1e-6)
+
+
+def test_correct_all_ends_where_nothing_improves(spark):
+    m = matches(spark, [[1], [2], [3], [4], [4], [1], [2], [7], [8]])
+    done = resolve.correct_all(m)
+    left = lambda x: resolve.all_conflicts(x, 2, 26)[1].count()
+    assert left(done) <= left(m) and left(resolve.correct_conflicts(done)) == left(done)
+
+
 def test_correct_conflicts_never_worse(spark):
     m = matches(spark, [[1], [2], [3], [4], [4], [1], [2], [7], [8]])
     before = resolve.all_conflicts(m, 2, 26)[1].count()

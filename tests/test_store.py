@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
 import sqlite3
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tandemtext.functions.components import connected_components
+from tandemtext.functions.intervals import within
 from tandemtext.functions.ranking import running_total
 from tandemtext.functions.runs import whole_keys
 from tandemtext.operators import books, embed, store
@@ -27,6 +30,11 @@ def test_line_edits(spark):
     got = store.insert_lines(lines(spark), "from", spark.createDataFrame([("d", 2)], "doc_id string, line_id long"))
     assert [(r.line_id, r.text, r.paragraph) for r in got.where("side = 'from'").orderBy("line_id").collect()] == [(1, "from1", 7), (2, "from2", 7), (3, "", 7), (4, "from3", 7)]
     assert got.where("side = 'to'").count() == 3
+    several = spark.createDataFrame([("d", 3), ("d", 1), ("d", 1), ("d", 99)], "doc_id string, line_id long")
+    got = store.insert_lines(lines(spark), "from", several).where("side = 'from'").orderBy("line_id").collect()
+    assert [(r.line_id, r.text) for r in got] == [(1, "from1"), (2, ""), (3, ""), (4, "from2"), (5, "from3"), (6, "")]
+    match = spark.createDataFrame([("d", [1, 2]), ("d", [3]), ("e", [3])], "doc_id string, to_ids array<long>")
+    assert [r.to_ids for r in store.shift_ids(match, "to", several).collect()] == [[1, 4], [5], [3]]
     new = spark.createDataFrame([("d", "to", 2, "changed"), ("d", "to", 3, None)], "doc_id string, side string, line_id long, value string")
     assert [r.text for r in store.set_text(lines(spark), new).where("side = 'to'").orderBy("line_id").collect()] == ["to1", "changed", "to3"]
 
@@ -61,6 +69,76 @@ def test_stream_upserts(spark, tmp_path):
     assert got == [("a", 0, 0, (1,)), ("a", 1, 0, (9,)), ("a", 1, 1, (9,)), ("b", 0, 0, (1,))]
 
 
+def test_stream_takes_one_version_of_a_batch(spark, tmp_path):
+    schema = "doc_id string, batch_id long, sub_id long, from_ids array<long>, to_ids array<long>, sim double, version long"
+    land, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    put = lambda *rows: spark.createDataFrame([(d, b, s, [1], [t], 0.1, v) for d, b, s, t, v in rows], schema).coalesce(1).write.mode("append").parquet(land)
+    go = lambda: incremental.upsert_matches(incremental.stream_table(spark, land, "match"), out, check).awaitTermination()
+    got = lambda: sorted((r.doc_id, r.batch_id, r.sub_id, r.to_ids[0]) for r in store.load(spark, out, "match").collect())
+    # two files with the same batches in one trigger: without versions the later file counts, with versions the larger one
+    put(("a", 0, 0, 9, None), ("b", 0, 0, 5, 7), ("b", 0, 1, 5, 7))
+    time.sleep(1.1)
+    put(("a", 0, 0, 1, None), ("b", 0, 0, 4, 6))
+    go()
+    assert got() == [("a", 0, 0, 1), ("b", 0, 0, 5), ("b", 0, 1, 5)]
+    put(("b", 0, 0, 2, 3), ("c", 4, 0, 8, None), ("a", 0, 0, 6, None))
+    go()
+    assert got() == [("a", 0, 0, 6), ("b", 0, 0, 5), ("b", 0, 1, 5), ("c", 4, 0, 8)]
+    put(("b", 0, 0, 3, 8))
+    go()
+    assert got() == [("a", 0, 0, 6), ("b", 0, 0, 3), ("c", 4, 0, 8)]
+
+
+def huber_objective(x, y, slope, intercept):
+    """The least value over the scale of n s + s * sum h(error / s) on standardised axes, by a fine search."""
+    u, v = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+    p = slope * x.std() / y.std()
+    q = (intercept + slope * x.mean() - y.mean()) / y.std()
+    r = np.abs(v - p * u - q)
+    best = np.inf
+    for s in np.exp(np.linspace(-12, 3, 6000)):
+        small = r <= s
+        best = min(best, len(r) * s + (r[small] ** 2 / s).sum() + (2 * r[~small] - s).sum())
+    return best
+
+
+def test_robust_line_is_the_least(spark):
+    rng = np.random.default_rng(2)
+    x = np.arange(40)
+    y = 3 * x + 5 + rng.integers(-4, 5, 40)
+    y[[3, 20, 33]] += (90, -120, 70)
+    points = spark.createDataFrame([("d", 0, int(a), int(b)) for a, b in zip(x, y, strict=True)] + [("d", 1, 5, 1), ("d", 1, 5, 2), ("d", 2, 1, 4), ("d", 2, 9, 4)], "doc_id string, bucket long, x long, y long")
+    got = {r.bucket: r for r in store.robust_regression(points).collect()}
+    a, b = got[0].slope, got[0].intercept
+    assert abs(a - 3) < 0.15 and abs(b - 5) < 3 and got[1].slope is None and (got[2].slope, got[2].intercept) == (0.0, 4.0)
+    least = huber_objective(x, y, a, b)
+    for da, db in ((0.02, 0), (-0.02, 0), (0, 0.5), (0, -0.5), (0.02, -0.5), (-0.02, 0.5)):
+        assert huber_objective(x, y, a + da, b + db) >= least - 1e-6
+
+
+def test_rows_within_intervals(spark):
+    rnd = random.Random(3)
+    rows = [(d, i, f"t{i}") for d in "ab" for i in range(30)] + [("c", 1, "x"), ("a", None, "n")]
+    spans = [(rnd.choice("ab"), a, a + rnd.randint(-2, 5)) for a in rnd.choices(range(30), k=12)] + [("a", 5, 5), ("a", 5, None)]
+    got = within(spark.createDataFrame(rows, "d string, i long, t string"), spark.createDataFrame(spans, "d string, lo long, hi long"), ["d"], "i", "lo", "hi").collect()
+    want = [r for r in rows if any(s[0] == r[0] and None not in (r[1], s[2]) and s[1] <= r[1] <= s[2] for s in spans)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_consumed_tables_go(spark):
+    from tandemtext.functions.durable import consumed, exists, written_at
+
+    with consumed(spark) as keep:
+        inner, path = written_at(spark.range(5))
+        kept = keep(inner.where("id > 2"))
+        assert exists(spark, path)
+    assert not exists(spark, path) and kept.count() == 2
+    with pytest.raises(ValueError), consumed(spark):
+        _, path = written_at(spark.range(5))
+        raise ValueError
+    assert not exists(spark, path)
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "book.txt").write_text("one\r\ntwo\n\nlast\n")
     got = readers.text_lines(spark, str(tmp_path)).orderBy("line_id").collect()

@@ -22,6 +22,19 @@ def test_splitters(spark):
     assert one(spark, lambda c: X.clean_line(c, "jp"), "a. 日本（ご）。。") == ["。日本ご。。"]
 
 
+def test_signs_and_names(spark):
+    kept = "it's `a` {b} <c> |d| e_f g=h+i~j \\k"
+    assert one(spark, X.clean_symbols, kept, "a-b:c/d[e](f)「g」①⑴＂＋〃》【】“q” «r» #@$%^&*•–—'s", "x\ny\x1a") == [kept, "abcdefgq r 's", "xy"]
+    assert one(spark, X.contents_name, "fr", "it", "hu", "cv", "hy", "??", None) == ["Table des matières", "Sommario", "Tartalom", "Содержани", "Table of contents", "Table of contents", "Table of contents"]
+    assert one(spark, X.culture, "de", "ru", "zh", "fr", None) == ["de-DE", "ru-RU", "zh-CN", "en-US", "en-US"]
+
+
+def test_mark_headings_with_deletions(spark):
+    config = {**X.HEADING_CONFIG, "arabic": X.DELETE, "roman": X.PASS}
+    got = [r.text for r in L.mark_headings(table(spark, ["no end", "12", "open", " XIV ", "x"]), config).orderBy("line_id").collect()]
+    assert got == ["no end", "open.", "XIV", "x"]
+
+
 def test_marks(spark):
     assert one(spark, X.mark_paragraph, "End.", "no end", "Why? ") == ["End%%%%%.", "no end", "Why%%%%%?"]
     assert one(spark, X.split_paragraph_marks, "a%%%%%.b%%%%%! c") == [["a%%%%%.", "b%%%%%!", " c"]]
@@ -29,8 +42,10 @@ def test_marks(spark):
     assert [tuple(r) for r in got] == [("Text.", True, None, None), ("One", False, "h1", "h1"), ("plain", False, None, None)]
     kinds = one(spark, X.heading_kind, "Часть первая", "Erster Band", "глава 1", "XIV", "12", "12 March 1901", "x x x", "plain", "")
     assert kinds == ["type_1", "type_1", "type_2", "roman", "arabic", "date", "misc", None, None]
-    both = one(spark, X.marked_heading, "глава der band")
-    assert both[0].text == "глава der band%%%%%h1.%%%%%h2."
+    both = lambda config=None: one(spark, lambda c: X.marked_heading(c, X.heading_kind(c), config), "глава der band", "12 teil")
+    assert both() == ["глава der band%%%%%h1.%%%%%h2.", "12 teil%%%%%h2."]
+    assert both({**X.HEADING_CONFIG, "type_1": X.PASS}) == ["глава der band%%%%%h2.", "12 teil%%%%%h2."] and both({**X.HEADING_CONFIG, "type_1": X.DELETE}) == ["", "12 teil%%%%%h2."]
+    assert one(spark, X.cleaned_artifacts, "2000 leagues", "1999 leagues", "2000") == [["2000", "leagues"], ["1999 leagues"], []]
     assert one(spark, X.cleaned_artifacts, "-7-", "12", "12 plus one", "1984 was", "x x x", "  keep ") == [[], [], ["12", "plus one"], ["1984 was"], [], ["keep"]]
     assert one(spark, X.is_date, "1. Mai 1900", "12/03/1999", "May 5", "hello", "1901") == [True, True, True, False, True]
 
