@@ -121,20 +121,26 @@ def after_de(parts: Column) -> Column:
     return F.transform(parts, lambda x: F.regexp_replace(x, rf"(?U)(?<=\s)(\d\d?){_HIDDEN}(?=\s+(?:{GERMAN_MONTHS}))", "$1."))
 
 
-def split_default(c: Column) -> Column:
-    """Sentences of an alphabetic language: cut at white space after closing marks where a capital or digit follows.
+def split_default(c: Column, before: str = "") -> Column:
+    """Sentences of an alphabetic language: cut at white space after closing marks where a capital or digit follows, also after
+    what the pattern `before` matches.
 
     Full stops of ABBREVIATIONS cut nothing. This is a rule set of its own, not that of any external segmenter.
     """
     kept = F.regexp_replace(c, rf"\b({ABBREVIATIONS})\.\s+", "$1.\u0002")
-    cut = F.regexp_replace(kept, r"""([.!?…]["»”')]*)\s+(["«“(—-]*(?:\p{Lu}|[0-9]))""", "$1\u0001$2")
+    cut = F.regexp_replace(kept, rf"""([.!?…]["»”')]*)\s+({before}["«“(—-]*(?:\p{{Lu}}|[0-9]))""", "$1\u0001$2")
     return F.transform(F.split(cut, "\u0001"), lambda x: F.regexp_replace(x, "\u0002", " "))
 
 
+def split_french(c: Column) -> Column:
+    """As `split_default`; a closing quote that stands apart opens a part, and `after_fr` gives it back to the one before."""
+    return split_default(c, r"(?:»\s*)?")
+
+
 def split_sentences(c: Column, lang: str, clean: bool = True) -> Column:
     """Cleaned and split by the rules of a language; a blank last sentence is dropped, null text gives null."""
     line = clean_line(c, lang, clean)
-    parts = {"zh": split_marks, "jp": split_jp, "hy": split_hy}.get(lang, split_default)(line)
+    parts = {"zh": split_marks, "jp": split_jp, "hy": split_hy, "fr": split_french}.get(lang, split_default)(line)
     parts = {"fr": after_fr, "de": after_de}.get(lang, lambda p: p)(parts)
     last = F.try_element_at(parts, F.lit(-1))
     return F.when((F.size(parts) > 0) & (strip(last) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)

@@ -82,6 +82,34 @@ di AS (SELECT doc_id, line_id, CASE (doc_id * 5 + line_id) % 6 WHEN 0 THEN repla
   WHEN 3 THEN replace(text, '. ', '. » ') WHEN 4 THEN text || ' Am 12. Mai war es so. Und am 3. Juni auch.' ELSE text END AS text FROM ln)"""
 
 
+#: Signs that are cleaned and signs that stay, put at the end of lines by turns.
+SIGNS = "「」⓪①⑩⑴⑽＂＋－／；＞＠［｀｛｠､、〃》【】〔〙〜〟〰〾〿–—‘’‛‧﹏〉'`{}<>|_=+~\\…・$&"
+
+
+def signed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a sign of SIGNS at either end, by rule."""
+    sign = lambda n: F.substr(F.lit(SIGNS), (n % len(SIGNS) + 1).cast("int"), F.lit(1))
+    n = F.col("doc_id") * 5 + F.col("line_id")
+    return lines(spark, sf_dir).withColumn("text", F.concat(sign(n), F.col("text"), sign(n + 7)))
+
+
+_SIGN_TEXT = SIGNS.replace("'", "''")
+SIGNED = LINES + f""",
+sd AS (SELECT doc_id, line_id, ('{_SIGN_TEXT}')[(doc_id * 5 + line_id) % {len(SIGNS)} + 1] || text || ('{_SIGN_TEXT}')[(doc_id * 5 + line_id + 7) % {len(SIGNS)} + 1] AS text FROM ln)"""
+
+
+def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose full stops are, by rule, those of Armenian or are followed by a Japanese closing quote, or come in threes."""
+    n, t = F.col("doc_id") * 5 + F.col("line_id"), F.col("text")
+    text = F.when(n % 5 == 0, F.replace(t, F.lit("."), F.lit("։"))).when(n % 5 == 1, F.replace(t, F.lit(". "), F.lit("。」"))).when(n % 5 == 2, F.replace(t, F.lit(","), F.lit("..."))).when(n % 5 == 3, F.replace(t, F.lit(". "), F.lit(": 」")))
+    return lines(spark, sf_dir).withColumn("text", text.otherwise(t))
+
+
+SCRIPT = LINES + """,
+sl AS (SELECT doc_id, line_id, CASE (doc_id * 5 + line_id) % 5 WHEN 0 THEN replace(text, '.', '։') WHEN 1 THEN replace(text, '. ', '。」') WHEN 2 THEN replace(text, ',', '...')
+  WHEN 3 THEN replace(text, '. ', ': 」') ELSE text END AS text FROM ln)"""
+
+
 def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, batch_id, sub_id, from_ids, to_ids, sim): each line of a document matched to itself, but for skips, steps
     back and pairs of lines put in by rule; batches of 25 lines."""
