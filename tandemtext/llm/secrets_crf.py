@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,16 @@ from tandemtext.llm.common import chunks, packed, table, unpacked
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TOKENS = re.compile(r"[\w+/\-]+(?:\.[\w+/\-]+)*|[^\w\s+/\-]")
 REDACTED = "[SECRET]"
-#: Training sentences, passes over them and seed; the model is trained on made-up lines and needs no corpus.
-SENTENCES, STEPS, SEED = 900, 160, 11
+#: Training sentences, passes over them and seed; the model is trained on made-up lines and needs no corpus. Its weights are
+#: in WEIGHTS; `python -m tandemtext.llm.secrets_crf` trains and writes them again.
+SENTENCES, STEPS, SEED = 1600, 160, 11
+WEIGHTS = Path(__file__).with_name("secrets_weights.json")
 #: Neighbouring words that a token's tag looks at: so many before and after it.
 BEFORE, AFTER = 3, 1
 
 _NAMES = frozenset("token secret password passwd pwd key apikey api_key api-key access_key secret_key access_token auth_token client_secret auth authorization bearer credential credentials private_key signing_key session_token pass passphrase".split())
-_PREFIXES = ("akia", "asia", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live", "sk_test", "pk_live", "xoxb-", "xoxp-", "eyj", "aiza", "npm_", "hf_", "ya29")
+_PARTS = re.compile(r"[_.\-]+")
+_PREFIXES = ("//hooks.", "//discord.com/api/webhooks", "akia", "asia", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live", "sk_test", "pk_live", "xoxb-", "xoxp-", "eyj", "aiza", "npm_", "hf_", "ya29")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
 
@@ -36,6 +41,18 @@ def _entropy(word: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (word.count(x) for x in set(word)))
 
 
+@lru_cache(maxsize=100_000)
+def name_in(word: str) -> str | None:
+    """The name of a secret that a word is, or ends or begins with before or after _ . or -, as db_password or TOKEN-2; or null."""
+    low = word.lower()
+    if low in _NAMES:
+        return low
+    if len(low) > 40 or word.isalpha():
+        return None
+    parts = [p for p in _PARTS.split(low) if p]
+    return next((p for p in (parts[-1:] + parts[:1]) if p in _NAMES), None) if len(parts) > 1 else None
+
+
 def word_features(word: str) -> tuple[str, ...]:
     """What a tag sees of its own token: shape, length, alphabet, randomness and known beginnings."""
     n = len(word)
@@ -45,7 +62,7 @@ def word_features(word: str) -> tuple[str, ...]:
     if n == 1:
         return ("mark=" + word if word in "=:\"'`{}[](),;<>#$%&*!@|" else "mark",)
     low = word.lower()
-    out = ["name=" + low] if low in _NAMES else []
+    out = ["name part"] if name_in(word) else []
     digits = sum(c.isdigit() for c in word)
     upper, lower = any(c.isupper() for c in word), any(c.islower() for c in word)
     size = min(n // 4, 12)
@@ -64,11 +81,13 @@ def word_features(word: str) -> tuple[str, ...]:
 
 def neighbour_features(word: str) -> tuple[str, ...]:
     """What a tag sees of a token near it."""
-    low = word.lower()
-    if low in _NAMES:
-        return ("a name", "name=" + low)
+    name = name_in(word)
+    if name:
+        return ("a name", "name=" + name)
     if len(word) == 1 and not word.isalnum():
         return ("mark=" + word,)
+    if word.startswith("//"):
+        return ("slashes",)
     if word.isalpha() and len(word) < 16:
         return ("letters",)
     return ("long",) if len(word) >= 16 else ("other",)
@@ -81,7 +100,7 @@ def file_feature(n_tokens: int, n_names: int, n_code: int) -> str:
 
 
 def _is_name(word: str) -> bool:
-    return word.lower() in _NAMES
+    return name_in(word) is not None
 
 
 def _is_code(word: str) -> bool:
@@ -105,6 +124,25 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
                 out.append(rnd.choice(",,....;:!?()#$%&*|\"'"))
         return out
 
+    def person() -> list[str]:
+        """A password that a person makes up, as tokens."""
+        word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 3)))
+        leet = lambda w: "".join({"a": "4", "e": "3", "o": "0", "i": "1", "t": "7"}.get(c, c) if rnd.random() < 0.5 else c for c in w)
+        k = rnd.randrange(8)
+        if k <= 1:
+            return [word() + some("0123456789", rnd.randint(1, 4)) + (word() if rnd.random() < 0.3 else "")]
+        if k == 2:
+            return [word().capitalize() + some("0123456789", rnd.randint(2, 4)), rnd.choice("!?$*#")]
+        if k == 3:
+            return [leet(word()).capitalize() + some("0123456789", 1), rnd.choice("&@!$#%"), some("0123456789", rnd.randint(1, 3))]
+        if k == 4:
+            return [leet(word()) + some("0123456789", 1), "@", leet(word())]
+        if k == 5:
+            return ["-".join(word() for _ in range(rnd.randint(3, 4)))]
+        if k == 6:
+            return [some("abcdefghijklmnopqrstuvwxyz", rnd.randint(3, 6)) + some("0123456789", rnd.randint(2, 6))]
+        return ["A" + some(alnum, rnd.randint(6, 12)) + some("0123456789", 1)]
+
     def value() -> list[str]:
         k = rnd.randrange(9)
         if k == 0 or k == 7:
@@ -118,7 +156,7 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
         elif k == 4:
             return [f"eyJ{some(alnum, 18)}.eyJ{some(alnum, 30)}.{some(alnum, 43)}"]
         elif k == 5:
-            s = some(b64, rnd.choice((24, 32, 40, 44)))
+            return [some(b64, rnd.choice((22, 24, 32, 40, 43, 44, 86))), *rnd.choice(("", "=", "=="))]
         else:
             s = some(alnum, rnd.choice((16, 20, 24, 32, 40)))
         return [s.upper() if k in (0, 7) and rnd.random() < 0.3 else s]
@@ -130,9 +168,18 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
         return [(w, OUTSIDE) for w in v]
 
     def secret() -> list[tuple[str, int]]:
-        k, name = rnd.randrange(8), rnd.choice(sorted(_NAMES))
+        k, name = rnd.randrange(13), rnd.choice(sorted(_NAMES))
+        name = rnd.choice(("", "", "", "db_", "my_", "app-", "smtp.", "aws_")) + name + rnd.choice(("", "", "", "", "_2"))
         name = name.upper() if rnd.random() < 0.3 else name
         v = value()
+        if k == 8:
+            return plain([name, rnd.choice("=:"), q := rnd.choice("\"'")]) + tagged(person()) + plain([q])
+        if k <= 10 and k > 8:
+            return plain([rnd.choice(("password", "passwd", "pwd", "pass", "db_password", "DB_PASS", "PASSWORD", "passphrase", "secret", "user_pwd")), rnd.choice("=:")]) + tagged([w for w in person() if len(w) > 1])[:1]
+        if k == 11:
+            return plain([rnd.choice(("postgres", "mysql", "https", "amqp", "redis", "ftp", "mongodb")), ":", "//" + rnd.choice(("admin", "root", "user", "app", "joe", words(1)[0])), ":"]) + tagged(rnd.choice((v[:1], [w for w in person() if len(w) > 1][:1]))) + plain(["@", rnd.choice(("db", "localhost", "db.example.com/app", "10.0.0.1", "host.internal")), *rnd.choice(([], [":", "5432"]))])
+        if k == 12:
+            return plain(["https", ":"]) + tagged([f"//hooks.{rnd.choice(('slack.com', 'example.com', 'chat.example.org'))}/services/T{some(alnum, 8).upper()}/B{some(alnum, 8).upper()}/{some(alnum, 24)}"])
         if k <= 2:
             q = rnd.choice(('"', '"', "'", "`"))
             return plain([name, rnd.choice("=:="), q]) + tagged(v) + plain([q])
@@ -147,7 +194,7 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
         return tagged(v)
 
     def decoy() -> list[tuple[str, int]]:
-        k = rnd.randrange(13)
+        k = rnd.randrange(18)
         num = lambda c: some("0123456789", c)
         if k == 0:
             v = [num(16)]
@@ -173,6 +220,16 @@ def training_lines(n: int = SENTENCES, seed: int = SEED) -> list[tuple[list[str]
             v = ["version", f"{num(1)}.{num(2)}.{num(1)}", "CC", "BY-NC", "4.0", "."]
         elif k == 11:
             v = ["id", "=", '"', num(rnd.choice((6, 9, 12))), '"']
+        elif k == 13:
+            v = [rnd.choice(sorted(_NAMES)), ":", *words(rnd.randint(1, 3))]
+        elif k == 14:
+            v = [rnd.choice(("user", "name", "port", "host", "login", "chapter", "file", "ref", "room")), rnd.choice("=:"), *rnd.choice(([], ['"'])), *person()[:1]]
+        elif k == 15:
+            v = [rnd.choice(("http", "https", "ftp")), ":", f"//{words(1)[0].lower()}.example.org", ":", num(4)]
+        elif k == 16:
+            v = [num(2), ":", num(2), rnd.choice(("h", "Uhr", "pm")), ",", person()[0], *words(1)]
+        elif k == 17:
+            v = ["contact", "@" + words(1)[0].lower() + num(2), "or", f"//{words(1)[0].lower()}.example.org/{words(1)[0].lower()}-{num(3)}"]
         else:
             v = ["sha256", ":", some(hexa, 64)]
         return plain(v)
@@ -209,64 +266,88 @@ def _places(words: list[str]) -> list[tuple[str, tuple[str, ...], int]]:
     return out + [("file", f, i) for i in range(n)]
 
 
-@lru_cache(maxsize=2)
-def train(n: int = SENTENCES, steps: int = STEPS, seed: int = SEED) -> Model:
-    """The field that makes the tags of the training lines most likely, with a small quadratic penalty.
-
-    Exact gradients by the forward-backward recursion over all lines at once, followed by Adam.
-    """
-    lines = training_lines(n, seed)
-    longest = max(len(w) for w, _ in lines)
-    index: dict[tuple[str, str], int] = {}
-    rows, feats = [], []
-    tags = np.zeros((n, longest), np.int64)
-    mask = np.zeros((n, longest), bool)
-    for k, (words, t) in enumerate(lines):
-        tags[k, : len(t)], mask[k, : len(t)] = t, True
-        for place, features, i in _places(words):
-            for f in features:
-                rows.append(k * longest + i)
-                feats.append(index.setdefault((place, f), len(index)))
-    rows, feats = np.array(rows), np.array(feats)
-    size = len(index)
-    w, moves, start = np.zeros((size, 3)), np.zeros((3, 3)), np.zeros(3)
-    gold = np.zeros((n * longest, 3))
-    gold[np.flatnonzero(mask.ravel()), tags.ravel()[mask.ravel()]] = 1
-    both = mask[:, 1:] & mask[:, :-1]
-    gold_moves = np.zeros((3, 3))
-    np.add.at(gold_moves, (tags[:, :-1][both], tags[:, 1:][both]), 1)
-    gold_start = np.bincount(tags[:, 0], minlength=3).astype(float)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, moves, start)]
-
-    def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-        m = x.max(axis=axis, keepdims=True)
-        return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-    for step in range(1, steps + 1):
-        e = np.stack([np.bincount(rows, w[feats, y], n * longest) for y in range(3)], 1).reshape(n, longest, 3)
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    m = x.max(axis=axis, keepdims=True)
+    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
+
+
+class Likelihood:
+    """The penalised log likelihood of tagged lines, with its exact gradient by the forward-backward recursion over all lines at once."""
+
+    PENALTY = 0.05
+
+    def __init__(self, lines: list[tuple[list[str], list[int]]]) -> None:
+        self.n, self.longest = len(lines), max(len(w) for w, _ in lines)
+        n, longest = self.n, self.longest
+        self.index: dict[tuple[str, str], int] = {}
+        rows, feats = [], []
+        tags = np.zeros((n, longest), np.int64)
+        self.mask = mask = np.zeros((n, longest), bool)
+        for k, (words, t) in enumerate(lines):
+            tags[k, : len(t)], mask[k, : len(t)] = t, True
+            for place, features, i in _places(words):
+                for f in features:
+                    rows.append(k * longest + i)
+                    feats.append(self.index.setdefault((place, f), len(self.index)))
+        self.rows, self.feats, self.size = np.array(rows), np.array(feats), len(self.index)
+        self.gold = np.zeros((n * longest, 3))
+        self.gold[np.flatnonzero(mask.ravel()), tags.ravel()[mask.ravel()]] = 1
+        self.both = mask[:, 1:] & mask[:, :-1]
+        self.gold_moves = np.zeros((3, 3))
+        np.add.at(self.gold_moves, (tags[:, :-1][self.both], tags[:, 1:][self.both]), 1)
+        self.gold_start = np.bincount(tags[:, 0], minlength=3).astype(float)
+
+    def __call__(self, w: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        n, longest, mask, both, rows, feats = self.n, self.longest, self.mask, self.both, self.rows, self.feats
+        flat = np.stack([np.bincount(rows, w[feats, y], n * longest) for y in range(3)], 1)
+        e = flat.reshape(n, longest, 3)
         fw, bw = np.empty_like(e), np.zeros_like(e)
         fw[:, 0] = e[:, 0] + start
         for i in range(1, longest):
-            go = e[:, i] + logsum(fw[:, i - 1, :, None] + moves, 1)
+            go = e[:, i] + _logsum(fw[:, i - 1, :, None] + moves, 1)
             fw[:, i] = np.where(mask[:, i, None], go, fw[:, i - 1])
-        total = logsum(fw[:, -1], 1)
+        total = _logsum(fw[:, -1], 1)
         for i in range(longest - 2, -1, -1):
-            back = logsum(moves + (e[:, i + 1] + bw[:, i + 1])[:, None, :], 2)
+            back = _logsum(moves + (e[:, i + 1] + bw[:, i + 1])[:, None, :], 2)
             bw[:, i] = np.where(mask[:, i + 1, None], back, 0)
         p = np.exp(fw + bw - total[:, None, None]) * mask[:, :, None]
         pair = np.exp(fw[:, :-1, :, None] + moves + (e[:, 1:] + bw[:, 1:])[:, :, None, :] - total[:, None, None, None]) * both[:, :, None, None]
-        d = gold - p.reshape(-1, 3)
-        grads = [np.stack([np.bincount(feats, d[rows, y], size) for y in range(3)], 1) - 0.05 * w, gold_moves - pair.sum((0, 1)) - 0.05 * moves, gold_start - p[:, 0].sum(0)]
+        d = self.gold - p.reshape(-1, 3)
+        value = (flat * self.gold).sum() + (self.gold_moves * moves).sum() + (self.gold_start * start).sum() - total.sum() - self.PENALTY / 2 * ((w * w).sum() + (moves * moves).sum())
+        return float(value), [np.stack([np.bincount(feats, d[rows, y], self.size) for y in range(3)], 1) - self.PENALTY * w, self.gold_moves - pair.sum((0, 1)) - self.PENALTY * moves, self.gold_start - p[:, 0].sum(0)]
+
+
+def train(n: int = SENTENCES, steps: int = STEPS, seed: int = SEED) -> Model:
+    """The field that makes the tags of the training lines most likely, with a small quadratic penalty: exact gradients, followed by Adam."""
+    objective = Likelihood(training_lines(n, seed))
+    w, moves, start = np.zeros((objective.size, 3)), np.zeros((3, 3)), np.zeros(3)
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, moves, start)]
+    for step in range(1, steps + 1):
+        _, grads = objective(w, moves, start)
         for x, g, (m, v) in zip((w, moves, start), grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     scores: dict[str, dict[str, np.ndarray]] = {}
-    for (place, f), i in index.items():
+    for (place, f), i in objective.index.items():
         scores.setdefault(place, {})[f] = w[i].copy()
     return Model(scores, moves, start)
 
 
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The field as `train` makes it, read from WEIGHTS."""
+    got = json.loads(WEIGHTS.read_text())
+    return Model({place: {f: np.array(x) for f, x in own.items()} for place, own in got["scores"].items()}, np.array(got["moves"]), np.array(got["start"]))
+
+
+def write_weights(path: Path = WEIGHTS) -> None:
+    m = train()
+    short = lambda x: [round(float(v), 4) for v in x]
+    rows = {"scores": {place: {f: short(x) for f, x in sorted(own.items())} for place, own in sorted(m.scores.items())}, "moves": [short(x) for x in m.moves], "start": short(m.start)}
+    path.write_text(json.dumps(rows, ensure_ascii=False, indent=0).replace(",\n", ",").replace("[\n", "[").replace("\n]", "]"))
+
+
 def viterbi(e: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[int]:
     """The tags of the best path through scores `e`; `first` and `last` are added at the ends. Ties go to the lower tag."""
     best, back = e[0] + first, []
@@ -400,9 +481,11 @@ def _tagger(model: Model) -> Tagger:
 def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, start, n_chars, digest) of each secret in each text: its place and a SHA-256, never the secret itself.
 
-    Whole texts are read. Null and empty texts have no secrets. Rows that repeat are each reported. Other columns are ignored.
+    Whole texts are read, very long ones too. Null and empty texts have no secrets; a null doc_id is a value as others. Rows
+    that repeat are each reported. Of equally likely taggings that with the lower tags counts, outside being the lowest. Other
+    columns, whatever their names, are ignored. Empty input: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     schema = T.StructType([docs.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("digest", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,9 +505,9 @@ def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All rows of `docs`, each secret in their texts replaced by REDACTED; n_chars, if there, is that of the new text.
 
-    Null and empty texts, all other columns and the number of rows stay as they are.
+    Null and empty texts, all other columns, also those named as ours, and the number of rows stay as they are. Empty input: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     used = ("text", "n_chars") if "n_chars" in docs.columns else ("text",)
     rows = packed(docs, used)
     names, at = rows.columns, 0
@@ -453,3 +536,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place and digest of every secret in every document."""
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+if __name__ == "__main__":
+    write_weights()

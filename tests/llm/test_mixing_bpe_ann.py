@@ -189,7 +189,7 @@ def test_pipeline_matches_its_parts(spark):
     for g, r in zip(group, rows, strict=True):
         least[g] = min(least.get(g, r[0]), r[0])
     rows = [r for g, r in zip(group, rows, strict=True) if least[g] == r[0]]
-    tagger = secrets_crf.Tagger(secrets_crf.train())
+    tagger = secrets_crf.Tagger(secrets_crf.trained())
     for r, spans in zip(rows, tagger.find([r[1] for r in rows]), strict=True):
         for s, e in reversed(spans):
             r[1] = r[1][:s] + secrets_crf.REDACTED + r[1][e:]
