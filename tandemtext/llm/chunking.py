@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandemtext.functions.durable import written
 from tandemtext.llm.common import chunks, mix, table
 
 #: Bytes that the gear hash sees, and bytes on either side among which a cut has the largest hash: chunks of 33 bytes on average.
@@ -18,6 +19,9 @@ GEAR_WINDOW, REACH = 16, 16
 #: A run of repeated chunks counts as a repeated passage from this many words on. A passage loses up to about 130
 #: bytes at its ends, where chunks reach out of it; so passages of 50 words surely pass and short common lines don't.
 MIN_WORDS = 24
+#: A digest that one task meets so often is gathered apart: its statistics are combined before the shuffle and sent to all tasks, so
+#: that its rows never meet in one. Of such digests the MOST_COMMON, the most frequent ones, are; others go the way of all.
+COMMON, MOST_COMMON = 64, 10_000
 _PAD = 2 * (GEAR_WINDOW + REACH)
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -103,16 +107,48 @@ def text_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), "text").mapInArrow(run, schema)
 
 
+def common_digests(chunks_: DataFrame) -> DataFrame:
+    """(d1, d2) of at most MOST_COMMON digests that at least one task of `chunks_` has COMMON times and more, the most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: list[np.ndarray] = []
+        for b in batches:
+            pairs = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
+            once.append(pairs)
+            if sum(map(len, once)) > 4_000_000:
+                yield from counted(once)
+                once = []
+        yield from counted(once)
+
+    def counted(once: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if once:
+            rows = np.concatenate(once)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)])
+            n = np.diff(np.r_[starts, len(rows)])
+            at = starts[n >= COMMON]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at, 0].copy()), pa.array(rows[at, 1].copy()), pa.array(n[n >= COMMON])], names=["d1", "d2", "n"])
+
+    found = chunks_.select("d1", "d2").mapInArrow(run, "d1 long, d2 long, n long").groupBy("d1", "d2").agg(F.sum("n").alias("n"))
+    return found.orderBy(F.desc("n"), "d1", "d2").limit(MOST_COMMON).select("d1", "d2")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_byte, n_bytes, n_words, first_doc_id): the longest runs of chunks that also occur in another document.
 
     first_doc_id is the least doc_id, null ones last, that holds a chunk of the run; an occurrence in another
     document is the one to delete. Runs of fewer than `min_words` words are left out. A passage that repeats within
-    one document only is no repeat. Null and empty texts have none; of rows alike in doc_id and text one counts.
+    one document only is no repeat. Null and empty texts have none; of rows alike in doc_id and text one counts. Very long
+    texts are cut whole. Other columns, whatever their names, are ignored. Empty input: no rows.
     """
     same = Window.partitionBy("d1", "d2")
     who = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))
-    seen = text_chunks(docs).select("*", F.min("u").over(same).alias("u0"), F.max("u").over(same).alias("u1"), F.min(who).over(same).alias("first"))
+    every = text_chunks(docs.select("doc_id", "text"))
+    common = F.broadcast(written(common_digests(every), "common"))
+    rare = every.join(common, ["d1", "d2"], "left_anti").select("*", F.min("u").over(same).alias("u0"), F.max("u").over(same).alias("u1"), F.min(who).over(same).alias("first"))
+    stats = every.join(common, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min(who).alias("first"))
+    seen = rare.unionByName(every.join(F.broadcast(written(stats, "common")), ["d1", "d2"]))
     again = seen.where("u0 != u1").select("doc_id", "u", "start", "n", "words", "first")
     own = again.repartition("u").dropDuplicates(["u", "start"])
     order = Window.partitionBy("u").orderBy("start")
