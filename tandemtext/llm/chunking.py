@@ -20,7 +20,7 @@ GEAR_WINDOW, REACH = 16, 16
 #: bytes at its ends, where chunks reach out of it; so passages of 50 words surely pass and short common lines don't.
 MIN_WORDS = 24
 #: A digest that one task meets so often is gathered apart: its statistics are combined before the shuffle and sent to all tasks, so
-#: that its rows never meet in one. Of such digests the MOST_COMMON, the most frequent ones, are; others go the way of all.
+#: that its rows need not meet in one. Of such digests the MOST_COMMON, the most frequent ones, are; others go the way of all.
 COMMON, MOST_COMMON = 64, 10_000
 _PAD = 2 * (GEAR_WINDOW + REACH)
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -82,58 +82,100 @@ def chunk_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return owner, start - begin[owner], end - begin[owner], words, start, buffer
 
 
-def text_chunks(docs: DataFrame) -> DataFrame:
-    """(d1, d2, doc_id, u, start, n, words): every chunk of every text with its 128-bit digest, byte place and words.
+def _cut(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end, words, digests as two int64) of the chunks of a batch's texts."""
+    texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in b.column(column).to_pylist()]
+    owner, start, end, words, place, buffer = chunk_spans(texts)
+    view, digest = memoryview(buffer), xxhash.xxh3_128_digest
+    d = np.frombuffer(b"".join([digest(view[x:y]) for x, y in zip(place.tolist(), (place + end - start).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return owner, start, end, words, d
 
-    `u` tells documents apart: a hash of doc_id and text, so rows alike in both are one document. Null and empty
-    texts have no chunks.
-    """
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, u, text): `u` tells documents apart, a hash of doc_id and text, so rows alike in both are one document."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), "text")
+
+
+def text_chunks(docs: DataFrame) -> DataFrame:
+    """(d1, d2, doc_id, u, start, n, words): every chunk of every text with its 128-bit digest, byte place and words. Null and empty
+    texts have no chunks."""
     schema = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("u", T.LongType()), ("start", T.IntegerType()), ("n", T.IntegerType()), ("words", T.IntegerType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for whole in batches:
             for b in chunks(whole, 2):
-                texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in b.column(2).to_pylist()]
-                owner, start, end, words, place, buffer = chunk_spans(texts)
-                if not len(owner):
-                    continue
-                view = memoryview(buffer)
-                d = np.frombuffer(b"".join([digest(view[x:y]) for x, y in zip(place.tolist(), (place + end - start).tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                at = pa.array(owner)
-                columns = [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), b.column(0).take(at), b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(words.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                owner, start, end, words, d = _cut(b, 2)
+                if len(owner):
+                    at = pa.array(owner)
+                    columns = [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), b.column(0).take(at), b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(words.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), "text").mapInArrow(run, schema)
+    return _identified(docs).mapInArrow(run, schema)
 
 
-def common_digests(chunks_: DataFrame) -> DataFrame:
-    """(d1, d2) of at most MOST_COMMON digests that at least one task of `chunks_` has COMMON times and more, the most frequent ones."""
+def common_digests(docs: DataFrame) -> DataFrame:
+    """(d1, d2) of at most MOST_COMMON digests that at least one task meets COMMON times and more, the most frequent ones."""
+
+    def counted(once: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.zeros((0, 2), np.int64), *once])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)])
+        n = np.diff(np.r_[starts, len(rows)])
+        at = starts[n >= COMMON]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at, 0].copy()), pa.array(rows[at, 1].copy()), pa.array(n[n >= COMMON])], names=["d1", "d2", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: list[np.ndarray] = []
-        for b in batches:
-            pairs = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
-            once.append(pairs)
-            if sum(map(len, once)) > 4_000_000:
-                yield from counted(once)
-                once = []
+        for whole in batches:
+            for b in chunks(whole, 0):
+                once.append(_cut(b, 0)[4])
+                if sum(map(len, once)) > 4_000_000:
+                    yield from counted(once)
+                    once = []
         yield from counted(once)
 
-    def counted(once: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if once:
-            rows = np.concatenate(once)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)])
-            n = np.diff(np.r_[starts, len(rows)])
-            at = starts[n >= COMMON]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at, 0].copy()), pa.array(rows[at, 1].copy()), pa.array(n[n >= COMMON])], names=["d1", "d2", "n"])
-
-    found = chunks_.select("d1", "d2").mapInArrow(run, "d1 long, d2 long, n long").groupBy("d1", "d2").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "d1 long, d2 long, n long").groupBy("d1", "d2").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "d1", "d2").limit(MOST_COMMON).select("d1", "d2")
 
 
+def common_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """(d1, d2, u0, u1, first): of each common digest the least and largest `u` and the least doc_id over all texts. Combined in each
+    task before the shuffle; `common` has MOST_COMMON rows at most, which the tasks are given."""
+    given = {(r["d1"], r["d2"]) for r in common.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(given), np.int64).reshape(-1, 2))
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("u0", T.LongType()), T.StructField("u1", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        first = known[:, 0]
+        held: list[pa.Table] = []
+        for whole in batches:
+            for b in chunks(whole, 2):
+                owner, _, _, _, d = _cut(b, 2)
+                if not len(owner) or not len(known):
+                    continue
+                # digests are sorted; more than one may share its first half, so all of these are looked at
+                low, high = np.searchsorted(first, d[:, 0], "left"), np.searchsorted(first, d[:, 0], "right")
+                rows, at = [], []
+                for k in range(int((high - low).max())):
+                    ok = np.flatnonzero(low + k < high)
+                    ok = ok[known[low[ok] + k, 1] == d[ok, 1]]
+                    rows.append(ok)
+                    at.append(low[ok] + k)
+                if rows and sum(map(len, rows)):
+                    of = pa.array(owner[np.concatenate(rows)])
+                    t = pa.table({"at": np.concatenate(at), "id": b.column(0).take(of), "u": b.column(1).take(of)})
+                    held.append(t.group_by("at").aggregate([("id", "min"), ("u", "min"), ("u", "max")]).rename_columns(["at", "id", "u0", "u1"]))
+        if held:
+            t = pa.concat_tables(held).group_by("at").aggregate([("id", "min"), ("u0", "min"), ("u1", "max")]).rename_columns(schema.names)
+            yield from t.combine_chunks().to_batches()
+
+    got = _identified(docs).mapInArrow(run, schema).groupBy("at").agg(F.min("id").alias("id"), F.min("u0").alias("u0"), F.max("u1").alias("u1"))
+    named = docs.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(sorted(given))], "at long, d1 long, d2 long")
+    return got.join(F.broadcast(named), "at").select("d1", "d2", "u0", "u1", F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id")).alias("first"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_byte, n_bytes, n_words, first_doc_id): the longest runs of chunks that also occur in another document.
 
@@ -142,13 +184,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one document only is no repeat. Null and empty texts have none; of rows alike in doc_id and text one counts. Very long
     texts are cut whole. Other columns, whatever their names, are ignored. Empty input: no rows.
     """
-    same = Window.partitionBy("d1", "d2")
+    docs = docs.select("doc_id", "text")
+    common = written(common_statistics(docs, common_digests(docs)), "common").select("d1", "d2", F.col("u0").alias("c0"), F.col("u1").alias("c1"), F.col("first").alias("c"))
+    # the rows of a common digest know what they need and are spread; those of others meet
+    every = text_chunks(docs).join(F.broadcast(common), ["d1", "d2"], "left").withColumn("salt", F.when(F.col("c0").isNotNull(), F.col("u")).otherwise(F.lit(0)))
+    same = Window.partitionBy("d1", "d2", "salt")
     who = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))
-    every = text_chunks(docs.select("doc_id", "text"))
-    common = F.broadcast(written(common_digests(every), "common"))
-    rare = every.join(common, ["d1", "d2"], "left_anti").select("*", F.min("u").over(same).alias("u0"), F.max("u").over(same).alias("u1"), F.min(who).over(same).alias("first"))
-    stats = every.join(common, ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min(who).alias("first"))
-    seen = rare.unionByName(every.join(F.broadcast(written(stats, "common")), ["d1", "d2"]))
+    seen = every.select("*", F.coalesce("c0", F.min("u").over(same)).alias("u0"), F.coalesce("c1", F.max("u").over(same)).alias("u1"), F.coalesce("c", F.min(who).over(same)).alias("first"))
     again = seen.where("u0 != u1").select("doc_id", "u", "start", "n", "words", "first")
     own = again.repartition("u").dropDuplicates(["u", "start"])
     order = Window.partitionBy("u").orderBy("start")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from tandemtext.llm import chunking, lempel_ziv, simhash
 from tandemtext.llm.common import WORDS
@@ -50,8 +52,16 @@ def test_all_bits_are_searched(spark):
         half = rnd.choice((0, simhash.BITS // 2))
         flipped = sum(1 << b for b in rnd.sample(range(half, half + simhash.BITS // 2), simhash.RADIUS))
         pairs.append(tuple(sorted(x.to_bytes(simhash.BITS // 8, "big") for x in (a, a ^ flipped))))
-    got = simhash.near_pairs(spark.createDataFrame([(bytearray(f),) for p in pairs for f in p], "fp binary")).collect()
-    assert {(bytes(r.a), bytes(r.b)) for r in got} == set(pairs)
+    fps = spark.createDataFrame([(bytearray(f),) for p in pairs for f in p], "fp binary")
+    got = simhash.near_pairs(fps).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == {tuple(sorted(hashlib.md5(f).digest() for f in p)) for p in pairs}
+    of = {bytes(r.fp): bytes(r.n) for r in fps.select("fp", simhash.node().alias("n")).collect()}
+    assert all(n == hashlib.md5(f).digest() for f, n in of.items())
+    # keys are the same in Spark and in Python
+    rows = fps.select(simhash.F.explode(simhash.F.array(*[simhash.F.lit(t).cast("short") for t in (0, 7, 15, 61, 119)])).alias("t"), "fp")
+    rows = rows.select("t", "fp", simhash.table_key("fp", "t").alias("k")).collect()
+    keys = simhash.row_keys(np.array([r.t for r in rows]), np.frombuffer(b"".join(bytes(r.fp) for r in rows), np.uint64).reshape(-1, 4))
+    assert keys.tolist() == [r.k for r in rows] and len(set(keys.tolist())) > len(rows) // 2
 
 
 def test_groups_match_truth(spark):
@@ -70,6 +80,7 @@ def test_pairs_match_brute_force(spark):
     limit = int(simhash.MOST_DIFFERENT * simhash.BITS)
     near = {(a, b) for a, b in itertools.combinations(fps, 2) if int(np.bitwise_count(v[a] ^ v[b]).sum()) <= limit}
     got = simhash.near_pairs(spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary")).collect()
+    named = {hashlib.md5(f).digest(): f for f in fps}
     parent = {f: f for f in fps}
 
     def find(x):
@@ -77,6 +88,7 @@ def test_pairs_match_brute_force(spark):
             x = parent[x]
         return x
 
+    got = [Row(a=named[bytes(r.a)], b=named[bytes(r.b)]) for r in got]
     for r in got:
         assert (min(bytes(r.a), bytes(r.b)), max(bytes(r.a), bytes(r.b))) in near
         parent[find(bytes(r.a))] = find(bytes(r.b))
