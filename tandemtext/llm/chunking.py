@@ -19,9 +19,10 @@ GEAR_WINDOW, REACH = 16, 16
 #: A run of repeated chunks counts as a repeated passage from this many words on. A passage loses up to about 130
 #: bytes at its ends, where chunks reach out of it; so passages of 50 words surely pass and short common lines don't.
 MIN_WORDS = 24
-#: A digest that one task meets so often is gathered apart: its statistics are combined before the shuffle and sent to all tasks, so
-#: that its rows need not meet in one. Of such digests the MOST_COMMON, the most frequent ones, are; others go the way of all.
-COMMON, MOST_COMMON = 64, 10_000
+#: Digests that many documents hold are gathered apart: their statistics are combined before the shuffle and sent to all tasks, so
+#: that their rows need not meet in one. Which are so common is guessed from a share of the documents: those met COMMON times
+#: and more in it, of these the MOST_COMMON most frequent. All others meet in one task each; the result is the same.
+SHARE, COMMON, MOST_COMMON = 0.05, 16, 10_000
 _PAD = 2 * (GEAR_WINDOW + REACH)
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -113,30 +114,12 @@ def text_chunks(docs: DataFrame) -> DataFrame:
     return _identified(docs).mapInArrow(run, schema)
 
 
-def common_digests(docs: DataFrame) -> DataFrame:
-    """(d1, d2) of at most MOST_COMMON digests that at least one task meets COMMON times and more, the most frequent ones."""
-
-    def counted(once: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([np.zeros((0, 2), np.int64), *once])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)])
-        n = np.diff(np.r_[starts, len(rows)])
-        at = starts[n >= COMMON]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at, 0].copy()), pa.array(rows[at, 1].copy()), pa.array(n[n >= COMMON])], names=["d1", "d2", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: list[np.ndarray] = []
-        for whole in batches:
-            for b in chunks(whole, 0):
-                once.append(_cut(b, 0)[4])
-                if sum(map(len, once)) > 4_000_000:
-                    yield from counted(once)
-                    once = []
-        yield from counted(once)
-
-    found = docs.select("text").mapInArrow(run, "d1 long, d2 long, n long").groupBy("d1", "d2").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "d1", "d2").limit(MOST_COMMON).select("d1", "d2")
+def common_digests(docs: DataFrame, share: float | None = None) -> DataFrame:
+    """(d1, d2) of at most MOST_COMMON digests that a `share` of `docs`, or SHARE, has COMMON times and more, the most frequent ones. They
+    decide where rows go and nothing else: their statistics are then taken over all texts."""
+    share = SHARE if share is None else share
+    met = text_chunks(docs if share >= 1 else docs.sample(share, 7)).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    return met.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "d1", "d2").limit(MOST_COMMON).select("d1", "d2")
 
 
 def common_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:

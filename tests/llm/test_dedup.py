@@ -258,6 +258,7 @@ def test_repeats_match_brute_force(spark):
 
 @pytest.mark.parametrize("common, most", [(3, 10_000), (3, 2), (64, 10_000)])
 def test_common_chunks_are_counted_apart(spark, monkeypatch, common, most):
+    monkeypatch.setattr(chunking, "SHARE", 1 if common < 64 else chunking.SHARE)
     monkeypatch.setattr(chunking, "COMMON", common)
     monkeypatch.setattr(chunking, "MOST_COMMON", most)
     rnd = random.Random(14)
@@ -265,6 +266,7 @@ def test_common_chunks_are_counted_apart(spark, monkeypatch, common, most):
     rows = [(i, f"{prose(rnd, 30)} {license_} {prose(rnd, 20)}" + (f" {other} " if i % 10 == 0 else "")) for i in range(60)]
     rows += [(None, license_), (70, license_ + " " + license_), (71, None), (72, "z" * 5000)]
     docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, u long, d1 long, start long")
+    assert (chunking.common_digests(docs).count() > 0) == (common == 3)
     got = chunking.repeated_passages(docs).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute_repeats(rows, chunking.MIN_WORDS) and len(got) >= 60
 
