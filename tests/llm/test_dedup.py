@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import random
@@ -58,10 +59,26 @@ def test_all_bits_are_searched(spark):
     of = {bytes(r.fp): bytes(r.n) for r in fps.select("fp", simhash.node().alias("n")).collect()}
     assert all(n == hashlib.md5(f).digest() for f, n in of.items())
     # keys are the same in Spark and in Python
-    rows = fps.select(simhash.F.explode(simhash.F.array(*[simhash.F.lit(t).cast("short") for t in (0, 7, 15, 61, 119)])).alias("t"), "fp")
-    rows = rows.select("t", "fp", simhash.table_key("fp", "t").alias("k")).collect()
-    keys = simhash.row_keys(np.array([r.t for r in rows]), np.frombuffer(b"".join(bytes(r.fp) for r in rows), np.uint64).reshape(-1, 4))
-    assert keys.tolist() == [r.k for r in rows] and len(set(keys.tolist())) > len(rows) // 2
+    masks = simhash.covering_masks()
+    for together in (False, True):
+        of = simhash.tables_of_rows(together)
+        assert sorted(t for own in of for t in own) == list(range(simhash.BLOCKS * len(masks)))
+        own = fps.select(simhash.F.explode(simhash.F.array(*[simhash.F.lit(t).cast("short") for t in (0, 7, 15, 61, len(of) - 1)])).alias("r"), "fp")
+        rows = own.select("r", "fp", simhash.shared_key("fp", "r", together).alias("k")).collect()
+        v = np.frombuffer(b"".join(bytes(r.fp) for r in rows), np.uint64).reshape(-1, 4)
+        for r, fp in zip(rows, v, strict=True):
+            # the shared key follows from the key of each table of the row
+            for t in of[r.r]:
+                key = int(simhash.row_keys(np.array([t]), fp[None])[0]) & 0xFFFFFFFF
+                shared = functools.reduce(int.__and__, (masks[x % len(masks)] for x in of[r.r]))
+                assert r.k == (r.r << simhash.BLOCK_BITS) + (key & shared)
+
+
+def test_rows_of_two_tables_give_the_pairs_of_one(spark):
+    rows, _ = corpus(23, 20)
+    fps = spark.createDataFrame([(bytearray(f),) for f in sorted({simhash.fingerprint(set(WORDS.findall(t.lower()))) for _, t in rows})], "fp binary")
+    groups = [{(bytes(r.node), bytes(r.root)) for r in simhash.connected_components(simhash.near_pairs(fps, together=x)).collect()} for x in (False, True)]
+    assert groups[0] == groups[1] and groups[0]
 
 
 def test_groups_match_truth(spark):
