@@ -14,11 +14,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Encoder = Callable[[list[str]], "np.ndarray"]
-#: Names of encoders that can be asked for, with the module and class that would load them; none is shipped.
-REGISTRY: dict[str, Callable[[], Encoder]] = {}
 _loaded: dict[str, Encoder] = {}
 
 
+def model_encoder(make: Callable[[], object], **options: object) -> Callable[[], Encoder]:
+    """A loader of an encoder out of what `make` gives: any object with `encode(texts, ...)`, or a function of texts.
+
+    `make` runs in a worker when the first text is encoded, and `options` go to each call of `encode`.
+    """
+
+    def load() -> Encoder:
+        model = make()
+        call = getattr(model, "encode", None) or model
+        return lambda texts: np.asarray(call(list(texts), **options), dtype=np.float64)
+
+    return load
+
+
+def sentence_model(name: str) -> Callable[[], Encoder]:
+    """A loader of a model of the library sentence_transformers, which is imported in the workers and nowhere else."""
+
+    def make() -> object:
+        from sentence_transformers import SentenceTransformer
+
+        return SentenceTransformer(name)
+
+    return model_encoder(make, show_progress_bar=False)
+
+
+def pooled_model(name: str, pool: str = "first", seq2seq: bool = False, lang: str | None = None) -> Callable[[], Encoder]:
+    """A loader of an encoder of the library transformers: the state of the first token, or with `pool` "mean" the mean over a text's tokens.
+
+    `seq2seq` takes the encoder of a translation model, whose tokenizer is told the language of the texts.
+    """
+
+    def make() -> Callable[[list[str]], object]:
+        import torch
+        import transformers as tf
+
+        tokenizer = tf.AutoTokenizer.from_pretrained(name)
+        model = tf.M2M100ForConditionalGeneration.from_pretrained(name).get_encoder() if seq2seq else tf.AutoModel.from_pretrained(name)
+        if lang:
+            tokenizer.src_lang = lang
+
+        def encode(texts: list[str]) -> object:
+            given = tokenizer(texts, padding=True, truncation=True, return_tensors="pt")
+            with torch.no_grad():
+                state = model(**given).last_hidden_state
+            if pool == "first":
+                return state[:, 0].numpy()
+            mask = given["attention_mask"].unsqueeze(-1)
+            return ((state * mask).sum(1) / mask.sum(1).clamp(min=1)).numpy()
+
+        return encode
+
+    return model_encoder(make)
+
+
+#: Encoders by name. Public models are fetched by their libraries when a worker first needs them; none is shipped.
+REGISTRY: dict[str, Callable[[], Encoder]] = {
+    "distiluse_multilingual": sentence_model("distiluse-base-multilingual-cased-v2"),
+    "xlm_100": sentence_model("xlm-r-100langs-bert-base-nli-mean-tokens"),
+    "labse": sentence_model("LaBSE"),
+    "rubert_tiny": pooled_model("cointegrated/rubert-tiny2"),
+    "sonar": pooled_model("cointegrated/SONAR_200_text_encoder", "mean", True),
+}
+
+
 def register(name: str, load: Callable[[], Encoder]) -> None:
     """Makes an encoder known by name. `load` runs once in each worker that needs it."""
     REGISTRY[name] = load

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.operators import books, chains, correct, resolve, store
+from tandemtext.operators import books, chains, correct, embed, resolve, store
 from tandemtext.plans import inputs as I
 from tandemtext.sources import exports
 
@@ -164,6 +164,33 @@ def score_by_length(spark: SparkSession, d: str) -> DataFrame:
     return correct.score_by_length(asis, I.both_lines(spark, d), means).select("doc_id", "task", F.round("score", 6).alias("score"))
 
 
+def _corrected(spark: SparkSession, d: str, by: str) -> DataFrame:
+    """The match table of the pairs of turns, a line each, after a correction: ratios, bounds, outliers, tasks, regroupings, scores, the best put in."""
+    t = I.turns(spark, d)
+    side = lambda s: t.select("doc_id", F.lit(s).alias("side"), F.col("pos").alias("line_id"), F.col(f"text_{s}").alias("text"))
+    lines = side("from").unionByName(side("to"))
+    match = t.select("doc_id", F.lit(0).cast("long").alias("batch_id"), (F.col("pos") - 1).alias("sub_id"), "from_ids", "to_ids")
+    items = t.join(match.select("doc_id", "batch_id", "sub_id", (F.col("sub_id") + 1).alias("pos")), ["doc_id", "pos"])
+    ratios = correct.length_ratios(items)
+    bounds = correct.outlier_bounds(ratios)
+    tasks = correct.correction_tasks(correct.outliers(ratios, bounds))
+    found = correct.task_variants(tasks, items)
+    if by == "length":
+        best = correct.best_corrections(correct.score_by_length(found, lines, bounds), True)
+    else:
+        vectors = embed.embed(lines, embed.hashing_encoder(64))
+        best = correct.best_corrections(correct.score_by_similarity(found, vectors), False)
+    return correct.apply_corrections(match, items, tasks, found, best).select("doc_id", "batch_id", "sub_id", _csv("from_ids"), _csv("to_ids"))
+
+
+def corrected_by_length(spark: SparkSession, d: str) -> DataFrame:
+    return _corrected(spark, d, "length")
+
+
+def corrected_by_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _corrected(spark, d, "similarity")
+
+
 _TEXTS = """tx AS (SELECT m.doc_id, m.batch_id, m.sub_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY batch_id, sub_id) AS pos, from_ids, to_ids, f.text AS text_from,
   coalesce((SELECT string_agg('[' || l.text || ']', ' ' ORDER BY l.line_id) FROM ln l WHERE l.doc_id = m.doc_id AND list_contains(m.to_ids, l.line_id)), '') AS text_to
   FROM ma m JOIN ln f ON f.doc_id = m.doc_id AND f.line_id = m.from_ids[1])"""
@@ -275,6 +302,7 @@ bi AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, rank,
 
 
 _ESC = lambda e: f"replace(replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_JSON = """'{"t":"' || CASE kind WHEN 'heading' THEN 'h' ELSE 'p' END || '"' || coalesce(',"c":"' || mark || '"', '') || ',"p":[' || to_json(value_from)::VARCHAR || ',' || to_json(value_to)::VARCHAR || ']}'"""
 _SECT = "se AS (SELECT *, sum(coalesce(mark IN ('h1','h2','h3','h4','h5'), false)::INT) OVER (PARTITION BY doc_id ORDER BY item)::BIGINT AS section FROM bi)"
 
 
@@ -298,7 +326,20 @@ def paragraph_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_body(spark: SparkSession, d: str) -> DataFrame:
-    return exports.json_items(_book_items(spark, d)).select("doc_id", "item", F.get_json_object("value", "$.t").alias("t"), F.get_json_object("value", "$.c").alias("c"), F.get_json_object("value", "$.p[1]").alias("p"))
+    return exports.json_items(_book_items(spark, d))
+
+
+def json_books(spark: SparkSession, d: str) -> DataFrame:
+    items = _book_items(spark, d)
+    return exports.json_books(items, items.select("doc_id", F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("title")).distinct())
+
+
+def tmx_documents(spark: SparkSession, d: str) -> DataFrame:
+    return exports.tmx_documents(_items(spark, d), "en", "de")
+
+
+def xml_books(spark: SparkSession, d: str) -> DataFrame:
+    return exports.xml_books(_paragraphs(spark, d), F.concat(F.lit("A & B "), F.col("doc_id").cast("string")))
 
 
 def html_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -319,11 +360,34 @@ def shift_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def insert_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two empty lines put in after one line of each document, and one after the third line below it."""
     l = I.both_lines(spark, d)
-    after = l.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 9 + 1).alias("line_id"))
+    after = l.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.col("doc_id") % 9 + k for k in (1, 1, 4)])).alias("line_id"))
     return store.insert_lines(l, "from", after).where("side = 'from'").select("doc_id", "line_id", "text", "paragraph")
 
 
+def set_text(spark: SparkSession, d: str) -> DataFrame:
+    """New texts for every third from-line; null ones change nothing."""
+    l = I.both_lines(spark, d)
+    new = l.where("line_id % 3 = 0 and side = 'from'").select("doc_id", "side", "line_id", F.when(F.col("line_id") % 6 != 0, F.concat(F.lit("new "), "text")).alias("value"))
+    return store.set_text(l, new).select("doc_id", "side", "line_id", "text")
+
+
+def paragraph_range(spark: SparkSession, d: str) -> DataFrame:
+    from tandemtext.operators import lines as L
+
+    return L.paragraph_range(I.both_lines(spark, d), 1, 4)
+
+
+def proxy_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Proxy texts of all documents; those of every third lack the first line, so these documents get none."""
+    from tandemtext.operators import lines as L
+
+    l = I.lines(spark, d)
+    proxy = l.where("not (doc_id % 3 = 0 and line_id = 1)").withColumn("text", F.concat(F.lit("p "), "text"))
+    return L.with_proxy(l, proxy).select("doc_id", "line_id", "text", "proxy_text")
+
+
 def _meta(spark: SparkSession, d: str) -> DataFrame:
     from tandemtext.operators import lines as L
 
@@ -336,6 +400,13 @@ def meta_insert(spark: SparkSession, d: str) -> DataFrame:
     return store.add_meta(m, new).select("doc_id", "mark", "val", "occurrence", "par_id")
 
 
+def meta_edit(spark: SparkSession, d: str) -> DataFrame:
+    """The first heading of three marks gets another value and moves down by two paragraphs."""
+    m = _meta(spark, d)
+    new = m.where("occurrence = 0 and mark in ('h1', 'h2', 'title')").withColumns({"val": F.lit("edited"), "par_id": F.col("par_id") + 2})
+    return store.edit_meta(m, new.select("doc_id", "side", "mark", "occurrence", "val", "par_id")).select("doc_id", "mark", "val", "occurrence", "par_id")
+
+
 def meta_soft_delete(spark: SparkSession, d: str) -> DataFrame:
     m = _meta(spark, d)
     return store.delete_meta(m, m.where("occurrence = 0 and mark in ('h1', 'h2')")).groupBy("mark").agg(F.count_if("deleted").alias("gone"), F.count(F.lit(1)).alias("n"))
@@ -369,15 +440,23 @@ def robust_fit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "good_chains": good_chains, "chains_with_ends": chains_with_ends, "conflicts_to_solve": conflicts_to_solve, "conflicts_rest": conflicts_rest, "conflict_stats": conflict_stats, "conflict_lines": conflict_lines,
     "chain_score_to": _score("to"), "chain_score_both": _score("both"), "corrected_conflicts": corrected_conflicts, "spliced": spliced, "length_ratios": length_ratios, "outlier_bounds": outlier_bounds, "outliers": outliers,
-    "correction_tasks": correction_tasks, "task_variants": task_variants, "score_by_length": score_by_length, "aligned_items": aligned_items, "aligned_pair_chains": aligned_pair_chains, "empty_cells": empty_cells,
+    "correction_tasks": correction_tasks, "task_variants": task_variants, "score_by_length": score_by_length, "corrected_by_length": corrected_by_length, "corrected_by_similarity": corrected_by_similarity, "aligned_items": aligned_items, "aligned_pair_chains": aligned_pair_chains, "empty_cells": empty_cells,
     "paragraphs": paragraphs, "paragraphs_preview": paragraphs_preview, "polybook_blocks": polybook_blocks, "common_boundaries": common_boundaries, "next_boundary": next_boundary, "book_items": book_items, "book_sections": book_sections, "xml_sections": xml_sections,
-    "tmx_rows": tmx_rows, "plain_text": plain_text, "paragraph_text": paragraph_text, "json_body": json_body, "html_rows": html_rows, "xml_paragraphs": xml_paragraphs, "shift_ids": shift_ids, "insert_lines": insert_lines,
-    "meta_insert": meta_insert, "meta_soft_delete": meta_soft_delete, "page_join": page_join, "replaced_batches": replaced_batches, "alignment_points": alignment_points, "ols_fit": ols_fit, "robust_fit": robust_fit,
+    "tmx_rows": tmx_rows, "plain_text": plain_text, "paragraph_text": paragraph_text, "json_body": json_body, "json_books": json_books, "tmx_documents": tmx_documents, "xml_books": xml_books, "html_rows": html_rows, "xml_paragraphs": xml_paragraphs, "shift_ids": shift_ids, "insert_lines": insert_lines, "set_text": set_text, "paragraph_range": paragraph_range, "proxy_texts": proxy_texts,
+    "meta_insert": meta_insert, "meta_edit": meta_edit, "meta_soft_delete": meta_soft_delete, "page_join": page_join, "replaced_batches": replaced_batches, "alignment_points": alignment_points, "ols_fit": ols_fit, "robust_fit": robust_fit,
 }
 
 _FIT = "len_from BETWEEN 0 AND 3 AND len_to BETWEEN 0 AND 3"
 _MATCH_CSV = "doc_id, batch_id, sub_id, array_to_string(from_ids, ',') AS from_ids, array_to_string(to_ids, ',') AS to_ids"
 _TAG = "coalesce(mark, 'p')"
+_TU = f"""'<tu><tuv xml:lang="en-US"><seg>' || {_ESC('text_from')} || '</seg></tuv><tuv xml:lang="de-DE"><seg>' || {_ESC('text_to')} || '</seg></tuv></tu>'"""
+_XML = f"""xs AS (SELECT doc_id, par_id, coalesce(sum(len(tf)) OVER (PARTITION BY doc_id ORDER BY par_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, generate_subscripts(tf, 1) AS i, unnest(tf) AS f, unnest(tt) AS t FROM pa),
+xp AS (SELECT doc_id, par_id, '<p id="' || (par_id + 1) || '">' || string_agg('<sentence id="' || (bf + i)::BIGINT || '"><su lang="from">' || {_ESC('f')} || '</su><su lang="to">' || {_ESC('t')} || '</su></sentence>', '' ORDER BY i) || '</p>' AS value FROM xs GROUP BY doc_id, par_id)"""
+_SPLICED = f"""{_CONF}, fit AS (SELECT doc_id, conflict, a, b FROM co WHERE len_from BETWEEN 0 AND 3 AND len_to BETWEEN 0 AND 3),
+kp AS (SELECT doc_id, batch_id, sub_id, 0 AS pair, from_ids, to_ids FROM ma WHERE NOT EXISTS (SELECT 1 FROM fit WHERE fit.doc_id = ma.doc_id AND (ma.batch_id, ma.sub_id) >= (fit.a[3], fit.a[4]) AND (ma.batch_id, ma.sub_id) <= (fit.b[3], fit.b[4]))
+  UNION ALL SELECT doc_id, a[3], a[4], 1, range(a[1], b[1] + 1), range(a[2], b[2] + 1) FROM fit),
+ls AS (SELECT *, max(list_max(from_ids)) OVER (PARTITION BY doc_id ORDER BY batch_id, sub_id, pair ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM kp),
+sp AS (SELECT doc_id, batch_id, sub_id, pair, CASE WHEN pair > 0 THEN list_filter(from_ids, lambda x: top IS NULL OR x > top) ELSE from_ids END AS from_ids, to_ids FROM ls)"""
 ORACLES = {
     "good_chains": f"WITH {_chains_sql(3)} SELECT doc_id, chain, n, {_COLS} FROM gc", "chains_with_ends": _WITH_ENDS,
     "conflicts_to_solve": f"WITH {_CONF} SELECT doc_id, conflict, len_from, len_to, {_COLS} FROM co WHERE {_FIT}", "conflicts_rest": f"WITH {_CONF} SELECT doc_id, conflict, len_from, len_to, {_COLS} FROM co WHERE NOT ({_FIT})",
@@ -386,6 +465,7 @@ ORACLES = {
     "chain_score_to": f"WITH {_BREAKS} SELECT doc_id, round(1 - br / n, 6) AS score FROM br WHERE side = 'to'", "chain_score_both": f"WITH {_BREAKS} SELECT doc_id, round(1 - sum(br) / sum(n), 6) AS score FROM br GROUP BY doc_id",
     "length_ratios": f"WITH {I.TURNS}, {_RATIO} SELECT doc_id, pos, len_from, len_to, round(char_ratio, 6) AS char_ratio, round(word_ratio, 6) AS word_ratio FROM ra",
     "outlier_bounds": f"WITH {_BOUNDS} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('char_mean', 'char_low', 'char_high', 'word_mean', 'word_low', 'word_high'))} FROM bo",
+    "spliced": f"WITH {_SPLICED} SELECT doc_id, batch_id, row_number() OVER (PARTITION BY doc_id, batch_id ORDER BY sub_id, pair) - 1 AS sub_id, array_to_string(from_ids, ',') AS from_ids, array_to_string(to_ids, ',') AS to_ids FROM sp WHERE len(from_ids) > 0",
     "outliers": f"WITH {_BOUNDS} SELECT doc_id, pos, is_outlier FROM ol", "correction_tasks": f"WITH {_TASKS} SELECT doc_id, task, pos FROM tk",
     "score_by_length": f"WITH {_TASKS}, {_TEXTS}, tu AS (SELECT tk.task, tx.* FROM tk JOIN tx USING (doc_id, pos) WHERE EXISTS (SELECT 1 FROM ln WHERE ln.doc_id = tx.doc_id AND list_contains(tx.to_ids, ln.line_id))), {_RATIO} SELECT doc_id, task, round(sum(abs(0.9 - char_ratio) + abs(0.8 - word_ratio)), 6) AS score FROM ra GROUP BY ALL",
     "aligned_items": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, text_from, text_to FROM tx",
@@ -398,13 +478,21 @@ ORACLES = {
     "next_boundary": f"WITH {I.LINES} SELECT l.doc_id, l.line_id, min(b.line_id) AS boundary FROM ln l JOIN ln b ON b.doc_id = l.doc_id AND b.line_id >= l.line_id AND b.line_id % 5 = 0 GROUP BY ALL",
     "book_items": f"WITH {_items_sql()} SELECT * FROM bi", "book_sections": f"WITH {_items_sql()}, {_SECT} SELECT doc_id, section, count(*) AS items, count(*) FILTER (kind = 'paragraph') AS paragraphs FROM se GROUP BY ALL",
     "xml_sections": f"WITH {_items_sql()}, {_SECT} SELECT doc_id, section, '<section>' || chr(10) || string_agg('<' || {_TAG} || '><su lang=\"from\">' || {_ESC('value_from')} || '</su><su lang=\"to\">' || {_ESC('value_to')} || '</su></' || {_TAG} || '>', chr(10) ORDER BY item) || chr(10) || '</section>' AS value FROM se GROUP BY ALL HAVING count(*) FILTER (kind = 'paragraph') > 0",
-    "tmx_rows": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, '<tu><tuv xml:lang=\"en-US\"><seg>' || {_ESC('text_from')} || '</seg></tuv><tuv xml:lang=\"de-DE\"><seg>' || {_ESC('text_to')} || '</seg></tuv></tu>' AS value FROM tx",
+    "tmx_rows": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, {_TU} AS value FROM tx",
     "plain_text": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, pos, text_to AS value FROM tx",
     "paragraph_text": f"WITH {_PARS} SELECT doc_id, par_id + 1 AS pos, array_to_string(tt, ' ') AS value FROM pa",
-    "json_body": f"WITH {_items_sql()} SELECT doc_id, item, CASE kind WHEN 'heading' THEN 'h' ELSE 'p' END AS t, mark AS c, value_to AS p FROM bi",
+    "json_body": f"WITH {_items_sql()} SELECT doc_id, item, {_JSON} AS value FROM bi",
+    "json_books": f"WITH {_items_sql()} SELECT doc_id, '{{\"head\":{{\"title\":\"Book ' || doc_id || '\"}},\"body\":[' || string_agg({_JSON}, ',' ORDER BY item) || ']}}' AS value FROM bi GROUP BY doc_id",
+    "xml_paragraphs": f"WITH {_PARS}, {_XML} SELECT doc_id, par_id + 1 AS pos, value FROM xp",
+    "xml_books": f"WITH {_PARS}, {_XML} SELECT doc_id, '<book><head><title>A &amp; B ' || doc_id || '</title></head><body>' || chr(10) || string_agg(value, chr(10) ORDER BY par_id) || chr(10) || '</body></book>' AS value FROM xp GROUP BY doc_id",
+    "tmx_documents": f"WITH {I.MATCH}, {_TEXTS}, tm AS (SELECT doc_id, pos, {_TU} AS value FROM tx) SELECT doc_id, '<?xml version=''1.0'' encoding=''UTF-8''?>' || chr(10) || '<tmx version=''1.4''>' || chr(10) || '<header srclang=\"en-US\" datatype=\"plaintext\" segtype=\"sentence\"/>' || chr(10) || '<body>' || chr(10) || string_agg(value, chr(10) ORDER BY pos) || chr(10) || '</body>' || chr(10) || '</tmx>' AS value FROM tm GROUP BY doc_id",
     "html_rows": f"WITH {_items_sql()}, h AS (SELECT *, CASE kind WHEN 'heading' THEN 'h2' ELSE 'p' END AS g, (item % 3)::VARCHAR AS y FROM bi) SELECT doc_id, item AS pos, '<tr>' || {' || '.join(f'''{chr(39)}<td class=\"col\"><{chr(39)} || g || {chr(39)} class=\"s{chr(39)} || y || {chr(39)}\">{chr(39)} || {_ESC('value_' + s)} || {chr(39)}</{chr(39)} || g || {chr(39)}></td>{chr(39)}''' for s in ('from', 'to'))} || '</tr>' AS value FROM h",
     "shift_ids": f"WITH {I.MATCH} SELECT doc_id, batch_id, sub_id, array_to_string(from_ids, ',') AS from_ids, array_to_string(list_transform(to_ids, lambda x: CASE WHEN x > doc_id % 9 + 1 THEN x + 1 ELSE x END), ',') AS to_ids FROM ma",
-    "insert_lines": f"WITH {I.LINES}, x AS (SELECT *, doc_id % 9 + 1 AS a, ((line_id - 1) // 4)::BIGINT AS paragraph FROM ln) SELECT doc_id, CASE WHEN line_id > a THEN line_id + 1 ELSE line_id END AS line_id, text, paragraph FROM x UNION ALL SELECT doc_id, line_id + 1, '', paragraph FROM x WHERE line_id = a",
+    "insert_lines": f"WITH {I.LINES}, x AS (SELECT *, doc_id % 9 + 1 AS a, ((line_id - 1) // 4)::BIGINT AS paragraph FROM ln), y AS (SELECT *, line_id + CASE WHEN line_id > a THEN 2 ELSE 0 END + CASE WHEN line_id > a + 3 THEN 1 ELSE 0 END AS pl FROM x) SELECT doc_id, pl AS line_id, text, paragraph FROM y UNION ALL SELECT doc_id, pl + unnest([1, 2]), '', paragraph FROM y WHERE line_id = a UNION ALL SELECT doc_id, pl + 1, '', paragraph FROM y WHERE line_id = a + 3",
+    "set_text": f"WITH {I.LINES} SELECT doc_id, side, line_id, CASE WHEN line_id % 3 = 0 AND line_id % 6 <> 0 AND side = 'from' THEN 'new ' || t ELSE t END AS text FROM (SELECT doc_id, 'from' AS side, line_id, text AS t FROM ln UNION ALL SELECT doc_id, 'to', line_id, '[' || text || ']' FROM ln)",
+    "paragraph_range": f"WITH {I.LINES} SELECT doc_id, side, line_id, CASE side WHEN 'to' THEN '[' || text || ']' ELSE text END AS text FROM ln, (VALUES ('from'), ('to')) t(side) WHERE (line_id - 1) // 4 > 1 AND (line_id - 1) // 4 <= 4",
+    "proxy_texts": f"WITH {I.LINES}, px AS (SELECT doc_id, line_id, text, CASE WHEN doc_id % 3 <> 0 THEN 'p ' || text END AS proxy_text FROM ln) SELECT * FROM px",
+    "meta_edit": f"WITH {_items_sql()}, u AS (SELECT doc_id, mark, CASE WHEN e THEN 'edited' ELSE val END AS val, CASE WHEN e THEN par_id + 2 ELSE par_id END AS par_id, e::INT AS late, occ FROM (SELECT *, occ = 0 AND mark IN ('h1', 'h2', 'title') AS e FROM m1)) SELECT doc_id, mark, val, (row_number() OVER (PARTITION BY doc_id, mark ORDER BY par_id, late, occ) - 1)::BIGINT AS occurrence, par_id::BIGINT AS par_id FROM u",
     "meta_insert": f"WITH {_items_sql()}, u AS (SELECT doc_id, mark, val, par_id, 0 AS late, occ FROM m1 UNION ALL SELECT DISTINCT doc_id, 'h1', 'new', 1, 1, NULL FROM m1) SELECT doc_id, mark, val, (row_number() OVER (PARTITION BY doc_id, mark ORDER BY par_id, late, occ) - 1)::BIGINT AS occurrence, par_id::BIGINT AS par_id FROM u",
     "meta_soft_delete": f"WITH {_items_sql()} SELECT mark, count(*) FILTER (occ = 0 AND mark IN ('h1', 'h2')) AS gone, count(*) AS n FROM m1 GROUP BY mark",
     "page_join": f"WITH {I.MATCH}, {_TEXTS} SELECT doc_id, -pos AS rank, text_from, text_to FROM tx",

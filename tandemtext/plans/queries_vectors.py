@@ -99,9 +99,9 @@ def align_unmatched_default(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Conflicts by rule over the vector lines: boundaries every 12 lines, the sides differing in length."""
-    v = store.line_counts(I.vector_lines(spark, d)).where("l1 >= 100 and l2 >= 100")
-    own = v.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("conflict"))
+    """Conflicts by rule over the vector lines: boundaries every 12 lines of each document, the sides differing in length."""
+    v = store.line_counts(I.vector_lines(spark, d)).withColumn("k", F.floor((F.least("l1", "l2") - 6) / 12)).where("k >= 1")
+    own = v.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("conflict"))
     at = F.col("conflict") * 12
     point = lambda f, t, k: F.struct(f.alias("from_id"), t.alias("to_id"), F.lit(0).cast("long").alias("batch_id"), (at + k).alias("sub_id"))
     a, b = (F.col("conflict") % 4 + 1), (F.col("conflict") * 2 % 5 + 1)
@@ -109,7 +109,7 @@ def _conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VARIANTS = f"""{I.VECTOR_LINES}, {_COUNTS},
-cf AS (SELECT doc_id, c AS conflict, c * 12 AS s, c % 4 + 2 AS nf, c * 2 % 5 + 2 AS nt FROM ct, range(1, 8) r(c) WHERE l1 >= 100 AND l2 >= 100),
+cf AS (SELECT doc_id, c AS conflict, c * 12 AS s, c % 4 + 2 AS nf, c * 2 % 5 + 2 AS nt FROM (SELECT doc_id, unnest(range(1, (least(l1, l2) - 6) // 12 + 1)) AS c FROM ct)),
 vm AS (SELECT *, greatest(nf, nt) AS n, least(nf, nt) AS g, unnest(range((1 << (greatest(nf, nt) - 1))::BIGINT)) AS m FROM cf),
 vc AS (SELECT *, list_concat([0], list_filter(range(1, n), lambda i: (m >> (i - 1)) & 1 = 1), [n]) AS cuts FROM vm WHERE bit_count(m) = g - 1),
 vn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, conflict ORDER BY cuts) - 1 AS variant FROM vc),
@@ -139,6 +139,12 @@ sc AS (SELECT va.doc_id, conflict, variant, greatest(round(sum(list_cosine_simil
   JOIN ge a ON a.doc_id = va.doc_id AND a.side = 'from' AND a.ids = va.from_ids JOIN ge b ON b.doc_id = va.doc_id AND b.side = 'to' AND b.ids = va.to_ids GROUP BY ALL)"""
 
 
+def solved_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The best grouping of each conflict, found by dynamic programming over the pairs that groupings share."""
+    got = resolve.solutions(_conflicts(spark, d), I.vector_lines(spark, d))
+    return got.select("doc_id", "conflict", "pair", F.concat_ws(",", F.col("from_ids").cast("array<string>")).alias("from_ids"), F.concat_ws(",", F.col("to_ids").cast("array<string>")).alias("to_ids"))
+
+
 def resolved_round(spark: SparkSession, d: str) -> DataFrame:
     """A whole round over the band alignment: conflicts found, solved and spliced in."""
     got = resolve.resolve_round(aligned(spark, d), I.vector_lines(spark, d), 2, 8)
@@ -158,7 +164,7 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "cosine_pairs": cosine_pairs, "l2_normalize": l2_normalize, **{f"vec_{m}": _aggregate(m) for m in V.METHODS}, "batches_plain": batches_plain, "batches_shift": batches_shift, "align_band": align_band,
-    "similarity_band": similarity_band, "align_unmatched_default": align_unmatched_default, "conflict_variants": conflict_variants, "best_variant": best_variant, "resolved_round": resolved_round,
+    "similarity_band": similarity_band, "align_unmatched_default": align_unmatched_default, "conflict_variants": conflict_variants, "best_variant": best_variant, "solved_conflicts": solved_conflicts, "resolved_round": resolved_round,
     "score_after_repair": score_after_repair, "missing_embeddings": missing_embeddings,
 }
 
@@ -172,5 +178,6 @@ ORACLES = {
     "align_unmatched_default": f"WITH {_batches_sql(40, 0, 0)}, x AS (SELECT *, unnest(range(f0, f1)) AS x FROM bt) SELECT doc_id, batch_id, (x - f0)::BIGINT AS sub_id, (x + 1)::BIGINT AS from_id, (t0 + 1)::BIGINT AS to_id, 0.0::DOUBLE AS sim FROM x",
     "conflict_variants": f"WITH {_VARIANTS} SELECT doc_id, conflict, variant, pair, array_to_string(from_ids, ',') AS from_ids, array_to_string(to_ids, ',') AS to_ids FROM va",
     "best_variant": f"WITH {_VARIANTS}, {_GROUPS} SELECT doc_id, conflict, arg_max(variant, (round(score, 9), -variant)) AS variant, round(max(score), 5) AS score FROM sc GROUP BY ALL",
+    "solved_conflicts": f"WITH {_VARIANTS}, {_GROUPS}, bv AS (SELECT doc_id, conflict, arg_max(variant, (round(score, 9), -variant)) AS variant FROM sc GROUP BY ALL) SELECT doc_id, conflict, pair, array_to_string(from_ids, ',') AS from_ids, array_to_string(to_ids, ',') AS to_ids FROM va JOIN bv USING (doc_id, conflict, variant)",
     "missing_embeddings": f"WITH {I.VECTOR_LINES} SELECT doc_id, side, line_id FROM vl WHERE line_id % 5 = 0",
 }

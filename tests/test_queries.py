@@ -8,7 +8,7 @@ from compare import DATA, rows, sql_rows
 from tandemtext.queries import ORACLES, QUERIES
 
 #: Queries that SQL can't express; other tests hold them against written-out answers.
-NO_SQL = {"resolved_round", "score_after_repair", "corrected_conflicts", "spliced", "task_variants", "xml_paragraphs", "robust_fit"}
+NO_SQL = {"resolved_round", "score_after_repair", "corrected_conflicts", "task_variants", "corrected_by_length", "corrected_by_similarity", "robust_fit"}
 
 
 def test_all_have_sql_but_the_known():

@@ -13,6 +13,7 @@ from tandemtext.functions.intervals import within
 from tandemtext.functions.ranking import running_total
 from tandemtext.functions.runs import whole_keys
 from tandemtext.operators import books, embed, store
+from tandemtext.operators import lines as line_tables
 from tandemtext.plans import alignment
 from tandemtext.sources import exports, readers
 from tandemtext.streaming import incremental
@@ -232,6 +233,41 @@ def test_texts_to_alignment(spark):
     assert sum(r.text_from == r.text_to for r in items) >= 0.8 * len(items)
 
 
+def test_second_run_encodes_nothing(spark):
+    def never(texts):
+        raise AssertionError(f"encoded again: {texts}")
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [("d", s, i + 1, f"{n} {n}") for s in ("from", "to") for i, n in enumerate(words)]
+    both = spark.createDataFrame(rows, "doc_id string, side string, line_id long, text string")
+    encoder = embed.hashing_encoder(128)
+    match, vectors = alignment.realigned(None, both, None, encoder, "h", size=4, window=2)
+    assert vectors.count() == 24 and match.count() == 12
+    again, same = alignment.realigned(None, both, vectors, lambda: never, "h", size=4, window=2)
+    assert same.count() == 24 and sorted(map(str, again.collect())) == sorted(map(str, match.collect()))
+    # another model's vectors are kept and don't count
+    with pytest.raises(Exception, match="encoded again"):
+        alignment.realigned(None, both, vectors, lambda: never, "other", size=4, window=2)
+    # proxies of one side: only these are encoded; one batch is aligned anew, the others stay
+    proxy = both.where("side = 'from'").withColumn("text", F.concat(F.lit("x "), "text"))
+    mixed = line_tables.with_proxy(both, proxy)
+    part, more = alignment.realigned(match, mixed, vectors, encoder, "h", ("from",), 4, 2, batch_ids=[1])
+    assert more.count() == 36 and more.where("is_proxy").count() == 12
+    key = lambda df, b: sorted(str(r) for r in df.where(F.col("batch_id") == b).select("sub_id", "from_ids", "to_ids", "sim").collect())
+    assert [key(part, b) == key(match, b) for b in (0, 1, 2)] == [True, False, True] and part.count() == 12
+
+
+def test_encoders_of_objects(spark):
+    class Model:
+        def encode(self, texts, scale=1.0):
+            return [[scale * len(t), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "line_id long, text string")
+    got = {r.line_id: r.embedding for r in embed.embed(df, embed.model_encoder(Model, scale=2.0), normalize=False).collect()}
+    assert got == {1: [6.0, 1.0], 2: None}
+    assert {"labse", "sonar", "rubert_tiny"} <= set(embed.REGISTRY)
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_components(spark, n):
     rng = np.random.default_rng(n)
