@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import random
@@ -58,20 +57,16 @@ def test_all_bits_are_searched(spark):
     assert {(bytes(r.a), bytes(r.b)) for r in got} == {tuple(sorted(hashlib.md5(f).digest() for f in p)) for p in pairs}
     of = {bytes(r.fp): bytes(r.n) for r in fps.select("fp", simhash.node().alias("n")).collect()}
     assert all(n == hashlib.md5(f).digest() for f, n in of.items())
-    # keys are the same in Spark and in Python
+
+
+def test_rows_share_what_their_tables_keep():
     masks = simhash.covering_masks()
     for together in (False, True):
-        of = simhash.tables_of_rows(together)
+        of, shared = simhash.tables_of_rows(together), simhash.shared_masks(together)
         assert sorted(t for own in of for t in own) == list(range(simhash.BLOCKS * len(masks)))
-        own = fps.select(simhash.F.explode(simhash.F.array(*[simhash.F.lit(t).cast("short") for t in (0, 7, 15, 61, len(of) - 1)])).alias("r"), "fp")
-        rows = own.select("r", "fp", simhash.shared_key("fp", "r", together).alias("k")).collect()
-        v = np.frombuffer(b"".join(bytes(r.fp) for r in rows), np.uint64).reshape(-1, 4)
-        for r, fp in zip(rows, v, strict=True):
-            # the shared key follows from the key of each table of the row
-            for t in of[r.r]:
-                key = int(simhash.row_keys(np.array([t]), fp[None])[0]) & 0xFFFFFFFF
-                shared = functools.reduce(int.__and__, (masks[x % len(masks)] for x in of[r.r]))
-                assert r.k == (r.r << simhash.BLOCK_BITS) + (key & shared)
+        for own, keep in zip(of, shared, strict=True):
+            assert len({t // len(masks) for t in own}) == 1 and keep
+            assert all(keep & masks[t % len(masks)] == keep for t in own)
 
 
 def test_rows_of_two_tables_give_the_pairs_of_one(spark):
