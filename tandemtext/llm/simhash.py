@@ -23,16 +23,16 @@ BITS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 256, 8, 32, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Two documents are near copies if at most this share of their fingerprint bits differs (set cosine of about 0.83).
 MOST_DIFFERENT = 0.1875
-#: Keys that more fingerprints than this share are masked a second time, over the other blocks, with masks for INNER_RADIUS: of a
-#: pair within RADIUS that meets in one block, one of the other seven differs in INNER_RADIUS bits at most. So what is compared
-#: grows in proportion to the fingerprints and not to their square.
-CROWDED, INNER_RADIUS = 1024, 4
 #: Up to so many fingerprints a row stands for two tables: a task then holds the rows that share 8 bits, at most about 1 in 256 of all, 16 MB.
 #: Beyond, one row for each table: more is shuffled and tasks hold less, the pairs are the same.
 TOGETHER = 1 << 27
-#: Up to so many fingerprints of one key all pairs are compared, for all such keys at once; more are searched around leaders.
-#: Both ways connect the same rows.
-_AT_ONCE = 64
+#: Up to so many fingerprints of one key all pairs are compared, for all such keys at once; up to CROWDED key by key; more are
+#: searched around leaders, without a cap. All three ways connect the same rows.
+_AT_ONCE, CROWDED = 64, 1024
+#: After so many leaders, if they took less than one other row each, the rows left are compared with each other instead.
+_LEADERS = 64
+#: Rows of a matrix of comparisons have so many cells in all, at most.
+_CELLS = 1 << 18
 
 
 def fingerprint(words: set[str]) -> bytes | None:
@@ -84,19 +84,51 @@ def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
 
 
+def _near_of_all(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a row of `x` and a row of `y` that are near, all being compared."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    columns = [np.ascontiguousarray(y[:, w]) for w in range(y.shape[1])]
+    step = max(1, _CELLS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        differ = np.zeros((len(x[at : at + step]), len(y)), np.uint16)
+        for w, column in enumerate(columns):
+            differ += np.bitwise_count(x[at : at + step, w, None] ^ column)
+        i, j = np.nonzero(differ <= most)
+        left.append(i + at)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _near_within(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The near pairs (i, j) of rows of `v`, i < j, all being compared."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(64, _CELLS // max(1, len(v)))
+    for at in range(0, len(v), step):
+        i, j = _near_of_all(v[at : at + step], v[at:], most)
+        left.append(i[i < j] + at)
+        right.append(j[i < j] + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def bucket_edges(v: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Pairs of rows of `v` (fingerprints as uint64 words) that connect all rows which near pairs connect.
 
     Rows near a leader are tied to it and need no comparison among themselves; rows that no leader has taken become
-    leaders. Two groups that are still apart are compared row by row until one near pair ties them, and only if
-    their leaders lie near enough, given the groups' radii, for such a pair to exist.
+    leaders, as long as they take others. Two groups that are still apart are compared row by row until one near pair ties
+    them, and only if their leaders lie near enough, given the groups' radii, for such a pair to exist. What leaders have
+    left is compared with itself, and with those groups that a near pair is possible with.
     """
     edges: list[tuple[int, int]] = []
     leaders: list[int] = []
     groups: list[np.ndarray] = []
     radius: list[int] = []
     rest = np.arange(len(v))
+    before = len(rest)
     while len(rest):
+        if leaders and len(leaders) % _LEADERS == 0:
+            if before - len(rest) < 2 * _LEADERS:
+                break
+            before = len(rest)
         i = int(rest[0])
         far = _bits(v[i], v[rest])
         close = rest[far <= most]
@@ -122,6 +154,13 @@ def bucket_edges(v: np.ndarray, most: int) -> list[tuple[int, int]]:
                     a, b = sorted((int(root[g]), int(root[h])))
                     root[root == b] = a
                     break
+    if len(rest):
+        i, j = _near_within(v[rest], most)
+        edges += zip(rest[i].tolist(), rest[j].tolist(), strict=True)
+        for g in np.flatnonzero(radii):
+            reach = rest[_bits(lead[g], v[rest]) <= most + radii[g]]
+            i, j = _near_of_all(v[groups[g]], v[reach], most)
+            edges += zip(groups[g][i].tolist(), reach[j].tolist(), strict=True)
     return edges
 
 
@@ -141,9 +180,8 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, label[rows]
 
 
-def _edges_of(keys: np.ndarray, v: np.ndarray, most: int, outer: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that connect what the near pairs within runs of equal keys connect, or, of `outer` keys that many share, what those connect
-    that agree in a second key as well."""
+def _edges_of(keys: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect what the near pairs within runs of equal keys connect, however long a run is."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     run_size = np.repeat(sizes, sizes)
@@ -157,38 +195,16 @@ def _edges_of(keys: np.ndarray, v: np.ndarray, most: int, outer: bool = True) ->
         left.append(ok)
         right.append(ok + d)
         d += 1
-    crowded = CROWDED if outer else len(keys)
-    rows = np.flatnonzero(run_size > crowded)
-    if len(rows):
-        i, j = _inner_edges(keys[rows], v[rows], most)
-        left.append(rows[i])
-        right.append(rows[j])
-    for s in starts[(sizes > _AT_ONCE) & (sizes <= crowded)]:
-        e = bucket_edges(v[s : s + run_size[s]], most)
-        if e:
-            x = np.array(e) + s
-            left.append(x[:, 0])
-            right.append(x[:, 1])
+    for s, size in zip(starts[sizes > _AT_ONCE].tolist(), sizes[sizes > _AT_ONCE].tolist(), strict=True):
+        if size <= CROWDED:
+            i, j = _near_within(v[s : s + size], most)
+        else:
+            i, j = np.array(bucket_edges(v[s : s + size], most), np.int64).reshape(-1, 2).T
+        left.append(i + s)
+        right.append(j + s)
     return _forest(len(keys), np.concatenate(left), np.concatenate(right))
 
 
-def _inner_edges(keys: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows as `_edges_of` gives them, for keys that many rows share: rows are compared that also share a key of another block."""
-    _, own = np.unique(keys, return_inverse=True)
-    blocks = v.view(np.uint8).reshape(len(v), BITS // BLOCK_BITS, BLOCK_BITS // 8).view(">u4")[:, :, 0].astype(np.uint64)
-    at = (keys >> BLOCK_BITS) // len(covering_masks())  # the block that the key is of
-    left, right = [], []
-    for b in range(BLOCKS):
-        rows = np.flatnonzero(at != b)
-        for m in covering_masks(BLOCK_BITS, INNER_RADIUS):
-            inner = own[rows].astype(np.uint64) << np.uint64(BLOCK_BITS) | blocks[rows, b] & np.uint64(m)
-            order = rows[np.argsort(inner, kind="stable")]
-            i, j = _edges_of(np.sort(inner), v[order], most, False)
-            left.append(order[i])
-            right.append(order[j])
-    return np.concatenate(left), np.concatenate(right)
-
-
 def tables_of_rows(together: bool) -> list[tuple[int, ...]]:
     """The tables that each row of a fingerprint stands for: two of one block, where `together`, or one; every table is in one of them."""
     n = len(covering_masks())
@@ -241,8 +257,8 @@ def near_pairs(fps: DataFrame, most: float = MOST_DIFFERENT, together: bool = Tr
     one row per fingerprint.
 
     Fingerprints that differ in at most RADIUS of their bits meet in some table by construction; those
-    that differ more meet with a probability that falls slowly. All that meet are compared over all bits. A key holds 17
-    bits of the fingerprint; rows of a key that very many share must agree in a key of another block as well.
+    that differ more meet with a probability that falls slowly. All that meet are compared over all bits, however many share
+    a key. A key holds 17 bits of the fingerprint.
     Tables are rows, not loops. Where `together` a row stands for two tables and is sent by the 8 bits or so that their keys share;
     within these, rows are sorted by either key. That halves what is shuffled; the pairs are the same. Rows are made table by table:
     what is shuffled doesn't depend on how many of a fingerprint's rows go to one task and compress each other.

@@ -198,6 +198,29 @@ def test_crowded_keys_keep_the_guarantee(monkeypatch):
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} >= set(pairs)
 
 
+def test_crowded_keys_find_every_near_pair(monkeypatch):
+    # pairs at the threshold, spread over all blocks but the one of the key: however many rows share the key, all are found
+    rnd = random.Random(9)
+    limit = int(simhash.MOST_DIFFERENT * simhash.BITS)
+    rest = simhash.BITS - simhash.BLOCK_BITS  # the key is of block 0
+    rows = []
+    for _ in range(150):
+        a = rnd.getrandbits(rest)
+        rows += [a, a ^ sum(1 << i for i in rnd.sample(range(rest), limit))]
+    centre = rnd.getrandbits(rest)  # and a group whose rows lie around one
+    rows += [centre] + [centre ^ sum(1 << i for i in rnd.sample(range(rest), 30)) for _ in range(100)]
+    v = np.frombuffer(b"".join(x.to_bytes(32, "big") for x in rows), np.uint64).reshape(-1, 4)
+    i, j = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None]).sum(-1) <= limit, 1))
+    truth = {tuple(map(int, p)) for p in zip(*simhash._forest(len(v), i, j), strict=True)}
+    assert len(truth) == 250
+    for at_once, crowded, leaders in ((64, 10**6, 64), (10**6, 10**6, 64), (1, 100, 64), (1, 100, 4), (1, 1, 10**6)):
+        monkeypatch.setattr(simhash, "_AT_ONCE", at_once)
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        monkeypatch.setattr(simhash, "_LEADERS", leaders, raising=False)
+        got = simhash._edges_of(np.zeros(len(v), np.int64), v, limit)
+        assert {tuple(map(int, p)) for p in zip(*got, strict=True)} == truth
+
+
 def test_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "a" * 300_000)], SCHEMA)
