@@ -17,15 +17,15 @@ from tandemtext.functions.durable import consumed, written
 from tandemtext.functions.runs import whole_keys
 from tandemtext.llm.common import WORDS, chunks, mix, packed, table, unpacked, word_hashes
 
-#: Bits of a fingerprint; all are searched, in BLOCKS blocks of BLOCK_BITS bits, each with masks for BLOCK_RADIUS.
-BITS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 256, 8, 32, 3
-#: Pairs within RADIUS of all bits surely meet: one of the blocks then differs in BLOCK_RADIUS bits at most.
+#: Bits of a fingerprint; BLOCKS blocks of BLOCK_BITS bits, from the first bit on, are searched, each with masks for BLOCK_RADIUS.
+BITS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 256, 7, 36, 6
+#: Pairs within RADIUS of all bits surely meet: one of the blocks then differs in BLOCK_RADIUS bits at most. These are all near pairs.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Two documents are near copies if at most this share of their fingerprint bits differs (set cosine of about 0.83).
 MOST_DIFFERENT = 0.1875
-#: Up to so many fingerprints a row stands for two tables: a task then holds the rows that share 8 bits, at most about 1 in 256 of all, 16 MB.
-#: Beyond, one row for each table: more is shuffled and tasks hold less, the pairs are the same.
-TOGETHER = 1 << 27
+#: Up to so many fingerprints a row stands for 2^FEW_ROWS tables of a block, which share four bits at least: a task then holds the rows that
+#: agree in these, about 1 in 16 of all. Beyond, for two, which share seven at least: more is shuffled and tasks hold less, the pairs are the same.
+TOGETHER, FEW_ROWS = 1 << 26, 4
 #: Up to so many fingerprints of one key all pairs are compared, for all such keys at once; up to CROWDED key by key; more are
 #: searched around leaders, without a cap. All three ways connect the same rows.
 _AT_ONCE, CROWDED = 64, 1024
@@ -48,16 +48,25 @@ def fingerprint(words: set[str]) -> bytes | None:
     return np.packbits(2 * total > len(h)).tobytes()
 
 
+@functools.cache
 def covering_masks(bits: int = BLOCK_BITS, radius: int = BLOCK_RADIUS) -> list[int]:
     """2^(radius+1) - 1 masks over `bits` bits; any `radius` positions are all left out by at least one of them.
 
     Each position gets a vector of radius + 1 bits. The mask of a vector v holds the positions whose vectors have odd
-    parity with v. At most `radius` positions leave room for a v orthogonal to all of theirs.
+    parity with v. At most `radius` positions leave room for a v orthogonal to all of theirs. Vectors are chosen one by one
+    so that few random fingerprints agree in a mask. With larger radii the first seven are those of the three high bits: masks whose
+    vectors agree in these, not all 0, share four of the seven positions.
     """
-    n = (1 << (radius + 1)) - 1
-    order = sorted(range(1, n + 1), key=lambda v: (v * 0x9E3779B1) & 0xFFFFFFFF)
-    place = [order[i % n] for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (place[i] & v).bit_count() & 1) for v in range(1, n + 1)]
+    n = 1 << (radius + 1)
+    odd = np.array([[(p & v).bit_count() & 1 for v in range(n)] for p in range(n)])
+    place = [x << (radius - 2) for x in range(1, 8)][:bits] if radius > 3 else []
+    kept = odd[place].sum(axis=0)
+    while len(place) < bits:
+        crowd = (0.5 ** (kept + odd)[1:, 1:]).sum(axis=1)
+        best = 1 + min(range(n - 1), key=lambda p: (crowd[p], place.count(p + 1), ((p + 1) * 0x9E3779B1) & 0xFFFFFFFF))
+        place.append(best)
+        kept = kept + odd[best]
+    return [sum(1 << i for i in range(bits) if odd[place[i], v]) for v in range(1, n)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -76,12 +85,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32) <= most
+def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits rows differ; four counts of a byte are added at once."""
+    four = np.bitwise_count(x ^ y).view(np.uint32)[..., 0]
+    two = (four & np.uint32(0xFF00FF)) + (four >> np.uint32(8) & np.uint32(0xFF00FF))
+    return ((two & np.uint32(0xFFFF)) + (two >> np.uint32(16))).astype(np.int32)
 
 
-def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    return _bits(x, y) <= most
 
 
 def _near_of_all(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,26 +217,33 @@ def _edges_of(keys: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, n
     return _forest(len(keys), np.concatenate(left), np.concatenate(right))
 
 
-def tables_of_rows(together: bool) -> list[tuple[int, ...]]:
-    """The tables that each row of a fingerprint stands for: two of one block, where `together`, or one; every table is in one of them."""
-    n = len(covering_masks())
-    return [tuple(range(b * n + t, b * n + min(t + 1 + together, n))) for b in range(BLOCKS) for t in range(0, n, 1 + together)]
+def tables_of_rows(together: int) -> list[tuple[int, ...]]:
+    """The tables that each row of a fingerprint stands for: up to 2^together of one block; every table is in one of them.
+
+    These are the masks whose vectors agree in all but their `together` low bits. Those with nothing above the low bits, where
+    such masks share no position, are divided by half as many low bits, and so on.
+    """
+    n, high, low = len(covering_masks()), BLOCK_RADIUS + 1, int(together)
+    of_block: list[range] = []
+    while True:
+        of_block += [range((h << low) - 1, (h + 1 << low) - 1) for h in range(1, 1 << (high - low))]
+        if not low:
+            return [tuple(b * n + t for t in own) for b in range(BLOCKS) for own in of_block]
+        high, low = low, low // 2
 
 
-def shared_masks(together: bool) -> list[int]:
+def shared_masks(together: int) -> list[int]:
     """For each row of a fingerprint the bits of its block that all masks of its tables keep: rows that agree in the key of one of these
     tables agree in them."""
     masks = covering_masks()
     return [functools.reduce(int.__and__, (masks[t % len(masks)] for t in own)) for own in tables_of_rows(together)]
 
 
-def row_keys(t: np.ndarray, fp: np.ndarray, masks: list[int] | np.ndarray | None = None, per_block: int = 0) -> np.ndarray:
-    """The keys of rows of tables and fingerprints (as uint64 words): the table's number above the masked 32 bits of its block.
-
-    `masks` may be those of the tables of one block, `per_block` of them, or of all tables."""
-    own = np.array(covering_masks() if masks is None else masks, np.int64)
-    blocks = fp.view(np.uint8).reshape(len(fp), -1, BLOCK_BITS // 8).view(">u4")[:, :, 0].astype(np.int64)
-    return (blocks[np.arange(len(fp)), t // (per_block or len(own))] & own[t % len(own)]) + (t << BLOCK_BITS)
+def block_values(v: np.ndarray, b: int) -> np.ndarray:
+    """Block `b` of fingerprints (as uint64 words), as a number."""
+    at, odd = divmod(b * BLOCK_BITS, 8)
+    wide = v.view(np.uint8).reshape(len(v), -1)[:, at : at + 5].astype(np.int64) @ (1 << np.arange(32, -1, -8, dtype=np.int64))
+    return wide >> (40 - BLOCK_BITS - odd) & ((1 << BLOCK_BITS) - 1)
 
 
 def node(fp: str = "fp") -> F.Column:
@@ -237,51 +256,61 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _edges_of_rows(keys: np.ndarray, v: np.ndarray, most: int, together: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, as `_edges_of` gives them, of each of the tables that the rows stand for, together as one forest."""
-    rows, left, right = tables_of_rows(together), [], []
-    for k in range(1 + together):
-        table = np.array([own[k] if k < len(own) else -1 for own in rows])[keys >> BLOCK_BITS]
-        at = np.flatnonzero(table >= 0)
-        if len(at):
-            own = row_keys(table[at], v[at])
-            order = np.argsort(own, kind="stable")
-            i, j = _edges_of(own[order], v[at[order]], most)
-            left.append(at[order[i]])
-            right.append(at[order[j]])
-    return _forest(len(keys), np.concatenate(left), np.concatenate(right))
-
-
-def near_pairs(fps: DataFrame, most: float = MOST_DIFFERENT, together: bool = True) -> DataFrame:
-    """(a, b): the nodes of distinct fingerprints in pairs that connect every pair found near, some of them more than once. `fps` has
-    one row per fingerprint.
-
-    Fingerprints that differ in at most RADIUS of their bits meet in some table by construction; those
-    that differ more meet with a probability that falls slowly. All that meet are compared over all bits, however many share
-    a key. A key holds 17 bits of the fingerprint.
-    Tables are rows, not loops. Where `together` a row stands for two tables and is sent by the 8 bits or so that their keys share;
-    within these, rows are sorted by either key. That halves what is shuffled; the pairs are the same. Rows are made table by table:
+def _sent_words(column: pa.Array) -> np.ndarray:
+    """The same of a column without nulls, as its buffer holds it."""
+    return np.frombuffer(column.buffers()[2], np.uint64, len(column) * (BITS // 64), column.offset * BITS // 8).reshape(-1, BITS // 64)
+
+
+def _edges_of_row(own: tuple[int, ...], v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, as `_edges_of` gives them, of all tables that a row stands for, together as one forest."""
+    masks, left, right = covering_masks(), [], []
+    block = block_values(v, own[0] // len(masks))
+    for t in own:
+        # keys and rows sorted as one number; a column holds fewer than 2^27 fingerprints
+        both = np.sort((block & masks[t % len(masks)]) << 27 | np.arange(len(v)))
+        key, order = both >> 27, both & ((1 << 27) - 1)
+        same = key[1:] == key[:-1]
+        shared = np.r_[same, False] | np.r_[False, same]
+        order = order[shared]
+        i, j = _edges_of(key[shared], v[order], most)
+        left.append(order[i])
+        right.append(order[j])
+    return _forest(len(v), np.concatenate(left), np.concatenate(right))
+
+
+def near_pairs(fps: DataFrame, most: float = MOST_DIFFERENT, together: int = FEW_ROWS) -> DataFrame:
+    """(a, b): the nodes of distinct fingerprints in pairs that connect every near pair, some of them more than once. `fps` has
+    one row per fingerprint. Pairs that differ in more than RADIUS bits, where `most` allows for such, may be missing.
+
+    Fingerprints that differ in at most RADIUS of their bits meet in some table by construction. All that meet are compared over
+    all bits, however many share a key. A key holds 15 bits of the fingerprint or more.
+    Tables are rows, not loops. A row stands for up to 2^together tables and is sent by the bits that their keys share;
+    within these, rows are sorted by each key. That bounds what is shuffled; the pairs are the same. Rows are made table by table:
     what is shuffled doesn't depend on how many of a fingerprint's rows go to one task and compress each other.
     """
     limit = int(most * BITS)
-    masks = np.array(shared_masks(together), np.int64)
+    rows_of, masks = tables_of_rows(together), shared_masks(together)
+    per_block = len(rows_of) // BLOCKS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                v = _words(b.column(0))
-                for r in range(len(masks)):
-                    keys = row_keys(np.full(len(v), r), v, masks, len(masks) // BLOCKS)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0)], names=["key", "fp"])
+        for batch in batches:
+            if batch.num_rows:
+                v = _words(batch.column(0))
+                for r, mask in enumerate(masks):
+                    if r % per_block == 0:
+                        block = block_values(v, r // per_block)
+                    yield pa.RecordBatch.from_arrays([pa.array((block & mask) + (r << BLOCK_BITS)), batch.column(0)], names=["key", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_keys(batches):
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            raw = b.column(1).to_pylist()
-            i, j = _edges_of_rows(keys, _words(b.column(1)), limit, together)
-            if len(i):
-                ends = [pa.array([hashlib.md5(raw[x]).digest() for x in side.tolist()], pa.binary()) for side in (i, j)]
-                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+            row = b.column(0).to_numpy(zero_copy_only=False) >> BLOCK_BITS
+            cuts = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)]
+            v, raw = _sent_words(b.column(1)), b.column(1)
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                i, j = _edges_of_row(rows_of[row[at]], v[at:to], limit)
+                if len(i):
+                    ends = [pa.array([hashlib.md5(x).digest() for x in raw.take(pa.array(side + at)).to_pylist()], pa.binary()) for side in (i, j)]
+                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     rows = fps.select("fp").mapInArrow(spread, "key long, fp binary").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -295,7 +324,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     Whole texts of any length count. Other columns are ignored. Empty input: no rows.
     """
     fp = written(fingerprints(docs), "simhash").where("fp is not null")
-    together = fp.count() <= TOGETHER
+    together = FEW_ROWS if fp.count() <= TOGETHER else 1
     with consumed(docs.sparkSession) as keep:
         groups = keep(connected_components(near_pairs(fp.select("fp").distinct(), together=together)), "groups")
     own = fp.withColumn("node", node()).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))

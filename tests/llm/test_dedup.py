@@ -59,6 +59,30 @@ def test_all_bits_are_searched(spark):
     assert all(n == hashlib.md5(f).digest() for f, n in of.items())
 
 
+def test_all_pairs_at_the_threshold_meet(spark):
+    # as many bits differ as the threshold allows, about as many in each part of the fingerprint, or in any
+    rnd = random.Random(52)
+    limit = int(simhash.MOST_DIFFERENT * simhash.BITS)
+    assert limit <= simhash.RADIUS
+    pairs = []
+    for k in range(200):
+        a = rnd.getrandbits(simhash.BITS)
+        flip = rnd.sample(range(simhash.BITS), limit) if k % 2 else [b for at in range(0, simhash.BITS, 16) for b in rnd.sample(range(at, at + 16), limit // 16)]
+        pairs.append(tuple(sorted(hashlib.md5(x.to_bytes(32, "big")).digest() for x in (a, a ^ sum(1 << b for b in flip)))))
+        pairs[-1] += (a, a ^ sum(1 << b for b in flip))
+    fps = spark.createDataFrame([(bytearray(f.to_bytes(32, "big")),) for p in pairs for f in p[2:]], "fp binary")
+    for together in (simhash.FEW_ROWS, 1):
+        assert {(bytes(r.a), bytes(r.b)) for r in simhash.near_pairs(fps, together=together).collect()} == {p[:2] for p in pairs}
+
+
+def test_rows_of_many_tables_are_sent_by_four_bits():
+    n = len(simhash.covering_masks())
+    of = simhash.tables_of_rows(simhash.FEW_ROWS)
+    assert sorted(t for own in of for t in own) == list(range(simhash.BLOCKS * n)) and len(of) == 12 * simhash.BLOCKS
+    assert min(m.bit_count() for m in simhash.shared_masks(simhash.FEW_ROWS)) >= 4
+    assert min(m.bit_count() for m in simhash.covering_masks()) >= 15
+
+
 def test_rows_share_what_their_tables_keep():
     masks = simhash.covering_masks()
     for together in (False, True):
