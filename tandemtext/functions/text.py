@@ -5,6 +5,8 @@ Regular expressions run in Java; (?U) gives \\s, \\d and \\w their Unicode meani
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ META_END = "%%%%%(" + "|".join(MARKS) + r")\.$"
 #: Signs that carry no words, by ranges of code points: ASCII brackets, quotes and list signs, circled and bracketed numbers, dashes
 #: and quotes, CJK brackets and waves, full-width signs. Apostrophes and signs of code stay.
 SYMBOLS = r"[\n\x1A\x22-\x26\x28-\x2A\x2D\x2F\x3A\x40\x5B\x5D\x5E\u00AB\u00BB\u2013\u2014\u2018\u2019\u201B-\u201F\u2022\u2027\u2460-\u2469\u2474-\u247D\u24EA\u3001\u3003\u3009\u300B-\u300D\u3010\u3011\u3014-\u3019\u301C\u301F\u3030\u303E\u303F\uFE4F\uFF02-\uFF0B\uFF0D\uFF0F\uFF1A-\uFF1E\uFF20\uFF3B-\uFF40\uFF5B-\uFF60\uFF62-\uFF64]+"
-SENTENCE_MARKS = "[^!?。！？.]+[!?。！？.]?"
+SENTENCE_MARKS = "!?。！？."
 GERMAN_MONTHS = "April|August|Dezember|Februar|J[aä]nner|Januar|Ju[ln]i|M[aä]rz|Mai|November|O[ck]tober|September"
 _HIDDEN = "%@%"
 _SPACES, _COMMAS, _DASHES = (r"(?U)\s{2,}", " "), (r",{2,}", ","), (r"[-—]{2,}", "—")
@@ -91,15 +93,37 @@ def clean_line(c: Column, lang: str, clean: bool = True) -> Column:
     return apply_rules(c, RULES.get(lang, DEFAULT_RULES) if clean else DEFAULT_RULES)
 
 
+def _through(c: Column, marks: str) -> Column:
+    """The runs of other signs, each with the one of `marks` that follows it; marks that follow none are left out.
+
+    Every mark gets a cut after it by a search for its bytes. A class of signs beyond Latin-1 is a chain of predicates in Java, which threads
+    of one executor slow down for each other; so a pattern is used only for texts that hold the sign of the cut.
+    """
+    cut = c
+    for m in marks:
+        cut = F.replace(cut, F.lit(m), F.lit(m + "\u0001"))
+    parts = F.filter(F.split(cut, "\u0001"), lambda x: ~x.isin("", *marks))
+    return F.when(c.contains("\u0001"), F.regexp_extract_all(c, F.lit(f"[^{marks}]+[{marks}]?"), F.lit(0))).otherwise(parts)
+
+
 def split_marks(c: Column) -> Column:
     """Sentences up to and with a full stop, exclamation or question mark, as Chinese text is split."""
-    return F.regexp_extract_all(c, F.lit(SENTENCE_MARKS), F.lit(0))
+    return _through(c, SENTENCE_MARKS)
+
+
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of `c`, which is computed once: an expression that stands in several places, or in a function of elements, is else computed at each."""
+    return F.transform(F.array(c), f)[0]
 
 
 def _pull_back(parts: Column, sign: str, added: str) -> Column:
     """A `sign` that opens a part closes the one before it; the first part keeps its own."""
-    nxt = lambda i: F.try_element_at(parts, i + 2)
-    return F.transform(parts, lambda x, i: F.concat(F.when((i > 0) & x.startswith(sign), F.substr(x, F.lit(2))).otherwise(x), F.when(F.coalesce(nxt(i).startswith(sign), F.lit(False)), F.lit(added)).otherwise("")))
+
+    def pulled(own: Column) -> Column:
+        nxt = lambda i: F.try_element_at(own, i + 2)
+        return F.transform(own, lambda x, i: F.concat(F.when((i > 0) & x.startswith(sign), F.substr(x, F.lit(2))).otherwise(x), F.when(F.coalesce(nxt(i).startswith(sign), F.lit(False)), F.lit(added)).otherwise("")))
+
+    return _bound(parts, pulled)
 
 
 def split_jp(c: Column) -> Column:
@@ -112,7 +136,7 @@ def after_fr(parts: Column) -> Column:
 
 def split_hy(c: Column) -> Column:
     """Armenian sentences; three or more full stops are one sign."""
-    found = F.regexp_extract_all(F.regexp_replace(c, r"\.{3,}", "…"), F.lit("[^:։…]+[:։…]?"), F.lit(0))
+    found = _through(F.regexp_replace(c, r"\.{3,}", "…"), ":։…")
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 

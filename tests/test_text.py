@@ -22,6 +22,24 @@ def test_splitters(spark):
     assert one(spark, lambda c: X.clean_line(c, "jp"), "a. 日本（ご）。。") == ["。日本ご。。"]
 
 
+def test_parts_are_made_once(spark):
+    # an expression inside a function of elements is computed for each of them: a line of n sentences was split n times
+    df = spark.createDataFrame([("a",)], "t string")
+    for column in (X.split_jp,):
+        plan = df.select(column(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("split(t") + plan.count("split(regexp_replace") + plan.count("split(replace") == 1
+    long = "「はい。" * 20_000
+    assert one(spark, lambda c: F.size(X.split_jp(c)), long) == [20_000]
+
+
+def test_cuts_after_marks(spark):
+    texts = ["!!a..b", "。", "", "a\u0001b.c", "\u0001", "x…y։.z"]
+    assert one(spark, X.split_marks, *texts) == [["a.", "b"], [], [], ["a\u0001b.", "c"], ["\u0001"], ["x…y։.", "z"]]
+    assert one(spark, X.split_hy, *texts) == [["!!a..b"], ["。"], [], ["a\u0001b.c"], ["\u0001"], ["x…", "y։", ".z"]]
+    plan = spark.range(1).select(X.split_marks(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("CASE WHEN") < plan.index("regexp_extract_all")  # only for texts with the sign of the cut
+
+
 def test_signs_and_names(spark):
     kept = "it's `a` {b} <c> |d| e_f g=h+i~j \\k"
     assert one(spark, X.clean_symbols, kept, "a-b:c/d[e](f)「g」①⑴＂＋〃》【】“q” «r» #@$%^&*•–—'s", "x\ny\x1a") == [kept, "abcdefgq r 's", "xy"]
