@@ -151,9 +151,10 @@ def split_default(c: Column, before: str = "") -> Column:
 
     Full stops of ABBREVIATIONS cut nothing. This is a rule set of its own, not that of any external segmenter.
     """
-    kept = F.regexp_replace(c, rf"\b({ABBREVIATIONS})\.\s+", "$1.\u0002")
+    # the full stop is looked for first: at each letter a pattern would else go through all abbreviations
+    kept = F.regexp_replace(c, rf"\.(?<=\b(?:{ABBREVIATIONS})\.)\s+", ".\u0002")
     cut = F.regexp_replace(kept, rf"""([.!?…]["»”')]*)\s+({before}["«“(—-]*(?:\p{{Lu}}|[0-9]))""", "$1\u0001$2")
-    return F.transform(F.split(cut, "\u0001"), lambda x: F.regexp_replace(x, "\u0002", " "))
+    return F.transform(F.split(cut, "\u0001"), lambda x: F.replace(x, F.lit("\u0002"), F.lit(" ")))
 
 
 def split_french(c: Column) -> Column:
@@ -166,8 +167,12 @@ def split_sentences(c: Column, lang: str, clean: bool = True) -> Column:
     line = clean_line(c, lang, clean)
     parts = {"zh": split_marks, "jp": split_jp, "hy": split_hy, "fr": split_french}.get(lang, split_default)(line)
     parts = {"fr": after_fr, "de": after_de}.get(lang, lambda p: p)(parts)
-    last = F.try_element_at(parts, F.lit(-1))
-    return F.when((F.size(parts) > 0) & (strip(last) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    def ended(own: Column) -> Column:
+        last = F.try_element_at(own, F.lit(-1))
+        return F.when((F.size(own) > 0) & (strip(last) == ""), F.slice(own, F.lit(1), F.size(own) - 1)).otherwise(own)
+
+    return _bound(parts, ended)
 
 
 def split_paragraph_marks(c: Column) -> Column:
