@@ -142,7 +142,7 @@ def split_hy(c: Column) -> Column:
 
 def after_de(parts: Column) -> Column:
     """The full stops of dates, hidden while splitting, are put back."""
-    return F.transform(parts, lambda x: F.regexp_replace(x, rf"(?U)(?<=\s)(\d\d?){_HIDDEN}(?=\s+(?:{GERMAN_MONTHS}))", "$1."))
+    return F.transform(parts, lambda x: F.when(x.contains(_HIDDEN), F.regexp_replace(x, rf"(?U)(?<=\s)(\d\d?){_HIDDEN}(?=\s+(?:{GERMAN_MONTHS}))", "$1.")).otherwise(x))
 
 
 def split_default(c: Column, before: str = "") -> Column:

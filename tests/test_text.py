@@ -25,7 +25,7 @@ def test_splitters(spark):
 def test_parts_are_made_once(spark):
     # an expression inside a function of elements is computed for each of them: a line of n sentences was split n times
     df = spark.createDataFrame([("a",)], "t string")
-    for column in (X.split_jp, lambda c: X.split_sentences(c, "fr")):
+    for column in (X.split_jp, *[lambda c, k=k: X.split_sentences(c, k) for k in ("fr", "de", "en", "jp", "hy")]):
         plan = df.select(column(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("split(t") + plan.count("split(regexp_replace") + plan.count("split(replace") == 1
     long = "「はい。" * 20_000
