@@ -177,13 +177,15 @@ def split_sentences(c: Column, lang: str, clean: bool = True) -> Column:
 
 def split_paragraph_marks(c: Column) -> Column:
     """Cut after every paragraph mark and its ending sign."""
-    return F.regexp_extract_all(c, F.lit(rf"(?s).*?%%%%%{ENDING_CLASS}|.+$"), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(rf"(?s).*?%%%%%{ENDING_CLASS}|.+$"), F.lit(0))
+    return F.when(~c.contains(PARAGRAPH_MARK), F.filter(F.array(c), lambda x: x != "")).otherwise(found)
 
 
 def mark_paragraph(c: Column) -> Column:
     """The paragraph mark before the last sign of a line that ends in one; other lines as they are."""
     s = strip(c)
-    return F.when(s.rlike(ENDING_CLASS + "$"), F.regexp_replace(s, f"({ENDING_CLASS})$", r"%%%%%$1")).otherwise(c)
+    last = F.substr(s, F.lit(-1), F.lit(1))
+    return F.when(last.isin(*LINE_ENDINGS), F.concat(F.substr(s, F.lit(1), F.length(s) - 1), F.lit(PARAGRAPH_MARK), last)).otherwise(c)
 
 
 def ends_paragraph(c: Column) -> Column:

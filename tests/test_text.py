@@ -40,6 +40,13 @@ def test_cuts_after_marks(spark):
     assert plan.index("CASE WHEN") < plan.index("regexp_extract_all")  # only for texts with the sign of the cut
 
 
+def test_lines_without_mark_are_not_searched(spark):
+    plan = spark.range(1).select(X.split_paragraph_marks(F.col("id").cast("string")), X.mark_paragraph(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Contains") < plan.index("regexp_extract_all") and "RLIKE" not in plan
+    assert one(spark, X.split_paragraph_marks, "a b", "", None, "%%%%%", "a%%%%%.b") == [["a b"], [], None, ["%%%%%"], ["a%%%%%.", "b"]]
+    assert one(spark, X.mark_paragraph, "", None, ".", " x? ", "x\u3000") == ["", None, "%%%%%.", "x%%%%%?", "x\u3000"]
+
+
 def test_signs_and_names(spark):
     kept = "it's `a` {b} <c> |d| e_f g=h+i~j \\k"
     assert one(spark, X.clean_symbols, kept, "a-b:c/d[e](f)「g」①⑴＂＋〃》【】“q” «r» #@$%^&*•–—'s", "x\ny\x1a") == [kept, "abcdefgq r 's", "xy"]
