@@ -50,6 +50,8 @@ def test_lines_without_mark_are_not_searched(spark):
 def test_signs_and_names(spark):
     kept = "it's `a` {b} <c> |d| e_f g=h+i~j \\k"
     assert one(spark, X.clean_symbols, kept, "a-b:c/d[e](f)「g」①⑴＂＋〃》【】“q” «r» #@$%^&*•–—'s", "x\ny\x1a") == [kept, "abcdefgq r 's", "xy"]
+    assert "regexp" not in spark.range(1).select(X.clean_symbols(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert one(spark, X.clean_symbols, "", None, "".join(map(chr, range(9, 128)))) == ["", None, "\t\x0b\x0c\r" + "".join(map(chr, (*range(14, 26), *range(27, 34), 39, 43, 44, 46, *range(48, 58), *range(59, 64), *range(65, 91), 92, *range(95, 128))))]
     assert one(spark, X.contents_name, "fr", "it", "hu", "cv", "hy", "??", None) == ["Table des matières", "Sommario", "Tartalom", "Содержани", "Table of contents", "Table of contents", "Table of contents"]
     assert one(spark, X.culture, "de", "ru", "zh", "fr", None) == ["de-DE", "ru-RU", "zh-CN", "en-US", "en-US"]
 
