@@ -39,6 +39,8 @@ _SYMBOLS = [chr(i) for span in SYMBOLS.split() for i in range(int(span[:4], 16),
 SENTENCE_MARKS = "!?。！？."
 GERMAN_MONTHS = "April|August|Dezember|Februar|J[aä]nner|Januar|Ju[ln]i|M[aä]rz|Mai|November|O[ck]tober|September"
 _HIDDEN = "%@%"
+#: What Unicode counts as white space, (?U)\s in a pattern.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACES, _COMMAS, _DASHES = (r"(?U)\s{2,}", " "), (r",{2,}", ","), (r"[-—]{2,}", "—")
 DEFAULT_RULES = (_SPACES, _COMMAS, _DASHES)
 #: Signs and letters foreign to Chinese and Japanese prose, by ranges of code points: ASCII and list signs, Cyrillic, dashes and
@@ -58,7 +60,7 @@ ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Sra|Mme|Nr|No|vs|etc|ca|bzw|usw"
 
 def strip(c: Column) -> Column:
     """Without white space at either end, non-breaking spaces included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_lang_code_valid(c: Column) -> Column:
@@ -190,7 +192,7 @@ def mark_paragraph(c: Column) -> Column:
 
 
 def ends_paragraph(c: Column) -> Column:
-    return c.rlike(_PAR_END)
+    return c.contains(PARAGRAPH_MARK) & c.rlike(_PAR_END)  # most lines have no mark; a search for bytes tells it
 
 
 def without_paragraph_mark(c: Column) -> Column:
@@ -200,8 +202,7 @@ def without_paragraph_mark(c: Column) -> Column:
 
 def meta_mark(c: Column) -> Column:
     """The mark of a meta line, or null."""
-    m = F.regexp_extract(c, META_END, 1)
-    return F.when(m != "", m)
+    return F.when(c.contains(PARAGRAPH_MARK) & c.rlike(META_END), F.regexp_extract(c, META_END, 1))
 
 
 def meta_value(c: Column) -> Column:
@@ -210,6 +211,16 @@ def meta_value(c: Column) -> Column:
     return F.when(mark == "divider", F.lit("* * *")).when(mark.isNotNull(), F.regexp_replace(c, META_END, ""))
 
 
+def line_marks(c: Column) -> Column:
+    """Struct of a stripped marked line: the line without its paragraph mark, whether it ends a paragraph (`next`), its mark, and the value of a meta line."""
+
+    def marked(line: Column, mark: Column, c: Column) -> Column:
+        val = F.when(mark == "divider", F.lit("* * *")).when(mark.isNotNull(), F.regexp_replace(line, META_END, ""))
+        return F.struct(line.alias("line"), ends_paragraph(c).alias("next"), mark.alias("mark"), val.alias("val"))
+
+    return _bound(c, lambda s: _bound(without_paragraph_mark(s), lambda line: _bound(meta_mark(line), lambda mark: marked(line, mark, s))))
+
+
 def parsed_line(c: Column) -> Column:
     """Struct of a marked line: text, whether it ends a paragraph, its mark and the mark's first two letters."""
     line = without_paragraph_mark(c)

@@ -71,9 +71,8 @@ def mark_headings(lines: DataFrame, config: dict[str, str] | None = None) -> Dat
 
 
 def _flagged(lines: DataFrame) -> DataFrame:
-    s = X.strip(F.col("text"))
-    line = X.without_paragraph_mark(s)
-    own = lines.select(*KEY, "line_id", line.alias("line"), X.ends_paragraph(s).alias("next"), X.meta_mark(line).alias("mark"))
+    # one expression, computed once a line; the values are made here, so that meta lines need not carry the texts of all others
+    own = lines.select(*KEY, "line_id", X.line_marks(X.strip(F.col("text"))).alias("m")).select(*KEY, "line_id", "m.line", "m.next", "m.mark", "m.val")
     ends = (F.col("mark").isNotNull() | F.col("next")).cast("int")
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
     here = _order().rowsBetween(Window.unboundedPreceding, 0)
@@ -93,7 +92,7 @@ def handle_marks(lines: DataFrame) -> DataFrame:
 
 def meta_lines(lines: DataFrame) -> DataFrame:
     """Meta values with their mark, occurrence (from 0 within a mark) and the paragraph counter they were met at. Empty values go."""
-    own = _flagged(lines).where("mark is not null").withColumn("val", X.meta_value(F.col("line"))).where("val != ''")
+    own = _flagged(lines).where("mark is not null and val != ''")
     w = Window.partitionBy(*KEY, "mark").orderBy("line_id")
     return own.select(*KEY, "mark", "val", (F.row_number().over(w) - 1).cast("long").alias("occurrence"), F.col("paragraph").alias("par_id"))
 

@@ -91,6 +91,17 @@ def test_handle_marks(spark):
     assert meta == {("title", "Title", 0, 0), ("h1", "One", 0, 1), ("h1", "Two", 1, 3), ("divider", "* * *", 0, 4)}
 
 
+def test_marks_are_computed_once(spark):
+    for made in (L.handle_marks, L.meta_lines):
+        plan = made(table(spark))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("trim(") == 1 and "(?U)" not in plan
+    # meta lines carry their values, not the texts of all lines, through the windows
+    plan = L.meta_lines(table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "m#" in plan and ".line" not in plan
+    spaces = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    assert one(spark, X.strip, spaces + "\u200ba\x1c" + spaces, spaces, None) == ["\u200ba\x1c", "", None]
+
+
 def test_split_lines(spark):
     got = [r.text for r in L.split_lines(table(spark, ["One%%%%%h1.", "He came. She", "left%%%%%. Then", "", "End."]), "en").orderBy("line_id").collect()]
     assert got[0] == "One%%%%%h1." and "".join(got[1:]).replace(" ", "") == "Hecame.Sheleft%%%%%.ThenEnd."
