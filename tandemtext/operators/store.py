@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+from typing import TYPE_CHECKING
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandemtext.functions.durable import consumed, exists, written
+from tandemtext.functions.runs import whole_keys
 from tandemtext.functions.text import LEVELS
 
+if TYPE_CHECKING:
+    import numpy as np
+
 VERSION = "7.0"
 _ID, _IDS = T.LongType(), T.ArrayType(T.LongType())
 _counters = [T.StructField(c, _ID) for c in ("paragraph", *LEVELS, "divider")]
@@ -187,46 +196,105 @@ def robust_regression(points: DataFrame, epsilon: float = 1.0, rounds: int = 500
     Both axes are standardised. The line and the scale s minimise n s + s * sum h(error / s), h being the square up to `epsilon`
     and linear beyond; points off by more than `epsilon` s count less. Line and scale are improved in turns, by weighted
     least squares and by the root of the scale's equation, until they settle. Points of a bucket are in one group, buckets
-    are independent. Null without two different x; where all y are equal the line is flat.
+    are independent, and many are fitted at once. Null without two different x; where all y are equal the line is flat.
     """
-    import numpy as np
-    import pandas as pd
-
-    def scale_of(r: np.ndarray) -> float:
-        # the root of n = sum of (r / s)^2 over the small errors, less epsilon^2 for each large one
-        large = np.sort(r)[::-1]
-        squares = np.r_[np.cumsum((large**2)[::-1])[::-1], 0.0]
-        for k in range(len(r) + 1):
-            below = len(r) - k * epsilon**2
-            if below <= 0:
-                break
-            s = np.sqrt(squares[k] / below)
-            if (k == 0 or large[k - 1] > epsilon * s) and (k == len(r) or large[k] <= epsilon * s + 1e-15):
-                return max(float(s), 1e-10)
-        return 1e-10
-
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
-        x, y = df["x"].to_numpy(float), df["y"].to_numpy(float)
-        a = b = np.nan
-        if x.std() > 0:
-            sx, sy = x.std(), y.std() or 1.0
-            u, v = (x - x.mean()) / sx, (y - y.mean()) / sy
-            w, last = np.ones(len(u)), None
-            for _ in range(rounds):
-                mu, mv = np.average(u, weights=w), np.average(v, weights=w)
-                var = np.average((u - mu) ** 2, weights=w)
-                if var <= 1e-12:
-                    break
-                p = np.average((u - mu) * (v - mv), weights=w) / var
-                q = mv - p * mu
-                r = np.abs(v - p * u - q)
-                w = np.minimum(1.0, epsilon * scale_of(r) / np.maximum(r, 1e-12))
-                if last is not None and abs(p - last[0]) + abs(q - last[1]) < 1e-10:
-                    break
-                last = p, q
-            a = p * sy / sx
-            b = y.mean() + q * sy - a * x.mean()
-        return pd.DataFrame({"doc_id": [df["doc_id"].iloc[0]], "bucket": [df["bucket"].iloc[0]], "slope": [a], "intercept": [b]})
+    names = ["doc_id", "bucket", "x", "y"]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        kept: list[pa.RecordBatch] = []
+        for b in chain(whole_keys(batches), [None]):
+            if b is not None:
+                kept.append(b)
+            if not kept or b is not None and sum(k.num_rows for k in kept) < 200_000:
+                continue
+            t = pa.Table.from_batches(kept).combine_chunks()
+            kept = []
+            new = np.zeros(t.num_rows, bool)
+            new[0] = True
+            for c in names[:2]:
+                code = t[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            starts = np.flatnonzero(new)
+            slope, intercept = huber_lines(*[t[c].to_numpy().astype(float) for c in names[2:]], starts, epsilon, rounds)
+            heads = t.select(names[:2]).take(pa.array(starts)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[c.chunk(0) for c in heads.columns], *[pa.array(v, mask=np.isnan(v)) for v in (slope, intercept)]], names=["doc_id", "bucket", "slope", "intercept"])
 
     kind = points.schema["doc_id"].dataType.simpleString()
-    return points.groupBy("doc_id", "bucket").applyInPandas(fit, f"doc_id {kind}, bucket long, slope double, intercept double")
+    hashed = points.select(*[F.col(c).cast("long") if c != "doc_id" else F.col(c) for c in names]).repartition("doc_id", "bucket").select(F.xxhash64("doc_id", "bucket").alias("__key"), *names)
+    return hashed.sortWithinPartitions("__key", *names).mapInArrow(fit, f"doc_id {kind}, bucket long, slope double, intercept double")
+
+
+def huber_lines(x: np.ndarray, y: np.ndarray, starts: np.ndarray, epsilon: float = 1.0, rounds: int = 500, cells: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """The slope and intercept of each group of points, groups beginning at `starts`. Groups of about one length are fitted side by side, at most `cells` points with padding."""
+    import numpy as np
+
+    n = np.diff(np.r_[starts, len(x)])
+    slope, intercept = np.full(len(n), np.nan), np.full(len(n), np.nan)
+    order = np.argsort(n, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * n[order[end]] <= cells:
+            end += 1
+        own = order[at:end]
+        place = np.arange(n[own[-1]])
+        valid = place < n[own, None]
+        cell = np.where(valid, starts[own, None] + place, starts[own, None])
+        slope[own], intercept[own] = _side_by_side(x[cell], y[cell], valid, epsilon, rounds)
+        at = end
+    return slope, intercept
+
+
+def _side_by_side(x: np.ndarray, y: np.ndarray, valid: np.ndarray, epsilon: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Huber lines of the rows of two matrices, of which the `valid` cells count."""
+    import numpy as np
+
+    m = valid.sum(1)
+    mean = lambda v: np.where(valid, v, 0.0).sum(1) / m
+    mx, my = mean(x), mean(y)
+    sx, sy = np.sqrt(mean((x - mx[:, None]) ** 2)), np.sqrt(mean((y - my[:, None]) ** 2))
+    sy = np.where(sy == 0, 1.0, sy)
+    p_all, q_all = np.full(len(m), np.nan), np.full(len(m), np.nan)
+    at = np.flatnonzero(sx > 0)
+    u, v = ((z[at] - mz[at, None]) / sz[at, None] for z, mz, sz in ((x, mx, sx), (y, my, sy)))
+    valid, m = valid[at], m[at]
+    w, p0, q0 = valid.astype(float), np.full(len(at), np.nan), np.full(len(at), np.nan)
+    for _ in range(rounds):
+        if not len(at):
+            break
+        total = w.sum(1)
+        mu, mv = (u * w).sum(1) / total, (v * w).sum(1) / total
+        du = (u - mu[:, None]) * w
+        var = (du * (u - mu[:, None])).sum(1) / total
+        flat = ~(var > 1e-12)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(flat, p0, (du * (v - mv[:, None])).sum(1) / total / var)
+        q = np.where(flat, q0, mv - p * mu)
+        r = np.abs(v - p[:, None] * u - q[:, None])
+        w = np.where(valid, np.minimum(1.0, epsilon * _scales(r, valid, m, epsilon)[:, None] / np.maximum(r, 1e-12)), 0.0)
+        p_all[at], q_all[at] = p, q
+        go = ~flat & ~(np.abs(p - p0) + np.abs(q - q0) < 1e-10)
+        p0, q0 = p, q
+        if not go.all():
+            at, u, v, w, valid, m, p0, q0 = (z[go] for z in (at, u, v, w, valid, m, p0, q0))
+    slope = p_all * sy / sx if (sx > 0).all() else p_all * sy / np.where(sx > 0, sx, 1.0)
+    return slope, my + q_all * sy - slope * mx
+
+
+def _scales(r: np.ndarray, valid: np.ndarray, m: np.ndarray, epsilon: float) -> np.ndarray:
+    """For each row the root s of m = sum of (r / s)^2 over the small errors, less epsilon^2 for each large one."""
+    import numpy as np
+
+    large = -np.sort(np.where(valid, -r, 1.0), axis=1)  # the largest first; cells that don't count are -1, below all
+    squares = np.zeros((len(r), r.shape[1] + 1))
+    squares[:, :-1] = np.cumsum(np.where(large < 0, 0.0, large**2)[:, ::-1], axis=1)[:, ::-1]
+    k = np.arange(r.shape[1] + 1)
+    below = m[:, None] - k * epsilon**2
+    s = np.sqrt(squares / np.where(below > 0, below, 1.0))
+    fits = (below > 0) & (k <= m[:, None])
+    fits[:, 1:] &= large > epsilon * s[:, 1:]
+    fits[:, :-1] &= large <= epsilon * s[:, :-1] + 1e-15
+    first = fits.argmax(1)
+    return np.where(fits.any(1), np.maximum(s[np.arange(len(r)), first], 1e-10), 1e-10)

@@ -117,6 +117,21 @@ def test_robust_line_is_the_least(spark):
         assert huber_objective(x, y, a + da, b + db) >= least - 1e-6
 
 
+def test_many_robust_lines_at_once(spark):
+    rng = np.random.default_rng(5)
+    groups = [(d, b, rng.integers(0, 30, n), rng.integers(0, 90, n)) for d in ("a", "b", None) for b, n in enumerate((1, 2, 3, 9, 25, 25, 40))]
+    points = spark.createDataFrame([(d, b, int(x), int(y)) for d, b, xs, ys in groups for x, y in zip(xs, ys, strict=True)], "doc_id string, bucket long, x long, y long")
+    fitted = store.robust_regression(points)
+    assert "Pandas" not in fitted._jdf.queryExecution().analyzed().toString()  # no call of Python for each bucket
+    got = {(r.doc_id, r.bucket): (r.slope, r.intercept) for r in fitted.collect()}
+    assert len(got) == len(groups)
+    for d, b, xs, ys in groups:
+        order = np.lexsort((ys, xs))
+        alone = store.huber_lines(xs[order].astype(float), ys[order].astype(float), np.array([0]))
+        a, q = got[d, b]
+        assert (a is None) == (len(set(xs)) == 1) and (a is None or np.allclose((a, q), np.concatenate(alone), rtol=1e-9, atol=1e-9))
+
+
 def test_rows_within_intervals(spark):
     rnd = random.Random(3)
     rows = [(d, i, f"t{i}") for d in "ab" for i in range(30)] + [("c", 1, "x"), ("a", None, "n")]
