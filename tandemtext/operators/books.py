@@ -70,8 +70,9 @@ def next_boundary(rows: DataFrame, bounds: DataFrame, keys: list[str], value: st
     next bound is looked up in a window: no pair of row and bound is ever formed."""
     both = rows.withColumns({"__v": F.col(value), "__b": F.lit(None).cast(bounds.schema[bound].dataType), "__k": F.lit(0)})
     marks = bounds.select(*keys, F.col(bound).alias("__b")).distinct().withColumns({"__v": F.col("__b"), "__k": F.lit(1)})
-    w = Window.partitionBy(*keys).orderBy("__v", "__k").rowsBetween(0, Window.unboundedFollowing)
-    found = both.unionByName(marks, allowMissingColumns=True).withColumn(out, F.first("__b", ignorenulls=True).over(w))
+    # from the end: Spark makes a frame that grows with each row in one pass, but one of all rows that follow anew for each row
+    w = Window.partitionBy(*keys).orderBy(F.desc("__v"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.unionByName(marks, allowMissingColumns=True).withColumn(out, F.last("__b", ignorenulls=True).over(w))
     return found.where(F.col("__k") == 0).where(F.col(out).isNotNull()).select(*rows.columns, out)
 
 

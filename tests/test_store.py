@@ -132,6 +132,15 @@ def test_many_robust_lines_at_once(spark):
         assert (a is None) == (len(set(xs)) == 1) and (a is None or np.allclose((a, q), np.concatenate(alone), rtol=1e-9, atol=1e-9))
 
 
+def test_next_boundary_is_found_from_the_end(spark):
+    rows = spark.createDataFrame([("d", v) for v in (1, 3, 3, 4, 9, None)] + [("e", 2)], "d string, v long")
+    bounds = spark.createDataFrame([("d", 3), ("d", 3), ("d", 7), ("d", None), ("f", 5)], "d string, b long")
+    got = books.next_boundary(rows, bounds, ["d"], "v", "b")
+    assert sorted((r.v is not None, r.v or 0, r.bucket) for r in got.collect()) == [(False, 0, 3), (True, 1, 3), (True, 3, 3), (True, 3, 3), (True, 4, 7)]
+    # a frame up to the last row is made anew for each row
+    assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_rows_within_intervals(spark):
     rnd = random.Random(3)
     rows = [(d, i, f"t{i}") for d in "ab" for i in range(30)] + [("c", 1, "x"), ("a", None, "n")]
