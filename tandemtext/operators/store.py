@@ -127,16 +127,16 @@ def insert_lines(lines: DataFrame, side: str, after: DataFrame) -> DataFrame:
     A document may have any number of inserts; a line named twice gets two. Places that name no line add nothing but move
     what is above them.
     """
-    points = _points(after, ["doc_id"]).withColumn("side", F.lit(side))
+    # the places are hashed, so that lines need not be sorted; a line becomes itself and its new ones in one pass
+    points = _points(after, ["doc_id"]).withColumn("side", F.lit(side)).hint("shuffle_hash")
     own = lines.join(points, ["doc_id", "side"], "left").withColumn("__at", F.coalesce("__at", F.array().cast("array<long>")))
     here = F.size(F.filter("__at", lambda a: a == F.col("line_id")))
-    own = own.withColumn("__new", here).withColumn("line_id", _moved(F.col("line_id")))
-    new = own.where("__new > 0").withColumn("line_id", F.explode(F.sequence(F.col("line_id") + 1, F.col("line_id") + F.col("__new")))).withColumn("text", F.lit(""))
-    if "proxy_text" in lines.columns:
-        new = new.withColumn("proxy_text", F.lit(""))
-    if "embedding" in lines.columns:
-        new = new.withColumn("embedding", F.lit(None).cast(lines.schema["embedding"].dataType))
-    return own.unionByName(new).select(*lines.columns)
+    own = own.withColumn("__k", F.explode(F.sequence(F.lit(0), here)))
+    new = {"line_id": _moved(F.col("line_id")) + F.col("__k")}
+    for c, empty in (("text", F.lit("")), ("proxy_text", F.lit("")), ("embedding", F.lit(None))):
+        if c in lines.columns:
+            new[c] = F.when(F.col("__k") == 0, F.col(c)).otherwise(empty)
+    return own.withColumns(new).select(*lines.columns)
 
 
 def _renumbered(meta: DataFrame) -> DataFrame:

@@ -141,6 +141,13 @@ def test_next_boundary_is_found_from_the_end(spark):
     assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
 
 
+def test_inserts_sort_no_lines(spark):
+    got = store.insert_lines(lines(spark).withColumn("embedding", F.array(F.lit(1.0).cast("float"))).withColumn("proxy_text", F.lit("p")), "from", spark.createDataFrame([("d", 2), ("d", 2)], "doc_id string, line_id long"))
+    assert [(r.line_id, r.text, r.proxy_text, r.embedding) for r in got.where("side = 'from'").orderBy("line_id").collect()] == [(1, "from1", "p", [1.0]), (2, "from2", "p", [1.0]), (3, "", "", None), (4, "", "", None), (5, "from3", "p", [1.0])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Union" not in plan.split("Join")[0]
+
+
 def test_rows_within_intervals(spark):
     rnd = random.Random(3)
     rows = [(d, i, f"t{i}") for d in "ab" for i in range(30)] + [("c", 1, "x"), ("a", None, "n")]
