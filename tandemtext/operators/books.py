@@ -16,14 +16,39 @@ def joined_text(ids: DataFrame, lines: DataFrame, keys: list[str], column: str =
     return rows.groupBy(*keys).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("__at", text))), lambda x: x[text])).alias("text"))
 
 
-def aligned_items(match: DataFrame, lines: DataFrame) -> DataFrame:
-    """`match` with pos, the place of each row in its document, and text_from and text_to."""
-    w = Window.partitionBy("doc_id").orderBy("batch_id", "sub_id")
-    out = match.withColumn("pos", F.row_number().over(w).cast("long"))
-    for s in ("from", "to"):
-        got = joined_text(match.select("doc_id", "batch_id", "sub_id", F.col(f"{s}_ids").alias("ids")), lines.where(F.col("side") == s), ["doc_id", "batch_id", "sub_id"])
-        out = out.join(got.withColumnRenamed("text", f"text_{s}"), ["doc_id", "batch_id", "sub_id"], "left")
-    return out.withColumns({f"text_{s}": F.coalesce(f"text_{s}", F.lit("")) for s in ("from", "to")})
+def aligned_items(match: DataFrame, lines: DataFrame, ends: str | None = None) -> DataFrame:
+    """`match` with pos, the place of each row in its document, and text_from and text_to.
+
+    With `ends`, a side, also `ends`: the least and the greatest of a row's lines on it, as structs of line_id and paragraph, null
+    where the side has neither line. Line ids tell the lines of a side apart.
+
+    Rows, the ids they name and lines are put together by document once; what follows needs no other exchange and no join, so
+    each text is shuffled once.
+    """
+    key = ["doc_id", "batch_id", "sub_id"]
+
+    def named(s: str) -> Column:
+        c = F.col(f"{s}_ids")
+        end = (lambda x: (x == F.array_min(c)) | (x == F.array_max(c))) if s == ends else lambda x: F.lit(False)
+        return F.coalesce(F.transform(c, lambda x, i: F.struct(F.lit(s).alias("side"), i.alias("at"), x.cast("long").alias("line_id"), end(x).alias("end"))), F.slice(itself, 1, 0))
+
+    # a row stands for itself, without a side, and once for each id that it names
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("side"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("line_id"), F.lit(False).alias("end")))
+    whole = F.struct(*[F.col(c) for c in match.columns if c not in key])
+    rows = match.select(*key, whole.alias("__row"), F.explode(F.concat(itself, named("from"), named("to"))).alias("n")).select(*key, F.when(F.col("n.side").isNull(), F.col("__row")).alias("__row"), "n.*", F.lit(1).alias("__kind"))
+    line = F.struct("text", F.col("paragraph").cast("long").alias("paragraph")) if ends else F.struct("text")
+    own = lines.where(F.col("side").isin("from", "to") & F.col("doc_id").isNotNull() & F.col("line_id").isNotNull()).select("doc_id", "side", F.col("line_id").cast("long").alias("line_id"), line.alias("__line"), F.lit(0).alias("__kind"))
+    both = rows.unionByName(own, allowMissingColumns=True).repartition("doc_id")
+    at_line = Window.partitionBy("doc_id", "side", "line_id").orderBy("__kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__line", F.first("__line").over(at_line)).where("__kind = 1")
+    found = lambda s: F.when((F.col("side") == s) & F.col("__line").isNotNull(), F.struct("at", F.col("__line.text").alias("text")))
+    agg = [F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(found(s))), lambda x: x["text"])).alias(f"text_{s}") for s in ("from", "to")]
+    if ends:
+        end = F.when(F.col("end") & F.col("__line").isNotNull(), F.struct("line_id", F.col("__line.paragraph").alias("paragraph")))
+        agg.append(F.when(F.min(end).isNotNull(), F.struct(F.min(end).alias("first"), F.max(end).alias("last"))).alias("ends"))
+    items = both.groupBy(*key).agg(F.collect_list("__row").alias("__rows"), *agg).select("*", F.explode("__rows").alias("__row"))
+    out = items.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("batch_id", "sub_id")).cast("long"))
+    return out.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in match.columns], "pos", "text_from", "text_to", *["ends"] * bool(ends))
 
 
 def aligned_pair_chains(match: DataFrame, lines: DataFrame, min_len: int = 2) -> DataFrame:
@@ -39,12 +64,18 @@ def has_empty_cells(match: DataFrame) -> DataFrame:
 
 
 def paragraph_rows(items: DataFrame, lines: DataFrame, side: str = "from") -> DataFrame:
-    """`items` with `par`, counting from 1: a new paragraph starts where a row's first line lies in another one than the last line of the row before."""
-    ids = F.col(f"{side}_ids")
-    par = lines.where(F.col("side") == side).select("doc_id", "line_id", "paragraph")
-    ends = items.select("doc_id", "pos", F.explode(F.array_distinct(F.array(F.array_min(ids), F.array_max(ids)))).alias("line_id")).join(par, ["doc_id", "line_id"]).groupBy("doc_id", "pos").agg(F.min_by("paragraph", "line_id").alias("p0"), F.max_by("paragraph", "line_id").alias("p1"))
+    """`items` with `par`, counting from 1: a new paragraph starts where a row's first line lies in another one than the last line of the row before.
+
+    Items that were made with the `ends` of `side` are not joined with lines again."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    own = items.join(ends, ["doc_id", "pos"]).withColumn("new", F.coalesce((F.col("p0") != F.lag("p1").over(w)).cast("int"), F.lit(1)))
+    if "ends" in items.columns:
+        own = items.where("ends is not null").withColumns({"p0": F.col("ends.first.paragraph"), "p1": F.col("ends.last.paragraph")}).drop("ends")
+    else:
+        ids = F.col(f"{side}_ids")
+        par = lines.where(F.col("side") == side).select("doc_id", "line_id", "paragraph")
+        ends = items.select("doc_id", "pos", F.explode(F.array_distinct(F.array(F.array_min(ids), F.array_max(ids)))).alias("line_id")).join(par, ["doc_id", "line_id"]).groupBy("doc_id", "pos").agg(F.min_by("paragraph", "line_id").alias("p0"), F.max_by("paragraph", "line_id").alias("p1"))
+        own = items.join(ends, ["doc_id", "pos"])
+    own = own.withColumn("new", F.coalesce((F.col("p0") != F.lag("p1").over(w)).cast("int"), F.lit(1)))
     return own.withColumn("par", F.sum("new").over(w).cast("long")).drop("new")
 
 

@@ -213,7 +213,7 @@ def empty_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def _paragraphs(spark: SparkSession, d: str, amount: int = 0) -> DataFrame:
     lines = I.both_lines(spark, d)
-    return books.paragraphs(books.aligned_items(I.match_rows(spark, d), lines), lines, "from", amount)
+    return books.paragraphs(books.aligned_items(I.match_rows(spark, d), lines, "from"), lines, "from", amount)
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:

@@ -141,6 +141,21 @@ def test_next_boundary_is_found_from_the_end(spark):
     assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
 
 
+def test_each_text_is_shuffled_once(spark):
+    line = spark.createDataFrame([("d", s, i, f"{s}{i}", i // 3) for s in ("from", "to") for i in range(1, 8) if (s, i) != ("to", 4)] + [("d", "to", 9, None, 3), (None, "from", 1, "n", 0)], "doc_id string, side string, line_id long, text string, paragraph long")
+    rows = [("d", 0, 0, [1, 2], [2, 1]), ("d", 0, 1, [], [4]), ("d", 0, 2, [3, 99], [9, 5]), ("d", 1, 0, [77], None), ("d", 1, 1, [6, 4, 5], [7, 7]), (None, 0, 0, [1], [1]), ("e", 0, 0, [1], [1])]
+    match = spark.createDataFrame(rows, "doc_id string, batch_id long, sub_id long, from_ids array<long>, to_ids array<long>")
+    got = books.aligned_items(match, line, "from")
+    want = {("d", 0, 0): ("from1 from2", "to2 to1"), ("d", 0, 1): ("", ""), ("d", 0, 2): ("from3", "to5"), ("d", 1, 0): ("", ""), ("d", 1, 1): ("from6 from4 from5", "to7 to7"), (None, 0, 0): ("", ""), ("e", 0, 0): ("", "")}
+    assert {(r.doc_id, r.batch_id, r.sub_id): (r.text_from, r.text_to) for r in got.collect()} == want
+    assert sorted((r.doc_id or "", r.pos, r.from_ids, r.to_ids) for r in got.collect() if r.doc_id == "d") == [("d", i, f, t) for i, (*_, f, t) in enumerate(rows[:5], 1)]
+    # the ends that are carried along are those that a join with the lines finds
+    pars = lambda items: sorted((r.pos, r.par, r.p0, r.p1) for r in books.paragraph_rows(items, line).collect())
+    assert pars(got) == pars(got.drop("ends")) == [(1, 1, 0, 0), (3, 2, 1, 1), (5, 2, 1, 2)]
+    plan = books.paragraphs(got, line)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_inserts_sort_no_lines(spark):
     got = store.insert_lines(lines(spark).withColumn("embedding", F.array(F.lit(1.0).cast("float"))).withColumn("proxy_text", F.lit("p")), "from", spark.createDataFrame([("d", 2), ("d", 2)], "doc_id string, line_id long"))
     assert [(r.line_id, r.text, r.proxy_text, r.embedding) for r in got.where("side = 'from'").orderBy("line_id").collect()] == [(1, "from1", "p", [1.0]), (2, "from2", "p", [1.0]), (3, "", "", None), (4, "", "", None), (5, "from3", "p", [1.0])]
