@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandemtext.functions.durable import written
 from tandemtext.operators import books, chains, correct, embed, resolve, store
 from tandemtext.plans import inputs as I
 from tandemtext.sources import exports
@@ -174,11 +175,12 @@ def _corrected(spark: SparkSession, d: str, by: str) -> DataFrame:
     ratios = correct.length_ratios(items)
     bounds = correct.outlier_bounds(ratios)
     tasks = correct.correction_tasks(correct.outliers(ratios, bounds))
-    found = correct.task_variants(tasks, items)
+    # the walks and the vectors are made in Python and read by several joins each; unwritten they were made anew for each
+    found = written(correct.task_variants(tasks, items), "variants")
     if by == "length":
         best = correct.best_corrections(correct.score_by_length(found, lines, bounds), True)
     else:
-        vectors = embed.embed(lines, embed.hashing_encoder(64))
+        vectors = written(embed.embed(lines, embed.hashing_encoder(64)), "vectors")
         best = correct.best_corrections(correct.score_by_similarity(found, vectors), False)
     return correct.apply_corrections(match, items, tasks, found, best).select("doc_id", "batch_id", "sub_id", _csv("from_ids"), _csv("to_ids"))
 

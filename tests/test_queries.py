@@ -29,6 +29,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.parametrize("name", ["corrected_by_length", "corrected_by_similarity"])
+def test_walks_and_vectors_are_made_once(spark, name):
+    # what Python makes is read by several joins; each would make it anew
+    assert "MapInPandas" not in QUERIES[name](spark, str(DATA))._jdf.queryExecution().analyzed().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
